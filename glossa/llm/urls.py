@@ -32,6 +32,11 @@ forum.linux.example/t/kernel/991 | en.encyclopedia.example/wiki/Tree | www.parli
 school.example/de/kurs/12 | www.theatre.example/programme | there.example/en/4033 | other.example/fr/64/ | nation.example/en/500.html | thinner.example/es/9
 the.example/en/1 | tion.example/de/2 | blog.entire.example/en/3265 | www.street.example/en/578 | m.eating.example/en/8017 | winter.example/en/91
 window.example/de/18 | addition.example/en/7 | adult-education.example/en/course/4 | freedom.example/en/history/8 | tracks.railway.example/en/line/6
+m.there.example/en/873 | m.thesis.example/en/5230 | m.hothouse.example/fr/1824 | m.other.example/en/4698 | m.breath.example/es/3395 | m.stone.example/de/12
+m.earth.example/en/77 | m.nation.example/en/6158/ | m.fourth.example/de/5 | m.healthy.example/en/11 | m.sheet.example/fr/90 | m.answer.example/en/31.html
+blog.there.example/en/873 | blog.thesis.example/en/5230 | blog.month.example/de/18 | blog.nation.example/fr/24 | blog.stories.example/es/9 | blog.heaths.example/en/2
+www.there.example/fr/18 | www.lengths.example/de/46 | www.nation.example/es/33 | www.threads.example/en/5230 | www.easter.example/en/95 | www.heated.example/en/1
+the-truth.example/en/1 | three-oaks.example/en/22 | north-station.example/en/3 | red-earth.example/fr/44 | old-town.example/de/5 | high-street.example/en/66
 farm.village.example/en/milk | football.example/en/match/3 | alphabet.example/en/66 | better-homes.example/en/12 | pilot.example/en/9 | blog.example/en/10
 """
 BAD = """
@@ -115,7 +120,7 @@ def score(x: Column, weights: list[float], bias: float) -> Column:
     return 1 / (1 + F.exp(-(F.lit(bias) + total / F.sqrt(F.greatest(F.size(x), F.lit(1))))))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = 0.6) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of `pages`."""
     weights, bias = model(pages.sparkSession)
     host, path = split_url(F.col("url"))
