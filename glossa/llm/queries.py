@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding, urls
+from . import decontaminate, mixing, near_dedup, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op7_near_dedup": near_dedup.OP7_SQL,
 }
