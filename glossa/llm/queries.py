@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, sharding, urls
+from . import decontaminate, mixing, near_dedup, sharding, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_token_counts": tokens.op2_token_counts,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op6_url_filter": urls.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
