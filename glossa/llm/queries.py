@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
+from . import decontaminate, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": urls.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality": quality.op8_quality,
+    "op9_html_extraction": html_text.op9_html_extraction,
     "op10_sharding": sharding.op10_sharding,
 }
 
