@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
+from . import decontaminate, fingerprints, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_url_filter": urls.op6_url_filter,
     "op7_near_dedup": near_dedup.op7_near_dedup,
