@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the one named by spark.checkpoint.dir; only where that is unset
     (tests on one machine) a temporary folder is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -38,3 +37,16 @@ def prefix_sums(buckets: DataFrame, value: str, order: list, out: str, within: l
 
     w = (Window.partitionBy(*within) if within else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return buckets.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a stage writes."""
+    return f"{_shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
