@@ -27,6 +27,8 @@ from .common import WORD, cut_lineage, table
 BLOCK = 256
 #: Rounds of the swap-or-not shuffle, and cells by which a draw finds its source.
 ROUNDS, CELLS = 24, 4096
+#: Slots that one task maps, about.
+SLOTS_A_TASK = 20_000
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -95,7 +97,9 @@ def draw_slots(sources: DataFrame, seed: int) -> DataFrame:
     some = sources.select("skey", "slots").where("slots > 0").join(drawn, "skey", "left")
     to = F.when(F.col("all").isNull() | (F.col("upto") == F.col("all")), F.col("slots")).otherwise(F.floor(F.col("upto") * (F.col("slots") / F.col("all")))).cast("long")
     some = some.select("skey", F.coalesce("shard", F.lit(0)).alias("shard"), to.alias("to")).withColumn("from", F.coalesce(F.lag("to").over(Window.partitionBy("skey").orderBy("shard")), F.lit(0)))
-    return some.where(F.col("to") > F.col("from")).select("shard", "skey", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
+    # Few rows here, many slots after: dealt over tasks first, however small they are.
+    some = some.where(F.col("to") > F.col("from")).repartition(max(1, min(8192, n // SLOTS_A_TASK)), "skey", "shard")
+    return some.select("shard", "skey", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
 
 
 def block_takes(sources: DataFrame, seed: int = 1) -> DataFrame:
