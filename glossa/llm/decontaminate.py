@@ -138,9 +138,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` whose text shares no window with the benchmark, columns as they were."""
-    bad = find_overlaps(docs, benchmark).where("contaminated").select("th", F.col("n_words").alias("__n")).distinct()
-    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, th == F.col("th"), "left_anti")
+    bad = find_overlaps(docs, benchmark).where("contaminated").select(F.col("th").alias("__th")).distinct()
+    return docs.join(bad, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__th"), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
