@@ -19,6 +19,19 @@ def transfer_case(surface: Column, replacement: Column) -> Column:
     )
 
 
+def spliced(text: Column, choices: Column) -> Column:
+    """The text with an ordered array of (start, end, replacement) put in; a null array changes nothing."""
+    part = lambda a, n: F.substring(text, a.cast("int") + 1, n.cast("int"))
+
+    def step(acc: Column, c: Column) -> Column:
+        surface = part(c["start"], c["end"] - c["start"])
+        return F.struct(c["end"].alias("at"), F.concat(acc["out"], part(acc["at"], c["start"] - acc["at"]), transfer_case(surface, c["replacement"])).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], part(acc["at"], F.length(text)))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return F.when(choices.isNull(), text).otherwise(F.aggregate(choices, start, step, rest))
+
+
 def _ordered(choices: DataFrame) -> DataFrame:
     """doc_id, choices: array of (choice_ord, start, end, replacement) in the order given."""
     order = "choice_ord" if "choice_ord" in choices.columns else "start"
@@ -41,14 +54,5 @@ def apply_choices(docs: DataFrame, choices: DataFrame, validate: bool = True) ->
     """
     if validate and (bad := choice_errors(choices).orderBy("doc_id").first()) is not None:
         raise ValueError(f"{bad['error']} (document {bad['doc_id']})")
-    text = F.col("text")
-
-    def step(acc: Column, c: Column) -> Column:
-        surface = F.substring(text, c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int"))
-        gap = F.substring(text, acc["at"].cast("int") + 1, (c["start"] - acc["at"]).cast("int"))
-        return F.struct(c["end"].alias("at"), F.concat(acc["out"], gap, transfer_case(surface, c["replacement"])).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     joined = docs.select("doc_id", "text").join(_ordered(choices), "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("choices").isNull(), text).otherwise(F.aggregate("choices", start, step, rest)).alias("revised"))
+    return joined.select("doc_id", spliced(F.col("text"), F.col("choices")).alias("revised"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.inflect import inflected, inflected_column
-from .apply import apply_choices
+from .apply import apply_choices, spliced
 
 NO_CHANGE = "NO CHANGE"
 BOLD, RESET = "\x1b[1m", "\x1b[0m"
@@ -75,10 +75,12 @@ def replay(docs: DataFrame, matches: DataFrame, decisions: DataFrame) -> DataFra
     df = chosen(remembered(parsed(matches, decisions)))
     stop = F.min(F.when(F.col("entered") == INTERRUPT, F.col("match_ord"))).over(Window.partitionBy("doc_id"))
     df = df.withColumn("stop", stop)
-    made = df.where((F.col("choice_no") > 0) & (F.col("stop").isNull() | (F.col("match_ord") < F.col("stop"))))
-    made = made.select("doc_id", "start", "end", F.element_at("alternatives", F.col("choice_no")).alias("replacement"))
-    codes = df.groupBy("doc_id").agg(F.when(F.max("stop").isNotNull(), INTERRUPTED).otherwise(DONE).alias("exit_code"))
-    return apply_choices(docs, made, validate=False).join(codes, "doc_id", "left").withColumn("exit_code", F.coalesce("exit_code", F.lit(DONE)))
+    counts = (F.col("choice_no") > 0) & (F.col("stop").isNull() | (F.col("match_ord") < F.col("stop")))
+    made = F.when(counts, F.struct("match_ord", "start", "end", F.try_element_at("alternatives", F.col("choice_no")).alias("replacement")))
+    code = F.when(F.max("stop").isNotNull(), INTERRUPTED).otherwise(DONE)
+    per_doc = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(made)).alias("choices"), code.alias("exit_code"))
+    joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
+    return joined.select("doc_id", spliced(F.col("text"), F.col("choices")).alias("revised"), F.coalesce("exit_code", F.lit(DONE)).alias("exit_code"))
 
 
 class Session:
