@@ -86,8 +86,8 @@ _BOUNDS = f"""bounds AS (SELECT doc_id, en - 1 AS b FROM ({_spans("end", f"[.!?]
 _BLANKS = f"blanks AS (SELECT doc_id, en AS b FROM ({_spans('blank', '\\n[ \\t]*\\n')}))"
 _WINDOWS = """
 cuts AS (SELECT * FROM bounds UNION ALL SELECT * FROM blanks WHERE doc_id NOT IN (SELECT doc_id FROM bounds)),
-wins AS (SELECT s.doc_id, s.ord, s.st, s.en, any_value(s.alts) AS alts, coalesce(max(CASE WHEN b <= s.st THEN b END), 0) AS ws, coalesce(min(CASE WHEN b > s.st THEN b END), any_value(length(text))) AS we, any_value(text) AS text
-    FROM sug s JOIN prose USING (doc_id) LEFT JOIN cuts USING (doc_id) GROUP BY s.doc_id, s.ord, s.st, s.en)"""
+ends AS (SELECT s.doc_id, s.ord, s.st, s.en, any_value(s.alts) AS alts, coalesce(max(CASE WHEN b <= s.st THEN b END), 0) AS ws, min(CASE WHEN b > s.st THEN b END) AS nx FROM sug s LEFT JOIN cuts USING (doc_id) GROUP BY s.doc_id, s.ord, s.st, s.en),
+wins AS (SELECT e.*, coalesce(nx, length(text)) AS we, text FROM ends e JOIN prose USING (doc_id))"""
 _DECIDED = f"""
 lines AS (SELECT doc_id, ord, base, suf, st, en, s, n, doc_id * 31 + ord * 7 AS k FROM sug),
 typed AS (SELECT *, trim(CASE WHEN k % 11 = 0 THEN '' WHEN k % 13 = 0 THEN ' x ' WHEN k % 17 = 0 THEN '99' WHEN doc_id % 97 = 0 AND ord = 5 THEN '{review.INTERRUPT}' ELSE CAST(k % 4 AS VARCHAR) END) AS line FROM lines),
