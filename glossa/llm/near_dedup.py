@@ -6,10 +6,11 @@ the smallest exponential variate x over the set, so sketches of unions are maxim
 sketches and equal registers are about as likely as the Jaccard similarity.  Documents
 with equal sets are one class.  Classes that agree in all registers of a band are
 candidates: each is tried against the first and last class of its band value (two
-stars, linear in the bucket); then buckets that still hold several components
-are compared across components, block by block.  Candidates whose registers make
-a similarity of THRESHOLD very unlikely (joint likelihood of greater, less and equal
-registers) are dropped, all others are verified on the full sets of shingles.
+stars, linear in the bucket); buckets that then hold several components get stars
+around drawn members, and what is still open after ROUNDS of these is compared
+across components on the full sets, block by block.  Star candidates whose registers
+make a similarity of THRESHOLD very unlikely (joint likelihood of greater, less and
+equal registers) are dropped, all others are verified on the full sets of shingles.
 
 Two sets at the threshold agree in some band but for a chance of 3e-7.
 
@@ -43,7 +44,9 @@ B, RATE, TOP = 1.001, 20.0, (1 << 15) - 1
 #: A pair goes on if its likelihood at the threshold or above is within exp(-SLACK) of the best.
 SLACK = 18.0
 #: Members of a bucket that are compared at once; classes up to which a lookup is broadcast (24 bytes each).
-BLOCK, BROADCAST_ROWS = 256, 400_000
+BLOCK, BROADCAST_ROWS, COLUMNS = 512, 400_000, 8192
+#: Rounds of stars around drawn members, and the buckets of a member that each tries.
+ROUNDS, TRIES = 2, 4
 _RNG = np.random.Generator(np.random.PCG64(75))
 _XOR, _MUL = _RNG.integers(0, 1 << 63, M, dtype=np.uint64), _RNG.integers(0, 1 << 63, M, dtype=np.uint64) | U(1)
 
@@ -117,17 +120,48 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different labels between two blocks of a bucket (or within one)."""
-    regs = np.stack(pdf["sketch"].to_list()).view(np.int16)
-    cid, label, n, block = (pdf[c].to_numpy() for c in ("cid", "label", "n", "block"))
-    out_a, out_b = [], []
-    for i in range(len(cid)):
-        j = np.flatnonzero((label != label[i]) & (cid > cid[i]) & ((block != block[i]) | (pdf["x"].iat[0] == pdf["y"].iat[0])))
-        if len(j):
-            j = j[plausible(np.full(len(j), n[i]), n[j], regs[i][None], regs[j])]
-            out_a += [cid[i]] * len(j)
-            out_b += cid[j].tolist()
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+    """Links of the few members with any other of another label, on full sets.
+
+    Of all links, as many are returned as it takes to join the labels.
+    """
+    label, names = pd.factorize(pdf["label"])
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if len(names) < 2:
+        return none
+    sets, n = shingle_sets(pdf["text"].to_list())
+    _, col, count = np.unique(sets, return_inverse=True, return_counts=True)
+    shared = count > 1
+    owner, col = np.repeat(np.arange(len(n)), n)[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    is_few = pdf["few"].to_numpy()
+    few, every = np.flatnonzero(is_few), np.flatnonzero(~is_few)
+    common = np.zeros((len(few), len(every)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(col, (lo, lo + COLUMNS))
+        has = np.zeros((len(n), COLUMNS), np.float32)
+        has[owner[i:j], col[i:j] - lo] = 1
+        common += has[few] @ has[every].T
+    linked = 100 * common >= THRESHOLD * (n[few, None] + n[every][None] - common)
+    linked &= label[few, None] != label[every][None]
+    i, j = np.nonzero(linked)
+    j = every[j]
+    _, first = np.unique(label[few[i]].astype(np.int64) * len(names) + label[j], return_index=True)
+    root = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    cid, out = pdf["cid"].to_numpy(), []
+    for k in first:
+        u, v = find(label[few[i[k]]]), find(label[j[k]])
+        if u != v:
+            root[u] = v
+            out.append((cid[few[i[k]]], cid[j[k]]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64) if out else none
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +182,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold on full sets."""
-    pairs = cut_lineage(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
-    nodes = nodes.select("cid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
-    if pairs.count() * 2 <= BROADCAST_ROWS:
+def _texts(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, text of the class's first document, for the distinct cids."""
+    nodes = cut_lineage(cids.distinct().join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
+    if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select(F.col("doc_id").alias("d"), "text").join(nodes, th.eqNullSafe(F.col("th")) & F.col("d").eqNullSafe(F.col("id")))
-    texts = texts.groupBy("cid").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    return texts.groupBy("cid").agg(F.first("text").alias("text"))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of classes that reach the threshold: estimated first, then on full sets."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long")
+    likely = cut_lineage(likely)
+    texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
+    both = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"))
+
+
+def _paired(rows: DataFrame, other: str) -> DataFrame:
+    return rows.select(F.least("cid", other).alias("a"), F.greatest("cid", other).alias("b")).where("a <> b").distinct()
 
 
 def find_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -174,21 +218,45 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     bands = classes.select("cid", F.posexplode("sketch").alias("band", "value")).select("cid", F.xxhash64("band", "value").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     members = cut_lineage(bands.join(buckets, "key"))
-    stars = members.select("cid", F.explode(F.array("lo", "hi")).alias("to")).where("cid <> to")
-    stars = stars.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    likely = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long")
-    edges = cut_lineage(_verified(likely, classes, docs))
+    edges = _links(_paired(members.select("cid", F.explode(F.array("lo", "hi")).alias("to")), "to"), classes, docs)
     labels = cut_lineage(components(edges))
 
-    # Buckets that still hold several components.
-    named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", F.coalesce("label", "cid").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    left = named.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    left = left.select("key", "cid", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    left = left.select("key", "cid", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(classes.select("cid", "n", "sketch"), "cid")
-    more = left.groupBy("key", "x", "y").applyInPandas(_across, "a long, b long").distinct()
-    more = cut_lineage(_verified(more, classes, docs))
+    # In buckets of up to three the two stars are all pairs; larger ones may still hold several components.
+    members = members.where("size > 3").select("cid", "key", "size")
+
+    def mixed(seed: int) -> tuple[DataFrame, DataFrame]:
+        named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", F.coalesce("label", "cid").alias("label"))
+        nth = F.xxhash64("cid", "key", F.lit(seed))
+        open_ = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min_by("cid", nth).alias("center"), F.min_by("label", nth).alias("at")).where("l0 < l1")
+        return named, open_.select("key", "center", "at")
+
+    # Stars around members drawn for each bucket on its own join most of what is left.
+    for seed in range(ROUNDS):
+        named, open_ = mixed(seed)
+        tried = named.join(open_, "key").where("label <> at")
+        nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("key", F.lit(seed)), "key"))
+        more = _links(_paired(tried.withColumn("nth", nth).where(F.col("nth") <= TRIES), "center"), classes, docs)
+        if not more.take(1):
+            break
+        edges = cut_lineage(edges.unionByName(more))
+        labels = cut_lineage(components(edges))
+
+    # What is open now is compared exactly: in each bucket the members outside its most frequent
+    # label with all members, buckets of the same such label taken together.
+    named, open_ = mixed(ROUNDS)
+    named = cut_lineage(named.join(open_.select("key"), "key"))
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    left = cut_lineage(named.join(main, "key").select("main", "cid", "label").distinct())
+    few = F.sum((F.col("label") != F.col("main")).cast("long"))
+    blocks = left.groupBy("main").agg(F.ceil(few / BLOCK).alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("ys"))
+    left = left.join(_texts(left.select("cid"), classes, docs), "cid").join(blocks, "main")
+    at = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    row = ["main", "cid", "label", "text"]
+    few_rows = left.where("label <> main").select(*row, F.lit(True).alias("few"), at("xs").alias("x"), upto("ys").alias("y"))
+    left = few_rows.unionByName(left.select(*row, F.lit(False).alias("few"), upto("xs").alias("x"), at("ys").alias("y")))
+    more = cut_lineage(left.groupBy("main", "x", "y").applyInPandas(_across, "a long, b long").distinct())
     if more.take(1):
         labels = cut_lineage(components(edges.unionByName(more)))
 
