@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +43,7 @@ B, RATE, TOP = 1.001, 20.0, (1 << 15) - 1
 #: A pair goes on if its likelihood at the threshold or above is within exp(-SLACK) of the best.
 SLACK = 18.0
 #: Members of a bucket that are compared at once; classes up to which a lookup is broadcast (24 bytes each).
-BLOCK, BROADCAST_ROWS, COLUMNS = 512, 400_000, 8192
+BLOCK, BROADCAST_ROWS, COLUMNS = 512, 400_000, 1024
 #: Rounds of stars around drawn members, and the buckets of a member that each tries.
 ROUNDS, TRIES = 2, 4
 _RNG = np.random.Generator(np.random.PCG64(75))
@@ -119,22 +118,22 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+def _across(group: pa.Table) -> pa.Table:
     """Links of the few members with any other of another label, on full sets.
 
     Of all links, as many are returned as it takes to join the labels.
     """
-    label, names = pd.factorize(pdf["label"])
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    names, label = np.unique(group.column("label").to_numpy(), return_inverse=True)
+    pairs = lambda rows: pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate("ab")})
     if len(names) < 2:
-        return none
-    sets, n = shingle_sets(pdf["text"].to_list())
+        return pairs([])
+    sets, n = shingle_sets(group.column("text").to_pylist())
     _, col, count = np.unique(sets, return_inverse=True, return_counts=True)
     shared = count > 1
     owner, col = np.repeat(np.arange(len(n)), n)[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
-    is_few = pdf["few"].to_numpy()
+    is_few = group.column("few").to_numpy()
     few, every = np.flatnonzero(is_few), np.flatnonzero(~is_few)
     common = np.zeros((len(few), len(every)), np.float32)
     for lo in range(0, int(shared.sum()), COLUMNS):
@@ -155,13 +154,13 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
             k = root[k]
         return k
 
-    cid, out = pdf["cid"].to_numpy(), []
+    cid, out = group.column("cid").to_numpy(), []
     for k in first:
         u, v = find(label[few[i[k]]]), find(label[j[k]])
         if u != v:
             root[u] = v
             out.append((cid[few[i[k]]], cid[j[k]]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64) if out else none
+    return pairs(out)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +255,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     row = ["main", "cid", "label", "text"]
     few_rows = left.where("label <> main").select(*row, F.lit(True).alias("few"), at("xs").alias("x"), upto("ys").alias("y"))
     left = few_rows.unionByName(left.select(*row, F.lit(False).alias("few"), upto("xs").alias("x"), at("ys").alias("y")))
-    more = cut_lineage(left.groupBy("main", "x", "y").applyInPandas(_across, "a long, b long").distinct())
+    more = cut_lineage(left.groupBy("main", "x", "y").applyInArrow(_across, "a long, b long").distinct())
     if more.take(1):
         labels = cut_lineage(components(edges.unionByName(more)))
 
