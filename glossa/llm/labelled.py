@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -17,8 +17,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """text and y (0 or 1) of at most 2 * n rows outside the held-out fold.
 
     The n labelled ids of the smallest hash are taken (repeated labels: the larger counts);
-    an id that several documents share gives several rows, but no more than 2 * n in all.
+    an id that several documents share gives the two of the smallest text hash.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
     ids = rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    return cut_lineage(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").limit(2 * n))
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return cut_lineage(found.withColumn("nth", nth).where("nth <= 2").select("text", "y"))
