@@ -16,14 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """Write `df` to the cluster's checkpoint folder and read on from there.
 
     The folder is the one named by spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is made.
+    (tests on one machine) a temporary folder is made.  With rows_a_task a small result is
+    read by few tasks, so that later shuffles of it do not write a file for each of many.
     """
     _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(tasks_for(out, rows_a_task)) if rows_a_task else out
+
+
+def tasks_for(df: DataFrame, rows_a_task: int) -> int:
+    return max(1, -(-df.count() // rows_a_task))
 
 
 def ascii_lower(c: Column) -> Column:

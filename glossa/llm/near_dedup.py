@@ -45,7 +45,9 @@ SLACK = 18.0
 #: Members of a bucket that are compared at once; classes up to which a lookup is broadcast (24 bytes each).
 BLOCK, BROADCAST_ROWS, COLUMNS = 512, 400_000, 1024
 #: Rounds of stars around drawn members, and the buckets of a member that each tries.
-ROUNDS, TRIES = 2, 4
+ROUNDS, TRIES = 1, 6
+#: Rows of a small intermediate result that one task reads.
+FEW = 20_000
 _RNG = np.random.Generator(np.random.PCG64(75))
 _XOR, _MUL = _RNG.integers(0, 1 << 63, M, dtype=np.uint64), _RNG.integers(0, 1 << 63, M, dtype=np.uint64) | U(1)
 
@@ -183,7 +185,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """cid, text of the class's first document, for the distinct cids."""
-    nodes = cut_lineage(cids.distinct().join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
+    nodes = cut_lineage(cids.distinct().join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")), FEW)
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -195,10 +197,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) of classes that reach the threshold: estimated first, then on full sets."""
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long")
-    likely = cut_lineage(likely)
+    likely = cut_lineage(likely, FEW)
     texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
     both = likely.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"))
+    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), FEW)
 
 
 def _paired(rows: DataFrame, other: str) -> DataFrame:
@@ -216,9 +218,9 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = classes.select("cid", F.posexplode("sketch").alias("band", "value")).select("cid", F.xxhash64("band", "value").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    members = cut_lineage(bands.join(buckets, "key"))
+    members = cut_lineage(bands.join(buckets, "key"), 4 * FEW)
     edges = _links(_paired(members.select("cid", F.explode(F.array("lo", "hi")).alias("to")), "to"), classes, docs)
-    labels = cut_lineage(components(edges))
+    labels = cut_lineage(components(edges), FEW)
 
     # In buckets of up to three the two stars are all pairs; larger ones may still hold several components.
     members = members.where("size > 3").select("cid", "key", "size")
@@ -237,16 +239,16 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
         more = _links(_paired(tried.withColumn("nth", nth).where(F.col("nth") <= TRIES), "center"), classes, docs)
         if not more.take(1):
             break
-        edges = cut_lineage(edges.unionByName(more))
-        labels = cut_lineage(components(edges))
+        edges = cut_lineage(edges.unionByName(more), FEW)
+        labels = cut_lineage(components(edges), FEW)
 
     # What is open now is compared exactly: in each bucket the members outside its most frequent
     # label with all members, buckets of the same such label taken together.
     named, open_ = mixed(ROUNDS)
-    named = cut_lineage(named.join(open_.select("key"), "key"))
+    named = cut_lineage(named.join(open_.select("key"), "key"), 4 * FEW)
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    left = cut_lineage(named.join(main, "key").select("main", "cid", "label").distinct())
+    left = cut_lineage(named.join(main, "key").select("main", "cid", "label").distinct(), FEW)
     few = F.sum((F.col("label") != F.col("main")).cast("long"))
     blocks = left.groupBy("main").agg(F.ceil(few / BLOCK).alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("ys"))
     left = left.join(_texts(left.select("cid"), classes, docs), "cid").join(blocks, "main")
@@ -255,7 +257,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     row = ["main", "cid", "label", "text"]
     few_rows = left.where("label <> main").select(*row, F.lit(True).alias("few"), at("xs").alias("x"), upto("ys").alias("y"))
     left = few_rows.unionByName(left.select(*row, F.lit(False).alias("few"), upto("xs").alias("x"), at("ys").alias("y")))
-    more = cut_lineage(left.groupBy("main", "x", "y").applyInArrow(_across, "a long, b long").distinct())
+    more = cut_lineage(left.groupBy("main", "x", "y").applyInArrow(_across, "a long, b long").distinct(), FEW)
     if more.take(1):
         labels = cut_lineage(components(edges.unionByName(more)))
 
