@@ -4,8 +4,11 @@ Markup is stripped into lines, one for each block element; what stands in menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
 (by element, role, class or id) leaves an empty line.  Text lengths are summed over
 sliding windows of BLOCK lines; text surges where a sum passes the threshold and dives
-where it falls to zero, and the lines between are kept.  Where a page names its
-article or main part, only that part has lengths and the threshold is zero.
+where it falls to zero, and the lines between are kept, with the unlinked short lines
+that adjoin a surge from above.  An article or main element is a hint: windows do not
+run over its edges, its fullest place surges even below the threshold, and its linked
+lines stay where they stand between others.  In an aside, nav or footer that is closed
+it is none; where such an element is not closed, the article or main ends it.
 
 Defined results: a null or empty page, and one without main text, give an empty text;
 a page cut off anywhere is read as far as it goes (an unfinished tag is dropped);
@@ -39,6 +42,8 @@ _ROLES = set("navigation banner contentinfo complementary search alert alertdial
 _HINTS = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
 alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars side aside menu menus nav navbar navigation navi breadcrumb breadcrumbs footer footnav header masthead topbar
 comment comments commentlist disqus reply replies respond share sharing social related recommended teaser widget widgets toolbar search login pagination pager skip disclaimer""".split())
+_ASIDE = ("aside", "nav", "footer")
+_MARKS = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(sorted(_RAW))})(?=[\s/>]).*?(?:</\1|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?:(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.I | re.S)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -60,6 +65,21 @@ def _unwanted(name: str, attrs: str) -> bool:
     return False
 
 
+def _closed(page: str) -> set[int]:
+    """Where the asides, navs and footers start that have an end tag of their own."""
+    opened: dict[str, list[int]] = {n: [] for n in _ASIDE}
+    found = set()
+    for m in _MARKS.finditer(page):
+        starts = opened.get((m["name"] or "").lower())
+        if starts is None:
+            continue
+        if not m["end"]:
+            starts.append(m.start())
+        elif starts:
+            found.add(starts.pop())
+    return found
+
+
 class _Lines:
     """Lines of a page: text, characters within links, and whether it stands in the article or main part."""
 
@@ -67,8 +87,8 @@ class _Lines:
         self.lines: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
         self.linked = self.anchor = self.drops = self.inside = 0
-        self.stack: list[tuple[str, bool]] = []
-        self.main = False
+        self.stack: list[tuple[str, bool, int]] = []
+        self.page, self.closed = page, None
         self.read(page)
         self.flush()
 
@@ -87,15 +107,15 @@ class _Lines:
             if self.anchor:
                 self.linked += len(t.strip())
 
-    def push(self, name: str, drop: bool) -> None:
+    def push(self, name: str, drop: bool, at: int) -> None:
         if drop and not self.drops and name in _BLOCKS | _DROPPED:
             self.flush(empty=True)
-        self.stack.append((name, drop))
+        self.stack.append((name, drop, at))
         self.drops += drop
         self.inside += name in ("article", "main")
 
     def pop(self) -> None:
-        name, drop = self.stack.pop()
+        name, drop, _ = self.stack.pop()
         if name in _BLOCKS:
             self.flush()
         self.drops -= drop
@@ -110,11 +130,16 @@ class _Lines:
             if self.stack[i][0] in upto:
                 return
 
-    def start(self, name: str, attrs: str) -> None:
-        if name in ("article", "main"):  # never within a menu or the like: that was not closed
-            while self.drops and not any(n in ("article", "main") for n, _ in self.stack):
+    def aside(self) -> bool:
+        """Whether an aside, nav or footer is open here that is closed further on."""
+        if self.closed is None:
+            self.closed = _closed(self.page)
+        return any(n in _ASIDE and at in self.closed for n, _, at in self.stack)
+
+    def start(self, name: str, attrs: str, at: int) -> None:
+        if name in ("article", "main") and self.drops and not self.inside and not self.aside():
+            while self.drops:  # what is open was not closed, or stands around the whole page
                 self.pop()
-            self.main = True
         if name in _BLOCKS:
             self.flush()
             self.close("p", ("td", "th", "li", "button", "article", "main", "section", "div", "blockquote"))
@@ -128,7 +153,7 @@ class _Lines:
             return
         drop = _unwanted(name, attrs)
         if name in _BLOCKS or drop or self.drops:
-            self.push(name, drop)
+            self.push(name, drop, at)
 
     def read(self, page: str) -> None:
         at, low = 0, None
@@ -162,7 +187,7 @@ class _Lines:
             if m["end"]:
                 if name == "a":
                     self.anchor = 0
-                if name == "p" and not any(n == "p" for n, _ in self.stack):
+                if name == "p" and not any(n == "p" for n, _, _ in self.stack):
                     self.flush()
                 self.close(name)
             elif name in _RAW:
@@ -172,31 +197,44 @@ class _Lines:
                 if name in _BLOCKS:
                     self.flush()
             elif not m["attrs"].endswith("/") or name in _VOID or name in _BLOCKS:
-                self.start(name, m["attrs"])
+                self.start(name, m["attrs"], lt)
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by blank lines."""
     if not page:
         return ""
-    got = _Lines(page)
-    surge = 0 if got.main else SURGE
-    size = [len(t) if (inside or not got.main) and (inside or linked < LINKED * len(t)) else 0 for t, linked, inside in got.lines]
+    lines: list[tuple[str, int, bool]] = []
+    last = None
+    for line in _Lines(page).lines:
+        if line[0]:
+            if last not in (None, line[2]):
+                lines += [("", 0, False)] * BLOCK  # an edge of the element
+            last = line[2]
+        lines.append(line)
+    size = [len(t) if linked < LINKED * len(t) else 0 for t, linked, _ in lines]
+    if not any(size):
+        size = [len(t) if inside else 0 for t, _, inside in lines]  # an element of links alone
     if not any(size):
         return ""
-    sums = [sum(size[i : i + BLOCK]) for i in range(len(size))]
+    n = len(size)
+    sums = [sum(size[i : i + BLOCK]) for i in range(n)]
+    within = [any(inside for _, _, inside in lines[i : i + BLOCK]) for i in range(n)]
+    # A short page, or a short element: its fullest place.
+    full = [max((s for s, w in zip(sums, within, strict=True) if w == side), default=0) for side in (False, True)]
+    surge = [SURGE if full[True] else min(SURGE, full[False] - 1), min(SURGE, full[True] - 1)]
     kept: list[str] = []
-    i, n = 0, len(size)
-    if max(sums) <= surge:
-        surge = max(sums) - 1  # a short page: its fullest place
+    i = done = 0
     while i < n:
-        if sums[i] > surge:  # surge; the dive is where a whole window is empty
+        if sums[i] > max(0, surge[within[i]]):  # surge; the dive is where a whole window is empty
             j = i
+            while j > done and size[j - 1]:
+                j -= 1
             while j < n and sums[j] > 0:
-                if size[j]:
-                    kept.append(got.lines[j][0])
+                if size[j] or lines[j][2] and lines[j][0]:
+                    kept.append(lines[j][0])
                 j += 1
-            i = j
+            i = done = j
         i += 1
     return "\n\n".join(kept)
 

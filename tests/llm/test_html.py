@@ -26,3 +26,13 @@ def test_query(spark):
     got = extract_text(df).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 45, 45] or sorted(r["n_chars"] for r in got)[1:] == [len(main_text(ARTICLE))] * 2
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><p>{LONG}</p></div><aside><article>teaser</article></aside>", LONG), (f"<main><p>{LONG}</p></main><aside><article>teaser</article></aside>", LONG),
+    (f"<nav><article>teaser</article></nav><main><p>{LONG}</p></main>", LONG), (f"<nav>Menu <article><p>{LONG}</p></article><nav>x</nav>", LONG),
+    (f"<form><article><p>{LONG}</p></article></form>", LONG), (f"<div><p>{LONG}</p></div><article><p>Short note</p></article>", f"{LONG}\n\nShort note"),
+    (f"<h1>T</h1><p>a</p><p>b</p><p>c</p><p>{LONG}</p>", f"T\n\na\n\nb\n\nc\n\n{LONG}"), (f"<main><p>{LONG}</p>" + "<p><a href=x>link</a></p>" * 4 + "</main>", LONG),
+])
+def test_sums_choose_the_range(page, text):
+    assert main_text(page) == text
