@@ -1,30 +1,35 @@
 """Document fingerprints by winnowing, in DataFrame operations alone.
 
-A text's tokens are runs of up to TOKEN characters other than white space; each K
-consecutive ones give a k-gram hash (by doubling), and each WINDOW consecutive k-grams
-give their smallest hash, rightmost on ties, with its position.  The distinct picks
-are the fingerprint: any two texts that share K + WINDOW - 1 tokens in a row share a
-pick.  Likeness is the Jaccard similarity of the picked hashes.
+A text's k-grams are CHARS consecutive code points, white space left out; each WINDOW
+consecutive k-grams give their smallest hash, rightmost on ties, with its position.  The
+distinct picks are the fingerprint: any two texts that share CHARS + WINDOW - 1 code
+points in a row share a pick, whatever the script and wherever they stand.  Likeness is
+the Jaccard similarity of the picked hashes.  `picks` gives the coarser fingerprint over
+tokens, runs of up to TOKEN characters other than white space, K of them to a k-gram.
 
 The next document by descending doc_id is found within buckets of near equal size
 (cut at quantiles of doc_id); each bucket also gets a copy of the next bucket's first
 row, so texts are shuffled once and no task holds the whole order.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint, like
-another empty one to degree 1 and others 0; texts of fewer than K tokens have one
-k-gram, of fewer than WINDOW k-grams one window; the only document is its own
+another empty one to degree 1 and others 0; texts of fewer than CHARS code points
+(or K tokens) have one k-gram, of fewer than WINDOW k-grams one window; the only document is its own
 successor; null ids come last, equal ids follow in order of their texts' hashes;
 extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 TOKEN, K, WINDOW = 12, 4, 8
+#: Code points of a k-gram.
+CHARS = 6
 PATTERN = rf"[^\s]{{1,{TOKEN}}}"
 POSITION = 31  # bits
 #: Rows of a bucket, most buckets, and how many cuts are looked through at once.
@@ -32,9 +37,8 @@ BUCKET_ROWS, MAX_BUCKETS, FAN = 500, 1024, 32
 
 
 def picks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: array<long> of picked hashes, each packed with its position, in order."""
+    """df with `out`: array<long> of picked hashes of tokens, each packed with its position, in order."""
     far = 1 << 30
-    last = (1 << POSITION) - 1
     t, h = "__tokens", "__h"
     df = df.withColumn(h, F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), lambda x: F.xxhash64(x))).withColumn(t, F.size(h))
     step = 1
@@ -42,17 +46,37 @@ def picks(df: DataFrame, text: str, out: str) -> DataFrame:
         df = df.withColumn(h, F.zip_with(h, F.slice(h, step + 1, far), lambda a, b: F.xxhash64(a, b)))
         step *= 2
     df = df.withColumn(h, F.when(F.col(t) > 0, F.slice(F.col(h), F.lit(1), F.greatest(F.col(t) - (K - 1), F.lit(1)))).otherwise(F.col(h)))
-    df = df.withColumn(h, F.transform(h, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 32), POSITION) + (F.lit(last).cast("long") - i)))
+    return _least(df.withColumn(h, F.transform(h, _packed)).drop(t), h, out)
+
+
+def char_picks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """The same for code points."""
+    s, h = "__solid", "__h"
+    df = df.withColumn(s, F.regexp_replace(text, r"\s+", ""))
+    grams = F.regexp_extract_all(F.col(s), F.lit(rf"(?s)(?=(.{{{CHARS}}}))."), F.lit(1))
+    grams = F.when(F.length(s) >= CHARS, grams).otherwise(F.filter(F.array(s), lambda x: x != ""))
+    return _least(df.withColumn(h, F.transform(grams, lambda x, i: _packed(F.xxhash64(x), i))).drop(s), h, out)
+
+
+def _packed(x: Column, i: Column) -> Column:
+    """Upper half of a hash, then its position so that the rightmost is least."""
+    return F.shiftleft(F.shiftrightunsigned(x, 32), POSITION) + (F.lit((1 << POSITION) - 1).cast("long") - i)
+
+
+def _least(df: DataFrame, h: str, out: str) -> DataFrame:
+    """The distinct minima of each WINDOW of `h`; `h` goes."""
+    far, n = 1 << 30, "__n"
+    df = df.withColumn(n, F.size(h))
     step = 1
     while step < WINDOW:  # minima of 2, 4, ... k-grams
         df = df.withColumn(h, F.zip_with(h, F.slice(h, step + 1, far), lambda a, b: F.least(a, b)))
         step *= 2
-    whole = F.greatest(F.col(t) - (K - 1) - (WINDOW - 1), F.lit(1))
-    return df.withColumn(out, F.array_distinct(F.when(F.col(t) > 0, F.slice(F.col(h), F.lit(1), whole)).otherwise(F.col(h)))).drop(t, h)
+    whole = F.greatest(F.col(n) - (WINDOW - 1), F.lit(1))
+    return df.withColumn(out, F.array_distinct(F.slice(F.col(h), F.lit(1), whole))).drop(n, h)
 
 
 def shown(picked: Column) -> Column:
-    """A fingerprint as text: hash (8 hex digits) and token position of each pick."""
+    """A fingerprint as text: hash (8 hex digits) and position of each pick."""
     last = (1 << POSITION) - 1
     one = lambda x: F.concat(F.lower(F.lpad(F.hex(F.shiftright(x, POSITION)), 8, "0")), F.lit("@"), (F.lit(last).cast("long") - x.bitwiseAND(F.lit(last).cast("long"))).cast("string"))
     return F.array_join(F.transform(picked, one), " ")
@@ -103,15 +127,15 @@ def with_successors(docs: DataFrame) -> DataFrame:
     return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
+def fingerprints(docs: DataFrame, method: Callable[[DataFrame, str, str], DataFrame] = picks) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, by `picks` or `char_picks`."""
     ahead = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), "th")
     df = with_successors(docs).withColumn("next", F.coalesce(F.lead("text").over(ahead), F.lit("")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
     df = df.drop("next").withColumn("edited_sha256", F.sha2("edited", 256))
-    df = picks(picks(df, "text", "own"), "edited", "other").drop("text", "edited")
+    df = method(method(df, "text", "own"), "edited", "other").drop("text", "edited")
     df = df.withColumn("h", hashes(F.col("own"))).withColumn("follower", F.lead("h").over(ahead)).where("NOT ghost").withColumn("e", hashes(F.col("other")))
     return df.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("other")).alias("edited_fingerprint"),
@@ -120,4 +144,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), char_picks)

@@ -74,3 +74,38 @@ def test_edges(spark, corpus):
     one = fp.fingerprints(make_docs(spark, [(5, "one two three", "s")])).first()
     assert one["near_next"] == 1.0
     assert fp.fingerprints(make_docs(spark, corpus)).count() == len(corpus)
+
+
+def char_picks(text):
+    """Hash and position of the smallest (rightmost) hash of every window of k-grams of code points."""
+    s = re.sub(r"[ \t\n\x0b\f\r]+", "", text)
+    grams = [h(s[i : i + fp.CHARS].encode()) >> 32 for i in range(max(len(s) - fp.CHARS + 1, 1))] if s else []
+    out = []
+    for i in range(max(len(grams) - fp.WINDOW + 1, 1) if grams else 0):
+        best = min(range(i, min(i + fp.WINDOW, len(grams))), key=lambda j: (grams[j], -j))
+        if (grams[best], best) not in out[-1:]:
+            out.append((grams[best], best))
+    return out
+
+
+def test_code_points_against_plain_python(spark, corpus, tmp_path):
+    docs = list({i: (i, t, s) for i, t, s in corpus if i is not None and i != 104}.values())
+    docs += [(300, "a few short words and some others", "s"), (301, "a few short words and more", "s"), (302, "ab😀", "s"), (303, "日本語の文章は空白なしで書かれるので区切りがない", "s")]
+    make_docs(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fp.op4_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(docs, key=lambda r: -r[0])
+    assert len(got) == len(docs)
+    for k, (i, t, _) in enumerate(order):
+        t, follower = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        r, own, other = got[i], char_picks(t), char_picks(t[: len(t) - half] + follower[:half])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(other))
+        assert r["near_edited"] == pytest.approx(like(own, other)) and r["near_next"] == pytest.approx(like(own, char_picks(follower)))
+
+
+def test_short_and_unspaced_texts_keep_picks(spark, tmp_path):
+    text = "日本語の文章は空白なしで書かれるので区切りがない"
+    make_docs(spark, [(4, text, "s"), (3, "新" + text, "s"), (2, "seven words of text in one line", "s"), (1, "nothing alike follows upon this text", "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fp.op4_fingerprints(spark, str(tmp_path)).collect()}
+    assert got[4]["near_next"] > 0.5  # one code point before it
+    assert got[2]["near_edited"] > 0 and got[2]["near_next"] == 0  # half of a short text
