@@ -12,8 +12,8 @@ once, and kept (by 64-bit content hash) up to KEPT pieces.
 Defined results: a null or empty text has 0 bytes and 0 tokens; a text of any
 length is processed whole; strings of added tokens inside a text are one token each,
 as is the library's default; repeated rows are counted alike; an empty table gives
-an empty result; extra columns are ignored.  Other vocabulary files are counted by
-their own library.
+an empty result; extra columns are ignored.  Only plain byte-level BPE vocabularies in
+tokenizer JSON files are counted; other vocabulary files fail with an error.
 """
 
 from __future__ import annotations
