@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """Write `df` to the cluster's checkpoint folder and read on from there.
 
-    The folder is the one named by spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is made.  With rows_a_task a small result is
-    read by few tasks, so that later shuffles of it do not write a file for each of many.
+    With rows_a_task a small result is read by few tasks, so that later shuffles of it do
+    not write a file for each of many.  The files go with the DataFrame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is true.
     """
     _shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
@@ -46,13 +47,29 @@ def prefix_sums(buckets: DataFrame, value: str, order: list, out: str, within: l
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a single machine and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return sc.getCheckpointDir()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that starts with `name` and that `docs` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A new folder for what a stage writes."""
     return f"{_shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"

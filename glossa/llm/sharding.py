@@ -1,15 +1,23 @@
 """Sharding along a Hilbert curve over document metadata.
 
-Every document gets a cell (language, source and size, each quantised to 16 steps);
-cells are visited in the order of a three-dimensional Hilbert curve, and the run of
-documents is cut into shards of near equal bytes, so that each shard's files have
-narrow ranges in all three dimensions.  All of it is DataFrame operations.
+Every document gets a cell (language, source and size, each quantised to 16 steps; equal
+texts share the least of their cells); cells are visited in the order of a three-dimensional
+Hilbert curve, and the run of documents is cut into shards of near equal bytes, so that each
+shard's files have narrow ranges in all three dimensions.  The run is sorted once, by
+ranges that also cut within a cell, a text and its copies, so no key decides how much one task
+has; sums along it take two levels, ranges and rows within a range.
+
+Groups of equal texts go to one shard.  The few groups that are large against a shard (over
+1/HEAVY of all bytes or rows, so at most 2 * HEAVY) are dealt to the least loaded
+shards first and the runs fill what is left; a group larger than a shard is cut into
+pieces by row number, whatever its ids.  Within its shard every row stands in
+curve order.
 
 Defined results: a null text has size 1 and crc32 0; null or empty source and
-language are ordinary values of their dimension; documents with equal texts go to
-one shard unless their group alone is larger than a shard, then it is split by
-doc_id; repeated rows are separate rows of one group; an empty table gives an empty
-result; columns other than doc_id, text, lang and source are ignored.
+language are ordinary values of their dimension; null and repeated ids are ordinary
+rows; repeated rows are separate rows of one group; a text of any length is one row and is read
+only for its size and hashes; an empty table gives an empty result; columns other
+than doc_id, text, lang and source are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +27,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, prefix_sums, table
+from .common import cut_lineage, table
 
 BITS, DIMS = 4, 3
 CELLS = 1 << (BITS * DIMS)
 #: A group over 1/HEAVY of all bytes or rows is placed on its own; at most 2 * HEAVY are.
 HEAVY = 512
-#: Rows of an ordering bucket, and the most buckets besides one for each cell.
-BUCKET_ROWS, MAX_BUCKETS = 4096, 8192
+#: Groups over 1/WIDE of all rows, at most WIDE of them, are broadcast (some 50 bytes each).
+WIDE = 1 << 16
+#: Rows of a range, and pieces of a shard's size that a group larger than a shard is cut into.
+RANGE_ROWS, PIECES = 50_000, 64
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -68,8 +78,58 @@ def _cell(lang: Column, source: Column, size: Column) -> Column:
     return ((step(lang) * (1 << BITS) + step(source)) * (1 << BITS) + log).cast("int")
 
 
+_GROUP = ("th", "text_crc32", "size")
+_ORDER = ("curve", *_GROUP, "rid")
+
+
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small constant table; columns: names and types as in a schema string."""
+    named = [c.split() for c in columns.split(",")]
+    df = spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows or [(0,) * len(named)]) + f" AS t({', '.join(n for n, _ in named)})")
+    return df.where(F.lit(bool(rows))).select(*(F.col(n).cast(t).alias(n) for n, t in named))
+
+
+def _placed(heavy: list, share: float, n_shards: int) -> tuple[list[tuple], list[float]]:
+    """(th, text_crc32, size, pieces, piece, shard) of the heavy groups, largest first, and the bytes of each shard."""
+    load, rows = [0.0] * n_shards, []
+    for g in heavy:
+        pieces = min(g["n"], math.ceil(g["bytes"] * PIECES / share)) if g["bytes"] > share else 1
+        for piece in range(pieces):
+            s = min(range(n_shards), key=lambda i: (load[i], i))
+            load[s] += g["bytes"] / pieces
+            rows.append((g["th"], g["text_crc32"], g["size"], pieces, piece, s))
+    return rows, load
+
+
+def _cuts(ordered: DataFrame, room: list[float], rest: float) -> list[tuple[int, ...]]:
+    """First (curve, th, text_crc32, size) of the light groups of the second shard and on."""
+    light = ordered.where("NOT heavy")
+    parts = light.groupBy("part").agg(F.sum("size").alias("b"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    parts = parts.select("part", "b", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("before"))
+    scale, goal, goals = rest / (sum(room) or 1), 0.0, []
+    for r in room[:-1]:
+        goal += r * scale
+        goals.append(goal)
+    wanted = F.array(*map(F.lit, goals))
+    inside = F.filter(wanted, lambda t: (t >= F.col("before")) & (t < F.col("before") + F.col("b")))
+    hit = {r["part"]: r for r in parts.withColumn("goals", inside).where(F.size("goals") > 0).collect()}  # at most one range for each cut
+    if not hit:
+        return []
+    near = light.where(F.col("part").isin(*hit)).groupBy("part", "curve", *_GROUP).agg(F.sum("size").alias("b"))
+    along = Window.partitionBy("part").orderBy("curve", *_GROUP)
+    near = near.withColumn("own", F.sum("b").over(along) - F.col("b")).withColumn("next", F.lead(F.struct("curve", *_GROUP)).over(along))
+    found = near.join(F.broadcast(parts.where(F.col("part").isin(*hit)).select("part", "before")), "part").withColumn("at", F.col("before") + F.col("own"))
+    found = found.select("*", F.explode(F.filter(wanted, lambda t: (t >= F.col("at")) & (t < F.col("at") + F.col("b")))).alias("goal"))
+    # A cut within a group goes to the nearer end of it.
+    up = (F.col("goal") - F.col("at") > F.col("b") / 2) & F.col("next").isNotNull()
+    rows = found.select("goal", F.when(up, F.col("next")).otherwise(F.struct("curve", *_GROUP)).alias("k")).orderBy("goal").collect()
+    return [tuple(r["k"]) for r in rows]
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, law 'bytes', shard, slot, grown_shard, curve."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
@@ -79,63 +139,47 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     ).select("doc_id", "size", "text_crc32", "th", _cell(F.col("lang"), F.col("source"), F.col("size")).alias("cell"))
-    rows = cut_lineage(rows)
-    key = ["th", "text_crc32", "size"]
+    rows = cut_lineage(rows).withColumn("rid", F.monotonically_increasing_id())
     n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = max(1, n_bytes / n_shards)
 
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("cell")).withColumn("bytes", F.col("n") * F.col("size"))
-    is_heavy = (F.col("n") > 1) & ((F.col("bytes") > n_bytes / HEAVY) | (F.col("n") > n_rows / HEAVY))
-    heavy = groups.where(is_heavy).orderBy(F.desc("bytes"), *key).collect()  # at most 2 * HEAVY rows
-    placed, load = [], [0.0] * n_shards
-    for g in heavy:
-        pieces = math.ceil(g["bytes"] / (share / 64)) if g["bytes"] > share else 1
-        for piece in range(pieces):
-            s = min(range(n_shards), key=lambda i: (load[i], i))
-            load[s] += g["bytes"] / pieces
-            placed.append((g["th"], g["text_crc32"], g["size"], pieces, piece, s, math.ceil(g["n"] / pieces / BUCKET_ROWS)))
-
-    # Light groups: prefix sums of bytes along the curve, by bucket and then within.
-    light = groups.where(~is_heavy)
-    per_bucket = max(BUCKET_ROWS, n_rows / MAX_BUCKETS)
-    cells = light.groupBy("cell").agg(F.ceil(F.sum("n") / per_bucket).alias("subs"))  # at most CELLS rows
-    spread = F.shiftright(F.col("th"), 40) + (1 << 23)  # the hash's top 24 bits, in order
-    light = light.join(F.broadcast(cells), "cell").select(*key, "n", "bytes", curve_of(F.col("cell")).alias("curve"), F.floor(spread * F.col("subs") / (1 << 24)).alias("sub"))
-    at = ["curve", "sub"]
-    totals = prefix_sums(light.groupBy(*at).agg(F.sum("bytes").alias("b")), "b", at, "before").select(*at, "before")
-    run = Window.partitionBy(*at).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    light = light.withColumn("own", F.coalesce(F.sum("bytes").over(run), F.lit(0))).join(totals, at)
-    rest = max(0.0, n_bytes - sum(load))
-    room = [max(0.0, share - x) for x in load]
-    scale, cut = rest / (sum(room) or 1), 0.0
-    middle = F.col("before") + F.col("own") + F.col("bytes") / 2
+    groups = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("least")).where("n > 1")
+    groups = cut_lineage(groups.withColumn("bytes", F.col("n") * F.col("size")))
+    is_heavy = (F.col("bytes") > n_bytes / HEAVY) | (F.col("n") > n_rows / HEAVY)
+    placed, load = _placed(groups.where(is_heavy).orderBy(F.desc("bytes"), *_GROUP).collect(), share, n_shards)  # at most 2 * HEAVY rows
+    wide = F.col("n") * WIDE > n_rows
+    one = groups.select(*_GROUP, "n", F.col("least").alias("cell1"), is_heavy.alias("h1"), wide.alias("wide"))
+    rows = rows.join(F.broadcast(one.where("wide").drop("wide")), list(_GROUP), "left")
+    rest = one.where("NOT wide").select(*_GROUP, F.col("cell1").alias("cell2"))
+    rows = rows.join(rest, list(_GROUP), "left").select("doc_id", "rid", *_GROUP, "n", F.coalesce("h1", F.lit(False)).alias("heavy"), curve_of(F.coalesce("cell1", "cell2", "cell")).alias("curve"))
+
+    ranges = max(spark.sparkContext.defaultParallelism, math.ceil(n_rows / RANGE_ROWS))
+    ordered = cut_lineage(cut_lineage(rows).repartitionByRange(ranges, *_ORDER)).withColumn("part", F.spark_partition_id())
+    key = F.struct("curve", *_GROUP)
     shard: Column = F.lit(0)
-    for r in room[:-1]:
-        cut += r * scale
-        shard = shard + (middle >= cut).cast("int")
-    light = light.select(*key, shard.alias("shard"), "curve", "sub")
-
-    # Back to documents: heavy groups by a broadcast of bounded size, the rest by key.
-    spark = docs.sparkSession
-    names = ["th", "text_crc32", "size", "pieces", "piece", "shard", "salts"]
-    rows_of = placed or [(0,) * len(names)]
-    placed_df = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, rows_of)) + f" AS t({', '.join(names)})").where(F.lit(bool(placed)))
-    placed_df = placed_df.select(*(F.col(c).cast("long" if c in key else "int").alias(c) for c in names))
-    whole = placed_df.groupBy(*key).agg(F.max("pieces").alias("pieces"))
-    marked = rows.join(F.broadcast(whole), key, "left")
-    salt = F.xxhash64("doc_id")
-    hot = marked.where(F.col("pieces").isNotNull()).withColumn("piece", F.pmod(salt, F.col("pieces")))
-    hot = hot.join(F.broadcast(placed_df.drop("pieces")), [*key, "piece"]).select("doc_id", *key, "shard", F.lit(CELLS).alias("curve"), (F.pmod(F.hash("th", "piece"), F.lit(1 << 20)).cast("long") * (1 << 32) + F.pmod(F.shiftright(salt, 20), F.col("salts"))).alias("sub"), curve_of(F.col("cell")).alias("at"))
-    cold = marked.where(F.col("pieces").isNull()).join(light, key).select("doc_id", *key, "shard", "curve", "sub", F.col("curve").alias("at"))
-    every = hot.unionByName(cold)
-
-    # Slots: rows counted along the same order within each shard.
-    by = ["shard", "curve", "sub"]
-    counts = prefix_sums(every.groupBy(*by).agg(F.count(F.lit(1)).alias("c")), "c", ["curve", "sub"], "first", ["shard"]).select(*by, "first")
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*key, "doc_id")) - 1
-    return every.withColumn("nth", nth).join(counts, by).select(
+    for c in _cuts(ordered, [max(0.0, share - x) for x in load], n_bytes - sum(load)):
+        shard = shard + (key >= F.struct(*(F.lit(v).cast(t).alias(k) for v, t, k in zip(c, ("int", "bigint", "bigint", "bigint"), ("curve", *_GROUP))))).cast("int")
+    light = ordered.where("NOT heavy").withColumn("shard", shard)
+
+    # Heavy groups: each row's number in its group, from counts by range, picks a piece.
+    hot = ordered.where("heavy")
+    by = ["part", *_GROUP]
+    upto = Window.partitionBy(*_GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = hot.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).select(*by, F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("first"))
+    whole = _values(spark, sorted({p[:4] for p in placed}), "th bigint, text_crc32 bigint, size bigint, pieces int")
+    pieces = _values(spark, placed, "th bigint, text_crc32 bigint, size bigint, pieces int, piece int, shard int").drop("pieces")
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("rid")) - 1
+    hot = hot.withColumn("nth", nth).join(firsts, by).join(F.broadcast(whole), list(_GROUP))
+    hot = hot.withColumn("piece", F.floor((F.col("first") + F.col("nth")) * F.col("pieces") / F.col("n")).cast("int")).join(F.broadcast(pieces), [*_GROUP, "piece"])
+    every = light.select("doc_id", "part", *_ORDER, "shard").unionByName(hot.select("doc_id", "part", *_ORDER, "shard"))
+
+    # Slots: rows counted along the order within each shard.
+    ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = every.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("c")).select("part", "shard", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("part", "shard").orderBy(*_ORDER)) - 1
+    return every.withColumn("nth", nth).join(counts, ["part", "shard"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("at").cast("int").alias("curve"),
+        (F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("curve").cast("int").alias("curve"),
     )
 
 
