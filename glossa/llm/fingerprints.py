@@ -4,81 +4,101 @@ A text's k-grams are CHARS consecutive code points, white space left out; each W
 consecutive k-grams give their smallest hash, rightmost on ties, with its position.  The
 distinct picks are the fingerprint: any two texts that share CHARS + WINDOW - 1 code
 points in a row share a pick, whatever the script and wherever they stand.  Likeness is
-the Jaccard similarity of the picked hashes.  `picks` gives the coarser fingerprint over
-tokens, runs of up to TOKEN characters other than white space, K of them to a k-gram.
+the Jaccard similarity of the picked hashes.
 
-The next document by descending doc_id is found within buckets of near equal size
-(cut at quantiles of doc_id); each bucket also gets a copy of the next bucket's first
-row, so texts are shuffled once and no task holds the whole order.
+An edited text is a beginning of one text and a beginning of the next, so its windows are
+those of either beginning and the few across the seam.  The picks of a beginning are the whole
+text's picks whose first window ends within it; only the seam is hashed anew.
+
+The next document by descending doc_id is found within buckets of near equal bytes: cut
+points come from a range partitioning of (id, text hash, row number) alone, where a row counts by
+its bytes, so neither equal ids nor equal rows make a large bucket.  Each bucket
+also gets a copy of the next bucket's first row, so texts are shuffled once and no task
+holds the whole order.  There is a cut for each BUCKET_BYTES of text, whatever the table's size.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint, like
 another empty one to degree 1 and others 0; texts of fewer than CHARS code points
-(or K tokens) have one k-gram, of fewer than WINDOW k-grams one window; the only document is its own
-successor; null ids come last, equal ids follow in order of their texts' hashes;
-extra columns are ignored; an empty table gives an empty result.
+have one k-gram, of fewer than WINDOW k-grams one window; a text of any length is
+fingerprinted whole (a long for each code point is held while it is); the only document is its
+own successor; null ids come last, equal ids follow in order of their texts' hashes;
+repeated rows follow each other; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_lineage, table
 
-TOKEN, K, WINDOW = 12, 4, 8
-#: Code points of a k-gram.
-CHARS = 6
-PATTERN = rf"[^\s]{{1,{TOKEN}}}"
+#: Code points of a k-gram, and k-grams of a window.
+CHARS, WINDOW = 6, 8
+SPAN = CHARS + WINDOW - 1
 POSITION = 31  # bits
-#: Rows of a bucket, most buckets, and how many cuts are looked through at once.
-BUCKET_ROWS, MAX_BUCKETS, FAN = 500, 1024, 32
+LAST = (1 << POSITION) - 1
+#: K-grams that are cut from one part of a text: a cut counts code points from the part's start.
+PART = 32
+#: Bytes of a bucket; of smaller tables, the least bytes and the buckets for each core; bytes that count as one row where cuts are looked for.
+BUCKET_BYTES, LEAST_BYTES, A_CORE, UNIT = 128 << 20, 1 << 18, 4, 1 << 12
+_BLANK = r"\s+"
+_ALL = 1 << 30
 
 
-def picks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: array<long> of picked hashes of tokens, each packed with its position, in order."""
-    far = 1 << 30
-    t, h = "__tokens", "__h"
-    df = df.withColumn(h, F.transform(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), lambda x: F.xxhash64(x))).withColumn(t, F.size(h))
-    step = 1
-    while step < K:  # hashes of 2, 4, ... tokens; the last ones lack followers and go
-        df = df.withColumn(h, F.zip_with(h, F.slice(h, step + 1, far), lambda a, b: F.xxhash64(a, b)))
-        step *= 2
-    df = df.withColumn(h, F.when(F.col(t) > 0, F.slice(F.col(h), F.lit(1), F.greatest(F.col(t) - (K - 1), F.lit(1)))).otherwise(F.col(h)))
-    return _least(df.withColumn(h, F.transform(h, _packed)).drop(t), h, out)
+def picks(solid: Column) -> Column:
+    """array<long> of the picked hashes of a text without white space, each packed with its position, in order."""
+    parts = F.regexp_extract_all(solid, F.lit(rf"(?s)(?=(.{{1,{PART + CHARS - 1}}})).{{1,{PART}}}"), F.lit(1))
 
+    def grams(part: Column, k: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(part) - (CHARS - 1))
+        return F.when(F.length(part) >= CHARS, F.transform(starts, lambda i: _packed(F.substring(part, i, F.lit(CHARS)), k * PART + i - 1))).otherwise(F.array().cast("array<bigint>"))
 
-def char_picks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """The same for code points."""
-    s, h = "__solid", "__h"
-    df = df.withColumn(s, F.regexp_replace(text, r"\s+", ""))
-    grams = F.regexp_extract_all(F.col(s), F.lit(rf"(?s)(?=(.{{{CHARS}}}))."), F.lit(1))
-    grams = F.when(F.length(s) >= CHARS, grams).otherwise(F.filter(F.array(s), lambda x: x != ""))
-    return _least(df.withColumn(h, F.transform(grams, lambda x, i: _packed(F.xxhash64(x), i))).drop(s), h, out)
+    many = F.flatten(F.transform(parts, grams))
+    few = F.when(solid != "", F.array(_packed(solid, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(solid) >= CHARS, many).otherwise(few)
 
 
-def _packed(x: Column, i: Column) -> Column:
+def _packed(gram: Column, position: Column) -> Column:
     """Upper half of a hash, then its position so that the rightmost is least."""
-    return F.shiftleft(F.shiftrightunsigned(x, 32), POSITION) + (F.lit((1 << POSITION) - 1).cast("long") - i)
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), 32), POSITION) + (F.lit(LAST).cast("long") - position)
 
 
-def _least(df: DataFrame, h: str, out: str) -> DataFrame:
-    """The distinct minima of each WINDOW of `h`; `h` goes."""
-    far, n = 1 << 30, "__n"
-    df = df.withColumn(n, F.size(h))
+def with_picks(df: DataFrame, solid: str, out: str) -> DataFrame:
+    """df with `out`: the distinct minima of all windows of k-grams of the column `solid`."""
+    n, h = "__n", "__h"
+    df = df.withColumn(h, picks(F.col(solid))).withColumn(n, F.size(h))
     step = 1
     while step < WINDOW:  # minima of 2, 4, ... k-grams
-        df = df.withColumn(h, F.zip_with(h, F.slice(h, step + 1, far), lambda a, b: F.least(a, b)))
+        df = df.withColumn(h, F.zip_with(h, F.slice(h, step + 1, _ALL), lambda a, b: F.least(a, b)))
         step *= 2
     whole = F.greatest(F.col(n) - (WINDOW - 1), F.lit(1))
     return df.withColumn(out, F.array_distinct(F.slice(F.col(h), F.lit(1), whole))).drop(n, h)
 
 
+def _at(pick: Column) -> Column:
+    return F.lit(LAST).cast("long") - pick.bitwiseAND(F.lit(LAST).cast("long"))
+
+
+def _within(picked: Column, length: Column) -> Column:
+    """The picks of a text's first `length` code points, from those of the whole text.
+
+    A pick's first window begins where the pick enters it at the right end, if it is less than the
+    pick before, and else where the pick before leaves.
+    """
+
+    def first(x: Column, i: Column) -> Column:
+        last = F.get(picked, i - 1)
+        return F.when(i == 0, F.lit(0).cast("long")).when(x < last, _at(x) - (WINDOW - 1)).otherwise(_at(last) + 1)
+
+    none = F.array().cast("array<bigint>")
+    return F.when(length >= SPAN, F.filter(picked, lambda x, i: first(x, i) <= length - SPAN)).otherwise(none)
+
+
 def shown(picked: Column) -> Column:
     """A fingerprint as text: hash (8 hex digits) and position of each pick."""
-    last = (1 << POSITION) - 1
-    one = lambda x: F.concat(F.lower(F.lpad(F.hex(F.shiftright(x, POSITION)), 8, "0")), F.lit("@"), (F.lit(last).cast("long") - x.bitwiseAND(F.lit(last).cast("long"))).cast("string"))
+    one = lambda x: F.concat(F.lower(F.lpad(F.hex(F.shiftright(x, POSITION)), 8, "0")), F.lit("@"), _at(x).cast("string"))
     return F.array_join(F.transform(picked, one), " ")
 
 
@@ -93,55 +113,71 @@ def likeness(a: str, b: str) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
-def _bucket(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most the key, in two steps over constant arrays."""
+def _bucket(cuts: list[tuple[int, int, int]]) -> Column:
+    """How many cuts are at most (down, th, rid), in two steps over constant arrays."""
     if not cuts:
         return F.lit(0)
-    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    key = F.struct("down", "th", "rid")
+    array = lambda xs: F.from_json(F.lit(json.dumps([dict(zip(("down", "th", "rid"), x)) for x in xs])), "array<struct<down:bigint,th:bigint,rid:bigint>>")
     below = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
-    coarse = F.greatest(below(array(cuts[::FAN])) - 1, F.lit(0)) * FAN
-    return (coarse + below(F.slice(array(cuts), coarse + 1, F.lit(FAN)))).cast("int")
+    fan = max(2, math.isqrt(len(cuts)))
+    coarse = F.greatest(below(array(cuts[::fan])) - 1, F.lit(0)) * fan
+    return (coarse + below(F.slice(array(cuts), coarse + 1, F.lit(fan)))).cast("int")
+
+
+def _cuts(narrow: DataFrame) -> list[tuple[int, int, int]]:
+    """Where buckets after the first begin: one cut for each BUCKET_BYTES, or so that every core has some."""
+    total = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    buckets = max(math.ceil(total / BUCKET_BYTES), min(math.ceil(total / LEAST_BYTES), A_CORE * narrow.sparkSession.sparkContext.defaultParallelism))
+    if buckets < 2:
+        return []
+    units = narrow.select("down", "th", "rid", F.explode(F.array_repeat(F.lit(0), F.ceil(F.col("bytes") / UNIT).cast("int"))))
+    ranged = units.repartitionByRange(buckets, "down", "th", "rid").withColumn("part", F.spark_partition_id())
+    firsts = ranged.groupBy("part").agg(F.min(F.struct("down", "th", "rid")).alias("k")).orderBy("part").collect()
+    return [tuple(r["k"]) for r in firsts[1:]]
 
 
 def with_successors(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ghost, bucket, key, th: each bucket ends with the row that follows it."""
+    """doc_id, text, ghost, bucket, down, th, rid: each bucket ends with the row that follows it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    n = docs.count()
-    count = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    cuts: list[int] = []
-    if count > 1:
-        at = F.array(*[F.lit(i / count) for i in range(1, count)])
-        cuts = sorted(set(docs.agg(F.percentile_approx(key, at, F.lit(20 * count)).alias("q")).first()["q"]))
-    rows = docs.select("doc_id", text.alias("text"), key.alias("key"), _bucket(key, cuts).alias("bucket"))
-    first = docs.select(key.alias("key"), _bucket(key, cuts).alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).collect()  # at most MAX_BUCKETS rows
-    rows = rows.withColumn("th", F.xxhash64("text"))
-    if not first:
-        return rows.withColumn("ghost", F.lit(False))
-    order = sorted((r["bucket"], r["key"]) for r in first)
-    # A bucket's first row follows the next higher bucket's last; the highest one's follows the lowest's.
-    values = ", ".join(f"({b}, {k}L, {order[(i + 1) % len(order)][0]})" if k > -(1 << 63) else f"({b}, {k + 1}L - 1L, {order[(i + 1) % len(order)][0]})" for i, (b, k) in enumerate(order))
-    heads = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(bucket, key, to)")
-    ghosts = rows.join(F.broadcast(heads), ["bucket", "key"]).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("th"))).where("nth = 1")
-    ghosts = ghosts.select("doc_id", "text", "key", F.col("to").alias("bucket"), "th", F.lit(True).alias("ghost"))
+    rows = docs.select("doc_id", text.alias("text"), F.bitwise_not(key).alias("down"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("rid"))
+    narrow = cut_lineage(rows.select("down", "th", "rid", (F.octet_length("text") + 64).cast("long").alias("bytes")))
+    cuts = _cuts(narrow)
+    rows = rows.withColumn("bucket", _bucket(cuts))
+    heads = narrow.select("down", "th", _bucket(cuts).alias("bucket")).groupBy("bucket").agg(F.min(F.struct("down", "th")).alias("k"))
+    heads = heads.select("bucket", "k.down", "k.th", F.pmod(F.col("bucket") - 1, F.lit(len(cuts) + 1)).alias("to"))  # one row for each bucket
+    # Several rows with a head's id and text are alike: any of them stands for it.
+    ghosts = rows.join(F.broadcast(heads), ["bucket", "down", "th"]).withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("rid"))).where("nth = 1")
+    ghosts = ghosts.select("doc_id", "text", "down", "th", "rid", F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
     return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
-def fingerprints(docs: DataFrame, method: Callable[[DataFrame, str, str], DataFrame] = picks) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, by `picks` or `char_picks`."""
-    ahead = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), "th")
-    df = with_successors(docs).withColumn("next", F.coalesce(F.lead("text").over(ahead), F.lit("")))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
+    ahead = Window.partitionBy("bucket").orderBy("ghost", "down", "th", "rid")
+    df = with_picks(with_successors(docs).withColumn("solid", F.regexp_replace("text", _BLANK, "")), "solid", "own")
+    df = df.withColumn("h", hashes(F.col("own")))
+    for c in ("text", "solid", "own", "h"):
+        df = df.withColumn(f"next_{c}", F.lead(c).over(ahead))
+    df = df.where("NOT ghost")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
-    df = df.drop("next").withColumn("edited_sha256", F.sha2("edited", 256))
-    df = method(method(df, "text", "own"), "edited", "other").drop("text", "edited")
-    df = df.withColumn("h", hashes(F.col("own"))).withColumn("follower", F.lead("h").over(ahead)).where("NOT ghost").withColumn("e", hashes(F.col("other")))
-    return df.select(
+    df = df.withColumn("n_chars", n.cast("long")).withColumn("head", F.substring("text", F.lit(1), n - half)).withColumn("tail", F.substring("next_text", F.lit(1), half))
+    df = df.withColumn("edited_sha256", F.sha2(F.concat("head", "tail"), 256))
+    # Lengths of both beginnings without white space, and the text about the seam.
+    df = df.withColumn("a", F.length(F.regexp_replace("head", _BLANK, ""))).withColumn("b", F.length(F.regexp_replace("tail", _BLANK, ""))).drop("text", "next_text", "head", "tail")
+    start = F.greatest(F.lit(0), F.col("a") - (SPAN - 1))
+    seam = F.concat(F.substring("solid", start + 1, F.col("a") - start), F.substring("next_solid", F.lit(1), F.least(F.col("b"), F.lit(SPAN - 1))))
+    df = df.withColumn("start", start).withColumn("seam", F.when((F.length(seam) >= SPAN) | (F.col("a") + F.col("b") < SPAN), seam).otherwise(F.lit("")))
+    df = with_picks(df.drop("solid", "next_solid"), "seam", "across")
+    moved = lambda picked, by: F.transform(picked, lambda x: x - F.col(by))
+    df = df.withColumn("other", F.array_distinct(F.concat(_within(F.col("own"), F.col("a")), moved(F.col("across"), "start"), moved(_within(F.col("next_own"), F.col("b")), "a"))))
+    return df.withColumn("e", hashes(F.col("other"))).select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("other")).alias("edited_fingerprint"),
-        likeness("h", "e").alias("near_edited"), likeness("h", "follower").alias("near_next"),
+        likeness("h", "e").alias("near_edited"), likeness("h", "next_h").alias("near_next"),
     )
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"), char_picks)
+    return fingerprints(table(spark, sf_dir, "documents"))
