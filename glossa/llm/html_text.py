@@ -7,18 +7,23 @@ sliding windows of BLOCK lines; text surges where a sum passes the threshold and
 where it falls to zero, and the lines between are kept, with the unlinked short lines
 that adjoin a surge from above.  An article or main element is a hint: windows do not
 run over its edges, its fullest place surges even below the threshold, and its linked
-lines stay where they stand between others.  In an aside, nav or footer that is closed
-it is none; where such an element is not closed, the article or main ends it.
+lines stay where they stand between others.  In a part that is left out it is none: not among
+reader comments, and not where that part is closed further on; where it is not closed
+(or is a form, which may stand around a whole page), the article or main ends it.
+
+A class or id marks a part only if all its words are such marks or plain words of layout:
+'cookie-banner' and 'sidebar-left' do, 'social-science' and 'with-sidebar' do not.
 
 Defined results: a null or empty page, and one without main text, give an empty text;
-a page cut off anywhere is read as far as it goes (an unfinished tag is dropped);
-repeated rows are extracted alike; an empty table gives an empty result; extra
-columns are ignored.
+a page cut off anywhere is read as far as it goes (an unfinished tag is dropped); a page
+of any length or depth is read whole, in time linear in both; repeated rows are extracted
+alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,57 +43,71 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _RAW = set("script style textarea title noscript template iframe svg math object".split())
 _DROPPED = set("head nav header footer aside form menu dialog button select option datalist fieldset label noscript canvas audio video".split())
 _ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of class names and ids that mark what is not the article.
+#: Words of class names and ids that mark what is not the article, and reader comments.
 _HINTS = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
 alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars side aside menu menus nav navbar navigation navi breadcrumb breadcrumbs footer footnav header masthead topbar
-comment comments commentlist disqus reply replies respond share sharing social related recommended teaser widget widgets toolbar search login pagination pager skip disclaimer""".split())
-_ASIDE = ("aside", "nav", "footer")
+share sharing social related recommended teaser teasers widget widgets toolbar search login pagination pager skip disclaimer""".split())
+_COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
+#: Words that may stand beside them without changing what they mark.
+_LAYOUT = set("""area article bar bars block blocks blog body bottom box boxes button buttons col column container content cont entry fixed float footer global group holder icons inner item items
+left links list lists main middle mobile module outer page pane panel post posts primary reader region right row secondary section site slot sticky text thread top unit user wrap wrapper zone""".split())
+#: Elements whose end tag is taken at its word; others only where their page has as many end tags as start tags.
+_CLOSING = ("aside", "nav", "footer", "header", "section")
 _MARKS = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(sorted(_RAW))})(?=[\s/>]).*?(?:</\1|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?:(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.I | re.S)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(name: str, attrs: str) -> bool:
-    if name in _DROPPED:
-        return True
-    if not attrs or name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+def _marks(value: str) -> int:
+    """2 if a class or id marks reader comments, 1 if another part beside the article, else 0."""
+    found = 0
+    for token in value.split():
+        words = [w.lower() for w in _SPLIT.split(token) if w and not w.isdigit() and len(w) > 1]
+        hints = [w for w in words if w in _HINTS or w in _COMMENTS]
+        if hints and all(w in _LAYOUT for w in words if w not in hints):
+            found = max(found, 2 if any(w in _COMMENTS for w in hints) else 1)
+    return found
+
+
+def _unwanted(name: str, attrs: str) -> int:
+    """As `_marks`, for an element; an article or main is only left out as a reader comment."""
+    found = int(name in _DROPPED)
+    if not attrs or name in ("html", "body"):
+        return found
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            if any(w.lower() in _HINTS for w in _SPLIT.split(value)):
-                return True
-        elif key == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            found = max(found, _marks(value))
+        elif key == "role" and value.lower() in _ROLES:
+            found = max(found, 1)
+    return found if name not in ("article", "main") or found == 2 else 0
 
 
 def _closed(page: str) -> set[int]:
-    """Where the asides, navs and footers start that have an end tag of their own."""
-    opened: dict[str, list[int]] = {n: [] for n in _ASIDE}
-    found = set()
+    """Where the elements start whose end tag can be told."""
+    opened: dict[str, list[int]] = {}
+    pairs: dict[str, list[int]] = {}
+    stray = set()
     for m in _MARKS.finditer(page):
-        starts = opened.get((m["name"] or "").lower())
-        if starts is None:
-            continue
+        name = (m["name"] or "").lower()
         if not m["end"]:
-            starts.append(m.start())
-        elif starts:
-            found.add(starts.pop())
-    return found
+            opened.setdefault(name, []).append(m.start())
+        elif opened.get(name):
+            pairs.setdefault(name, []).append(opened[name].pop())
+        else:
+            stray.add(name)
+    return {at for name, starts in pairs.items() if name in _CLOSING or name not in stray and not opened[name] for at in starts}
 
 
 class _Lines:
     """Lines of a page: text, characters within links, and whether it stands in the article or main part."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, closing: bool = True):
         self.lines: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
-        self.linked = self.anchor = self.drops = self.inside = 0
-        self.stack: list[tuple[str, bool, int]] = []
-        self.page, self.closed = page, None
+        self.linked = self.anchor = self.drops = self.comments = self.inside = 0
+        self.stack: list[tuple[str, int, int]] = []
+        self.open: Counter[str] = Counter()
+        self.page, self.closed = page, None if closing else set()
         self.read(page)
         self.flush()
 
@@ -107,21 +126,27 @@ class _Lines:
             if self.anchor:
                 self.linked += len(t.strip())
 
-    def push(self, name: str, drop: bool, at: int) -> None:
-        if drop and not self.drops and name in _BLOCKS | _DROPPED:
+    def push(self, name: str, drop: int, at: int) -> None:
+        if drop and not self.drops and (name in _BLOCKS or name in _DROPPED):
             self.flush(empty=True)
         self.stack.append((name, drop, at))
-        self.drops += drop
+        self.open[name] += 1
+        self.drops += drop > 0
+        self.comments += drop == 2
         self.inside += name in ("article", "main")
 
     def pop(self) -> None:
         name, drop, _ = self.stack.pop()
         if name in _BLOCKS:
             self.flush()
-        self.drops -= drop
+        self.open[name] -= 1
+        self.drops -= drop > 0
+        self.comments -= drop == 2
         self.inside -= name in ("article", "main")
 
     def close(self, name: str, upto: tuple[str, ...] = ()) -> None:
+        if not self.open[name]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
                 while len(self.stack) > i:
@@ -130,14 +155,14 @@ class _Lines:
             if self.stack[i][0] in upto:
                 return
 
-    def aside(self) -> bool:
-        """Whether an aside, nav or footer is open here that is closed further on."""
+    def apart(self) -> bool:
+        """Whether what is open here and left out is closed further on."""
         if self.closed is None:
             self.closed = _closed(self.page)
-        return any(n in _ASIDE and at in self.closed for n, _, at in self.stack)
+        return any(drop and n != "form" and at in self.closed for n, drop, at in self.stack)
 
     def start(self, name: str, attrs: str, at: int) -> None:
-        if name in ("article", "main") and self.drops and not self.inside and not self.aside():
+        if name in ("article", "main") and self.drops and not self.inside and not self.comments and not self.apart():
             while self.drops:  # what is open was not closed, or stands around the whole page
                 self.pop()
         if name in _BLOCKS:
@@ -187,7 +212,7 @@ class _Lines:
             if m["end"]:
                 if name == "a":
                     self.anchor = 0
-                if name == "p" and not any(n == "p" for n, _, _ in self.stack):
+                if name == "p" and not self.open["p"]:
                     self.flush()
                 self.close(name)
             elif name in _RAW:
@@ -206,7 +231,10 @@ def main_text(page: str | None) -> str:
         return ""
     lines: list[tuple[str, int, bool]] = []
     last = None
-    for line in _Lines(page).lines:
+    read = _Lines(page).lines
+    if not any(t for t, _, _ in read):
+        read = _Lines(page, closing=False).lines  # all of it stood in a part to be left out
+    for line in read:
         if line[0]:
             if last not in (None, line[2]):
                 lines += [("", 0, False)] * BLOCK  # an edge of the element
