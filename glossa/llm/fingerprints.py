@@ -156,21 +156,21 @@ def with_successors(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     ahead = Window.partitionBy("bucket").orderBy("ghost", "down", "th", "rid")
-    df = with_picks(with_successors(docs).withColumn("solid", F.regexp_replace("text", _BLANK, "")), "solid", "own")
-    df = df.withColumn("h", hashes(F.col("own")))
-    for c in ("text", "solid", "own", "h"):
-        df = df.withColumn(f"next_{c}", F.lead(c).over(ahead))
-    df = df.where("NOT ghost")
+    # Only texts are shuffled: what is made of them comes after the first window, the second one finds rows in place.
+    df = with_successors(docs).withColumn("next_text", F.lead("text").over(ahead))
+    df = with_picks(df.withColumn("solid", F.regexp_replace("text", _BLANK, "")), "solid", "own")
+    df = df.withColumn("next_own", F.lead("own").over(ahead)).where("NOT ghost")
+    df = df.withColumn("h", hashes(F.col("own"))).withColumn("next_h", hashes(F.col("next_own")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("head", F.substring("text", F.lit(1), n - half)).withColumn("tail", F.substring("next_text", F.lit(1), half))
     df = df.withColumn("edited_sha256", F.sha2(F.concat("head", "tail"), 256))
-    # Lengths of both beginnings without white space, and the text about the seam.
-    df = df.withColumn("a", F.length(F.regexp_replace("head", _BLANK, ""))).withColumn("b", F.length(F.regexp_replace("tail", _BLANK, ""))).drop("text", "next_text", "head", "tail")
+    # Both beginnings without white space: their lengths, and the text about the seam.
+    df = df.withColumn("tail", F.regexp_replace("tail", _BLANK, "")).withColumn("a", F.length(F.regexp_replace("head", _BLANK, ""))).withColumn("b", F.length("tail")).drop("text", "next_text", "head")
     start = F.greatest(F.lit(0), F.col("a") - (SPAN - 1))
-    seam = F.concat(F.substring("solid", start + 1, F.col("a") - start), F.substring("next_solid", F.lit(1), F.least(F.col("b"), F.lit(SPAN - 1))))
+    seam = F.concat(F.substring("solid", start + 1, F.col("a") - start), F.substring("tail", F.lit(1), F.lit(SPAN - 1)))
     df = df.withColumn("start", start).withColumn("seam", F.when((F.length(seam) >= SPAN) | (F.col("a") + F.col("b") < SPAN), seam).otherwise(F.lit("")))
-    df = with_picks(df.drop("solid", "next_solid"), "seam", "across")
+    df = with_picks(df.drop("solid", "tail"), "seam", "across")
     moved = lambda picked, by: F.transform(picked, lambda x: x - F.col(by))
     df = df.withColumn("other", F.array_distinct(F.concat(_within(F.col("own"), F.col("a")), moved(F.col("across"), "start"), moved(_within(F.col("next_own"), F.col("b")), "a"))))
     return df.withColumn("e", hashes(F.col("other"))).select(
