@@ -3,18 +3,20 @@
 Features are character n-grams of host and path, hashed into a fixed number of
 buckets; the weights are fitted on the small labelled table below when the query
 is planned and enter the plan as one constant array, so scoring is a projection.
+N-grams are cut from parts of PART characters, so time grows with the url's length alone.
 
 Defined results: a null url, or one without '://', has empty host and path, no rule
 and verdict 'allow' unless the model says otherwise for empty strings (it does not);
-repeated rows are judged alike; extra columns are ignored.
+a url of any length is judged whole; repeated rows are judged alike; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,33 +25,50 @@ from .common import ascii_lower, table
 #: (verdict, host, path): the rules of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-#: The labelled table; own examples.  Label 1: block.
-GOOD = """
-www.library.example/en/catalogue/42 | news.city.example/fr/2021/article.html | blog.river.example/en/123 | m.museum.example/de/55?page=2
-docs.python.example/3/tutorial/index.html | university.example/research/physics/ | www.weather.example/es/forecast | recipes.kitchen.example/soup/7
-shop.garden.example/en/tools/spade | history.archive.example/1914/letters | maps.travel.example/fr/paris | health.clinic.example/en/advice/22
-forum.linux.example/t/kernel/991 | en.encyclopedia.example/wiki/Tree | www.parliament.example/debates/17 | data.science.example/notebooks/3
-school.example/de/kurs/12 | www.theatre.example/programme | there.example/en/4033 | other.example/fr/64/ | nation.example/en/500.html | thinner.example/es/9
-the.example/en/1 | tion.example/de/2 | blog.entire.example/en/3265 | www.street.example/en/578 | m.eating.example/en/8017 | winter.example/en/91
-window.example/de/18 | addition.example/en/7 | adult-education.example/en/course/4 | freedom.example/en/history/8 | tracks.railway.example/en/line/6
-m.there.example/en/873 | m.thesis.example/en/5230 | m.hothouse.example/fr/1824 | m.other.example/en/4698 | m.breath.example/es/3395 | m.stone.example/de/12
-m.earth.example/en/77 | m.nation.example/en/6158/ | m.fourth.example/de/5 | m.healthy.example/en/11 | m.sheet.example/fr/90 | m.answer.example/en/31.html
-blog.there.example/en/873 | blog.thesis.example/en/5230 | blog.month.example/de/18 | blog.nation.example/fr/24 | blog.stories.example/es/9 | blog.heaths.example/en/2
-www.there.example/fr/18 | www.lengths.example/de/46 | www.nation.example/es/33 | www.threads.example/en/5230 | www.easter.example/en/95 | www.heated.example/en/1
-the-truth.example/en/1 | three-oaks.example/en/22 | north-station.example/en/3 | red-earth.example/fr/44 | old-town.example/de/5 | high-street.example/en/66
-farm.village.example/en/milk | football.example/en/match/3 | alphabet.example/en/66 | better-homes.example/en/12 | pilot.example/en/9 | blog.example/en/10
-"""
-BAD = """
-casino-win.example/en/1 | www.casino-win.example/de/2 | blog.casino-win.example/en/33 | m.casino-win.example/fr/4.html | best-casino.example/en/55 | casino-royal.example/play
-online-casino.example/slots/6 | win-casino-slots.example/en/7 | jackpot-win.example/en/88 | poker-bonus.example/join/9 | free-bets.example/en/1 | www.free-bets.example/de/22
-blog.free-bets.example/en/3 | m.free-bets.example/es/44 | sports-bets.example/en/5 | bets-online.example/en/66 | betting-free.example/odds/7 | cheap-pills.example/en/1
-www.cheap-pills.example/fr/22 | blog.cheap-pills.example/en/3 | m.cheap-pills.example/de/44 | buy-pills.example/order/5 | pills-online.example/en/6 | cheap-viagra.example/en/7
-adult-x.example/en/1 | www.adult-x.example/de/22 | blog.adult-x.example/en/3 | m.adult-x.example/es/44 | adult-xxx.example/video/5 | xxx-porn.example/en/6 | porn-tube.example/en/7
-spam-farm.example/en/1 | www.spam-farm.example/de/22 | blog.spam-farm.example/fr/3 | m.spam-farm.example/en/44 | link-farm-spam.example/en/5 | seo-spam.example/en/6
-ads-track.example/en/1 | www.ads-track.example/de/22 | blog.ads-track.example/en/3 | m.ads-track.example/es/44 | ad-tracker.example/click/5 | ads-click.example/en/6 | track-ads.example/px/7
-loan-fast.example/apply/1 | payday-loan.example/en/2 | replica-watches.example/en/3 | free-money-win.example/en/4 | hot-singles.example/en/5 | crypto-giveaway.example/en/6
-"""
-BUCKETS, SIZES, EPOCHS, RATE, DECAY = 4096, (3, 4, 5), 400, 0.5, 1e-4
+#: The labelled table is made by `labelled_urls` from these names; label 1: block.
+BAD_NAMES = """
+casino casinos poker slots jackpot roulette blackjack betting bets bet bookmaker gambling lottery bingo pills viagra cialis pharmacy meds tablets steroids
+adult xxx porn sex nude escorts webcams hentai milf hookup spam spammer spambot backlinks seolinks linkfarm ads adserver adclick popunder banners tracker tracking
+track clickbait affiliate payday loans replica counterfeit giveaway warez keygen cracked torrents malware phishing scam
+""".split()
+BAD_WITH = "online best vip now 777 win money hot24 top club play free deals order easy cheap mega buy".split()
+GOOD_NAMES = """
+library museum university school college institute archive parliament council city village river mountain garden forest weather climate theatre orchestra music
+history science physics biology chemistry mathematics nature travel railway airport station transport bicycle football cricket tennis athletics health hospital clinic
+dental nursing education adulteducation teaching reading writing language grammar dictionary encyclopedia newspaper journal magazine radio television recipes kitchen bakery
+restaurant furniture carpentry engineering software python compiler network database hardware telescope astronomy geology ocean fishing farming dairy cattle orchard
+winter summer autumn window bridge harbour lighthouse nation citizen election justice charity bookshop stationery thinking nothing another whether together
+earth truth north south month father mother brother weather leather thunder thread throne thousand theory therapy thesis anthem athlete breathing clothing
+ration motion option action caution fraction traction relation creation vacation location solution emotion tradition condition question mention
+standing landing ending sending hearing nearing sharing sound round hound ground house mouse hour flour pound shadow shore shelter sheep sharp
+ancient content student present moment element patient silent talent recent decent event center enter letter matter water later eater heater
+nachricht stadt schule garten wetter reise kultur buch verlag bahnhof musee ville jardin voyage lecture cuisine histoire ciudad escuela cocina viaje libro jardin noticias
+""".split()
+GOOD_WITH = "north south old new national local central royal open public green first the our st".split()
+SUBDOMAINS, DOMAINS, LANGUAGES = ("", "www.", "blog.", "m."), ("example", "example.com", "example.net", "example.org"), ("en", "de", "fr", "es")
+BUCKETS, SIZES, EPOCHS, RATE, DECAY = 16384, (3, 4, 5), 1500, 8.0, 1e-4
+PART = 32
+
+
+def labelled_urls() -> list[tuple[int, str]]:
+    """(label, url): every name alone and joined with words that go with it, good ones with each other too.
+
+    What stands around the names (subdomain, domain, path) goes round alike for both labels.
+    """
+    out = []
+    for label, names, others in ((1, BAD_NAMES, BAD_WITH), (0, GOOD_NAMES, GOOD_WITH)):
+        for i, name in enumerate(names):
+            a, b, c = (others[(3 * i + k) % len(others)] for k in range(3))
+            hosts = [name, f"{name}-{a}", f"{b}-{name}", f"{c}{name}"]
+            if label == 0:
+                hosts += [f"{name}-{names[(i + 41) % len(names)]}", f"{name}{names[(i + 97) % len(names)]}"]
+            else:  # fewer names: more words with each
+                hosts += [f"{x}-{name}" for x in (a, c)] + [f"{name}-{x}" for x in (b, c)] + [f"{a}{name}", f"{name}{b}", f"{name}{i}"]
+            for k, host in enumerate(hosts):
+                at = 7 * i + 5 * k
+                tail = ("", ".html", "/")[at % 3]
+                out.append((label, f"http://{SUBDOMAINS[at % 4]}{host}.{DOMAINS[at // 4 % 4]}/{LANGUAGES[at // 16 % 4]}/{37 * i + k}{tail}"))
+    return out
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -71,43 +90,42 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def _bucket(kind: str, text: Column, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+def _grams(kind: str, part: Column) -> Column:
+    """Buckets of the n-grams that begin among the first PART characters."""
+
+    def of_size(n: int) -> Column:
+        count = F.least(F.lit(PART), F.length(part) - (n - 1))
+        one = lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(part, i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+        return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), one)).otherwise(F.array().cast("array<int>"))
+
+    return F.concat(*(of_size(n) for n in SIZES))
 
 
 def features(host: Column, path: Column) -> Column:
     """Bucket numbers of all n-grams of '^host$' and of the path without digits, one entry for each occurrence."""
-    grams = []
-    for kind, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.regexp_replace(path, "[0-9]+", "0"))):
-        for n in SIZES:
-            count = F.length(text) - (n - 1)
-            starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-            grams.append(F.when(count >= 1, F.transform(starts, _bucket(kind, text, n))).otherwise(F.array().cast("array<int>")))
-    return F.concat(*grams)
+    parts = lambda text: F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{PART + max(SIZES) - 1}}})).{{1,{PART}}}"), F.lit(1))
+    of_host = F.transform(parts(F.concat(F.lit("^"), host, F.lit("$"))), lambda x: _grams("h", x))
+    of_path = F.transform(parts(F.regexp_replace(path, "[0-9]+", "0")), lambda x: _grams("p", x))
+    return F.flatten(F.concat(of_host, of_path))
 
 
 def _fit(rows: list[tuple[int, list[int]]]) -> tuple[list[float], float]:
-    """Batch gradient descent over the labelled table, a few hundred rows at most."""
-    data = [(y, {b: x.count(b) / math.sqrt(len(x)) for b in set(x)}) for y, x in rows]
-    w, bias = [0.0] * BUCKETS, 0.0
+    """Batch gradient descent over the labelled table, some hundred rows, on the driver."""
+    y = np.array([label for label, _ in rows], float)
+    sizes = np.array([len(b) for _, b in rows])
+    at, first = np.concatenate([b for _, b in rows]), np.cumsum(sizes) - sizes
+    x = np.repeat(1 / np.sqrt(sizes), sizes)
+    w, bias = np.zeros(BUCKETS), 0.0
     for _ in range(EPOCHS):
-        step: dict[int, float] = {}
-        shift = 0.0
-        for y, x in data:
-            off = y - 1 / (1 + math.exp(-bias - sum(w[b] * v for b, v in x.items())))
-            shift += off
-            for b, v in x.items():
-                step[b] = step.get(b, 0.0) + off * v
-        for b, g in step.items():
-            w[b] += RATE * (g / len(data) * 8 - DECAY * w[b])
-        bias += RATE * shift / len(data)
-    return [round(v, 6) for v in w], round(bias, 6)
+        off = y - 1 / (1 + np.exp(-bias - np.add.reduceat(w[at] * x, first)))
+        w += RATE * (np.bincount(at, np.repeat(off, sizes) * x, BUCKETS) / len(y) - DECAY * w)
+        bias += RATE * float(off.mean())
+    return [round(float(v), 6) for v in w], round(bias, 6)
 
 
 @lru_cache(maxsize=1)
 def model(spark: SparkSession) -> tuple[list[float], float]:
-    urls = [(0, u.strip()) for line in GOOD.strip().splitlines() for u in line.split("|")] + [(1, u.strip()) for line in BAD.strip().splitlines() for u in line.split("|")]
-    df = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({y}, 'http://{u}')" for y, u in urls) + " AS t(y, url)")
+    df = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({y}, '{u}')" for y, u in labelled_urls()) + " AS t(y, url)")
     host, path = split_url(F.col("url"))
     got = df.select("y", "url", host.alias("host"), path.alias("path")).select("y", "url", features(F.col("host"), F.col("path")).alias("x")).collect()
     return _fit([(r["y"], r["x"]) for r in sorted(got, key=lambda r: r["url"])])

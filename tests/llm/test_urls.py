@@ -30,6 +30,7 @@ def test_hosts_rules_and_verdicts(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
         if fits:
             assert r["verdict"] == max(fits)[2]
+    assert by_id[19]["host"] == "y.org"
     assert by_id[15]["verdict"] == "block" and by_id[17]["verdict"] == "allow" and by_id[9]["verdict"] == by_id[10]["verdict"] == "allow"
     assert urls.filter_urls(df.limit(0)).count() == 0
 
@@ -51,3 +52,57 @@ def test_scores_by_hand(spark):
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert "Python" not in urls.filter_urls(df)._jdf.queryExecution().executedPlan().toString().replace("ExistingRDD", "")
+
+
+#: Families of hosts in the pages tables that are to be blocked; none is in the labelled table.
+FAMILIES = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+
+
+def test_hosts_that_the_table_does_not_hold(spark):
+    """Verdicts without rules over the pages table: all of the families, and hardly a page besides."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = urls.filter_urls(pages, rules=[]).collect()
+    known = {split(u)[0] for _, u in urls.labelled_urls()}
+    assert not any(f in h for f in FAMILIES for h in known) and not known & {r["host"] for r in got}
+    bad = [r for r in got if any(f in r["host"] for f in FAMILIES)]
+    rest = [r for r in got if not any(f in r["host"] for f in FAMILIES)]
+    assert len(bad) >= 10 and sum(r["verdict"] == "block" for r in bad) >= 0.95 * len(bad)
+    assert sum(r["verdict"] == "block" for r in rest) <= 0.02 * len(rest)
+
+
+def test_names_left_out(spark):
+    """Fitted without every fifth name, the machine still tells most of the names left out."""
+    host, path = urls.split_url(F.col("url"))
+    table = urls.labelled_urls()
+    df = spark.createDataFrame([(i, y, u) for i, (y, u) in enumerate(table)], "i int, y int, url string")
+    rows = df.select("i", "y", "url", host.alias("h"), path.alias("p")).select("i", "y", "url", urls.features(F.col("h"), F.col("p")).alias("x")).orderBy("i").collect()
+    out = [r for r in rows if r["i"] // 11 % 5 == 0]
+    w, bias = urls._fit([(r["y"], r["x"]) for r in rows if r["i"] // 11 % 5])
+    right = [(bias + sum(w[b] for b in r["x"]) / len(r["x"]) ** 0.5 > 0) == bool(r["y"]) for r in out]
+    assert len(out) > 300 and sum(right) >= 0.85 * len(right)
+
+
+def test_features_by_hand_and_time(spark):
+    """N-grams of each length, whole urls of any length, and time in proportion to it."""
+    import struct
+    import time
+
+    import xxhash
+
+    text = "abcdefghij" * 30 + "é/"
+    got = spark.createDataFrame([(text, "/p" * 40)], "h string, p string").select(urls.features(F.col("h"), F.col("p")).alias("x")).first()["x"]
+    want = []
+    for kind, t in (("h", f"^{text}$"), ("p", "/p" * 40)):
+        for n in urls.SIZES:
+            for i in range(len(t) - n + 1):
+                h = xxhash.xxh64(t[i : i + n].encode(), seed=xxhash.xxh64(kind.encode(), seed=42).intdigest()).digest()
+                want.append(struct.unpack(">q", h)[0] % urls.BUCKETS)
+    assert sorted(got) == sorted(want)
+    took = []
+    for n in (1000, 20_000):
+        df = spark.createDataFrame([(1, "http://" + "abcde" * n + "/")], "page_id long, url string")
+        urls.filter_urls(df).collect()
+        t = time.perf_counter()
+        urls.filter_urls(df).collect()
+        took.append(time.perf_counter() - t)
+    assert took[1] < took[0] + 5
