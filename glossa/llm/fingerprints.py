@@ -14,7 +14,7 @@ The next document by descending doc_id is found within buckets of near equal byt
 points come from a range partitioning of (id, text hash, row number) alone, where a row counts by
 its bytes, so neither equal ids nor equal rows make a large bucket.  Each bucket
 also gets a copy of the next bucket's first row, so texts are shuffled once and no task
-holds the whole order.  There is a cut for each BUCKET_BYTES of text, whatever the table's size.
+holds the whole order.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint, like
 another empty one to degree 1 and others 0; texts of fewer than CHARS code points
@@ -41,8 +41,9 @@ POSITION = 31  # bits
 LAST = (1 << POSITION) - 1
 #: K-grams that are cut from one part of a text: a cut counts code points from the part's start.
 PART = 32
-#: Bytes of a bucket; of smaller tables, the least bytes and the buckets for each core; bytes that count as one row where cuts are looked for.
-BUCKET_BYTES, LEAST_BYTES, A_CORE, UNIT = 128 << 20, 1 << 18, 4, 1 << 12
+#: Bytes of a bucket, and of a huge table's the square root of so many bytes times its size (16 GB of text have buckets of
+#: 8 MB, 100 TB some 600 MB); of a small table, the least bytes and the buckets for each core; bytes that count as one row where cuts are looked for.
+BUCKET_BYTES, GROWTH, LEAST_BYTES, A_CORE, UNIT = 8 << 20, 4096, 1 << 18, 4, 1 << 12
 _BLANK = r"\s+"
 _ALL = 1 << 30
 
@@ -126,9 +127,9 @@ def _bucket(cuts: list[tuple[int, int, int]]) -> Column:
 
 
 def _cuts(narrow: DataFrame) -> list[tuple[int, int, int]]:
-    """Where buckets after the first begin: one cut for each BUCKET_BYTES, or so that every core has some."""
+    """Where buckets after the first begin: one for each BUCKET_BYTES, more slowly in huge tables, or so that every core has some."""
     total = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    buckets = max(math.ceil(total / BUCKET_BYTES), min(math.ceil(total / LEAST_BYTES), A_CORE * narrow.sparkSession.sparkContext.defaultParallelism))
+    buckets = max(math.ceil(total / max(BUCKET_BYTES, math.isqrt(GROWTH * total))), min(math.ceil(total / LEAST_BYTES), A_CORE * narrow.sparkSession.sparkContext.defaultParallelism))
     if buckets < 2:
         return []
     units = narrow.select("down", "th", "rid", F.explode(F.array_repeat(F.lit(0), F.ceil(F.col("bytes") / UNIT).cast("int"))))
