@@ -44,9 +44,11 @@ def suggest(text: str | DataFrame, lexicon: Lexicon | None = None, context: bool
 def apply_choices(text: str | DataFrame, choices: Any) -> Any:
     """The text with ((start, end), replacement) pairs put in; for DataFrames, (doc_id, revised).
 
-    ValueError if the choices are not in document order or overlap.
+    Choices that are not in document order or overlap are a ValueError; over a DataFrame, an
+    error of the job that reads the result.
     """
     from .operators.apply import apply_choices as over
+    from .operators.apply import choice_errors
 
     if not isinstance(text, str):
         return over(text, choices)
@@ -58,4 +60,7 @@ def apply_choices(text: str | DataFrame, choices: Any) -> Any:
     spark = get_session()
     rows = [(0, i, a, b, t) for i, ((a, b), t) in enumerate(choices)]
     table = spark.createDataFrame(rows, "doc_id bigint, choice_ord int, start bigint, end bigint, replacement string")
-    return over(from_texts(spark, [text]), table).first()["revised"]
+    wrong = choice_errors(table).first()
+    if wrong is not None:
+        raise ValueError(wrong["error"])
+    return over(from_texts(spark, [text]), table, validate=False).first()["revised"]

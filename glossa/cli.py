@@ -35,7 +35,7 @@ def run_session(text: str, lexicon: Lexicon | None = None, *, read: Callable[[],
         while (m := session.current) is not None:
             err.write(_marked(m, session.default()))
             err.flush()
-            message = session.answer(read())
+            message = session.answer(review.typed(read()))
             if message:
                 err.write(message)
                 err.flush()
@@ -79,35 +79,48 @@ def _fail(message: str, code: int) -> int:
     return code
 
 
+#: What is said of a file that cannot be read or written; the first kind that fits.
+READING = {
+    FileNotFoundError: "file not found: {path}",
+    IsADirectoryError: "{path} is a directory",
+    PermissionError: "permission denied: {path}",
+    UnicodeDecodeError: "{path}: cannot decode as {e.encoding}: {e.reason}",
+}
+WRITING = {PermissionError: "cannot write to {path}: permission denied"}
+
+
+class _Failed(Exception):
+    """A message for the person at the terminal."""
+
+
+def _try(messages: dict[type[Exception], str], path: Path, action: Callable[[], str | int]) -> str | int:
+    try:
+        return action()
+    except tuple(messages) as e:
+        raise _Failed(next(m for kind, m in messages.items() if isinstance(e, kind)).format(path=path, e=e)) from e
+
+
+def _review(args: argparse.Namespace) -> int:
+    """Read, review and write one document."""
+    source = args.file
+    text = args.text if source is None else _try(READING, source, lambda: source.read_text(encoding="utf-8"))
+    revised, code = run_session(text)
+    target = source if args.in_place else args.output
+    if target is None:
+        sys.stdout.write(revised)
+    else:
+        _try(WRITING, target, lambda: target.write_text(revised, encoding="utf-8"))
+    return code
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if (wrong := _misused(args)) is not None:
         return _fail(wrong, USAGE)
-    text = args.text
-    if args.file is not None:
-        try:
-            text = args.file.read_text(encoding="utf-8")
-        except FileNotFoundError:
-            return _fail(f"file not found: {args.file}", FAILED)
-        except IsADirectoryError:
-            return _fail(f"{args.file} is a directory", FAILED)
-        except PermissionError:
-            return _fail(f"permission denied: {args.file}", FAILED)
-        except UnicodeDecodeError as e:
-            return _fail(f"{args.file}: cannot decode as {e.encoding}: {e.reason}", FAILED)
     try:
-        revised, code = run_session(text)
-    except ReviewError as e:
+        return _review(args)
+    except (_Failed, ReviewError) as e:
         return _fail(str(e), FAILED)
-    target = args.file if args.in_place else args.output
-    if target is None:
-        sys.stdout.write(revised)
-        return code
-    try:
-        target.write_text(revised, encoding="utf-8")
-    except PermissionError:
-        return _fail(f"cannot write to {target}: permission denied", FAILED)
-    return code
 
 
 if __name__ == "__main__":

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ABBREVIATIONS, BLANK_LINE, BOUNDARY
-from .spans import find_all
+from .patterns import BLANK_LINE, BOUNDARY
+from .spans import count_while, find_all
 
 
 def boundaries(text: Column) -> Column:
     """array<bigint>: where sentences after the first begin; full stops of abbreviations do not count."""
-    before = lambda m: F.lower(F.regexp_extract(m["gap"], r"([\p{L}.]*)\z", 1))
-    ends = F.filter(find_all(text, BOUNDARY), lambda m: ~(m["surface"].startswith(".") & before(m).isin(*ABBREVIATIONS)))
-    return F.transform(ends, lambda m: m["end"])
+    return F.transform(find_all(text, BOUNDARY), lambda m: m["end"])
 
 
 def block_cuts(text: Column) -> Column:
@@ -24,8 +22,9 @@ def block_cuts(text: Column) -> Column:
 def window_at(offset: Column, length: Column, cuts: Column) -> Column:
     """struct<start, end> of the part between cuts that holds the offset; beyond the end, the last part."""
     at = F.least(offset, F.greatest(length - 1, F.lit(0)))
-    start = F.coalesce(F.array_max(F.filter(cuts, lambda c: c <= at)), F.lit(0).cast("long"))
-    end = F.coalesce(F.array_min(F.filter(cuts, lambda c: c > at)), length)
+    before = count_while(cuts, lambda c: c <= at)
+    start = F.coalesce(F.get(cuts, before - 1), F.lit(0).cast("long"))
+    end = F.coalesce(F.get(cuts, before), length)
     return F.struct(start.alias("start"), end.alias("end"))
 
 

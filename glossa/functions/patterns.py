@@ -9,17 +9,21 @@ PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 #: Unicode white space as Python's \s has it, and its complement.
 SPACE = r"(?U:[\s\x1c-\x1f])"
 NOT_SPACE = r"(?U:[^\s\x1c-\x1f])"
-#: Regions of a text that are not prose, each looked for on its own.
+#: Regions of a text that are not prose, each looked for on its own.
 PROTECTED = {
     "fenced": r"(?s)```.*?```",
     "indented": r"(?md)^(?: {4}|\t).+$",
     "inline": r"`[^`\n]+`",
     "url": rf"https?://{NOT_SPACE}+",
 }
-BOUNDARY = rf"[.!?]{SPACE}+(?=[A-Z])"
-BLANK_LINE = r"\n[ \t]*\n"
+#: What a text must hold for a region of the kind; looking for it is much cheaper than the pattern.
+HINTS = {"fenced": ("```",), "indented": ("    ", "\t"), "inline": ("`",), "url": ("http",)}
 #: Words before a full stop that does not end a sentence.
 ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "no", "vol", "fig", "dept", "approx", "corp", "inc", "ltd", "est")
+_ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+#: The end of a sentence and a blank line.  An abbreviation is one only if no letter or full stop is before it.
+BOUNDARY = rf"(?:[!?]|\.(?<!(?<![\p{{L}}.])(?iu:{_ABBREVIATED})\.)){SPACE}+(?=[A-Z])"
+BLANK_LINE = r"\n[ \t]*\n"
 
 
 def any_of(words: list[str]) -> str:

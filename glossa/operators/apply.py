@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let, parts, piece
+
+#: What may be wrong with choices.
+OUT_OF_ORDER, OVERLAP = "choices are not in document order", "choices overlap"
+
 
 def transfer_case(surface: Column, replacement: Column) -> Column:
     """The replacement in upper case, with a capital, in lower case or as it is, after the surface."""
@@ -19,17 +24,26 @@ def transfer_case(surface: Column, replacement: Column) -> Column:
     )
 
 
-def spliced(text: Column, choices: Column) -> Column:
-    """The text with an ordered array of (start, end, replacement) put in; a null array changes nothing."""
-    part = lambda a, n: F.substring(text, a.cast("int") + 1, n.cast("int"))
+def spliced(of: Column, length: Column, choices: Column) -> Column:
+    """The text, given by its parts and length, with an ordered array of (start, end, replacement) put in."""
+
+    def with_gap(c: Column, i: Column) -> Column:
+        at = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(choices, i - 1)["end"])
+        return F.array(piece(of, at, c["start"] - at), transfer_case(piece(of, c["start"], c["end"] - c["start"]), c["replacement"]))
+
+    last = F.get(choices, F.size(choices) - 1)["end"]
+    return F.concat(F.array_join(F.flatten(F.transform(choices, with_gap)), ""), piece(of, last, length - last))
+
 
-    def step(acc: Column, c: Column) -> Column:
-        surface = part(c["start"], c["end"] - c["start"])
-        return F.struct(c["end"].alias("at"), F.concat(acc["out"], part(acc["at"], c["start"] - acc["at"]), transfer_case(surface, c["replacement"])).alias("out"))
+def _revised(docs: DataFrame, choices: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, revised and more columns for every document; choices: doc_id, choices (ordered array) and what `more` reads.
 
-    rest = lambda acc: F.concat(acc["out"], part(acc["at"], F.length(text)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    return F.when(choices.isNull(), text).otherwise(F.aggregate(choices, start, step, rest))
+    Texts without choices are passed on as they are.
+    """
+    joined = docs.select("doc_id", "text").join(choices, "doc_id", "left")
+    text, put = F.col("text"), F.col("choices")
+    changed = let(F.struct(parts(text).alias("parts"), F.length(text).cast("long").alias("n")), lambda t: spliced(t["parts"], t["n"], put))
+    return joined.select("*", F.when((F.size(put) > 0) & text.isNotNull(), changed).otherwise(text).alias("revised"), *more)
 
 
 def _ordered(choices: DataFrame) -> DataFrame:
@@ -39,20 +53,31 @@ def _ordered(choices: DataFrame) -> DataFrame:
     return choices.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("choices"))
 
 
+def _error(choices: Column) -> Column:
+    """What is wrong with an ordered array of choices, or null: the first pair of neighbours that does not fit."""
+
+    def fits(c: Column, i: Column) -> Column:
+        before = F.get(choices, i - 1)
+        return F.when(i == 0, F.lit(None).cast("string")).when(before["start"] > c["start"], OUT_OF_ORDER).when(before["end"] > c["start"], OVERLAP)
+
+    return F.get(F.filter(F.transform(choices, fits), lambda e: e.isNotNull()), F.lit(0))
+
+
 def choice_errors(choices: DataFrame) -> DataFrame:
     """doc_id, error for documents whose choices are out of order or overlap."""
-    pairs = _ordered(choices).select("doc_id", F.explode(F.arrays_zip(F.col("choices").alias("a"), F.slice("choices", 2, 1 << 30).alias("b"))).alias("p"))
-    a, b = F.col("p.a"), F.col("p.b")
-    error = F.when(a["start"] > b["start"], "choices are not in document order").when(a["end"] > b["start"], "choices overlap")
-    return pairs.where(b.isNotNull()).select("doc_id", error.alias("error")).where("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("error"))
+    return _ordered(choices).select("doc_id", _error(F.col("choices")).alias("error")).where("error IS NOT NULL")
 
 
 def apply_choices(docs: DataFrame, choices: DataFrame, validate: bool = True) -> DataFrame:
     """doc_id, revised for every document; without choices the text is unchanged.
 
-    choices: doc_id, start, end, replacement and, if the order given matters, choice_ord.
+    choices: doc_id, start, end, replacement and, if the order given matters, choice_ord.  With
+    validate, a document whose choices are out of order or overlap ends the job that reads it, with its
+    id and the reason; `choice_errors` lists such documents.
     """
-    if validate and (bad := choice_errors(choices).orderBy("doc_id").first()) is not None:
-        raise ValueError(f"{bad['error']} (document {bad['doc_id']})")
-    joined = docs.select("doc_id", "text").join(_ordered(choices), "doc_id", "left")
-    return joined.select("doc_id", spliced(F.col("text"), F.col("choices")).alias("revised"))
+    ordered = _ordered(choices)
+    if validate:
+        error = _error(F.col("choices"))
+        stop = F.raise_error(F.concat(error, F.lit(" (document "), F.col("doc_id").cast("string"), F.lit(")"))).cast(ordered.schema["choices"].dataType)
+        ordered = ordered.select("doc_id", F.when(error.isNotNull(), stop).otherwise(F.col("choices")).alias("choices"))
+    return _revised(docs, ordered).select("doc_id", "revised")

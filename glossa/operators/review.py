@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.inflect import inflected, inflected_column
-from .apply import apply_choices, spliced
+from .apply import _revised, apply_choices
 
 NO_CHANGE = "NO CHANGE"
 BOLD, RESET = "\x1b[1m", "\x1b[0m"
 #: A decision line that stands for an interrupt.
 INTERRUPT = "^C"
 DONE, INTERRUPTED = 0, 130
+#: Decimal digits of all scripts, and the ASCII digit of each.
+_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None)
+_PLAIN = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 
 def prompt(sentence: Column, start: Column, end: Column, alternatives: Column, default: Column | None = None, color: bool = False) -> Column:
@@ -41,14 +45,22 @@ def stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
-def parsed(matches: DataFrame, decisions: DataFrame) -> DataFrame:
-    """matches with `line`, `entered`, `number` and `valid`, one decision for each match.
+def number(entered: Column) -> Column:
+    """The integer that a stripped line stands for, as Python's int() reads it; null where it is none.
 
-    Underscores and digits beyond ASCII, which Python's int() takes, count as invalid here.
+    Any decimal digits count, single underscores between them too.  Numbers of more than nine digits
+    are no option's and come out as -1.
     """
+    plain = F.translate(entered, _DIGITS, _PLAIN)
+    digits = F.regexp_replace(F.regexp_replace(plain, "[+_-]", ""), "^0+(?=.)", "")
+    size = F.when(F.length(digits) <= 9, digits.cast("int")).otherwise(F.lit(-1))
+    return F.when(plain.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*\z"), F.when(plain.startswith("-"), -size).otherwise(size))
+
+
+def parsed(matches: DataFrame, decisions: DataFrame) -> DataFrame:
+    """matches with `line`, `entered`, `number` and `valid`, one decision for each match."""
     df = matches.join(decisions.select("doc_id", "match_ord", "line"), ["doc_id", "match_ord"], "left").withColumn("entered", stripped(F.coalesce("line", F.lit(""))))
-    number = F.when(F.col("entered").rlike(r"^[+-]?[0-9]{1,9}\z"), F.col("entered").cast("int"))
-    df = df.withColumn("number", number)
+    df = df.withColumn("number", number(F.col("entered")))
     return df.withColumn("valid", (F.col("entered") == "") | F.coalesce(F.col("number").between(0, F.size("alternatives")), F.lit(False)))
 
 
@@ -57,7 +69,8 @@ def remembered(parsed_matches: DataFrame) -> DataFrame:
     picked = F.when(F.col("valid") & (F.col("number") > 0), F.try_element_at("raws", F.col("number")))
     before = Window.partitionBy("doc_id", "base").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     df = parsed_matches.withColumn("__picked", picked).withColumn("remembered", F.last("__picked", ignorenulls=True).over(before)).drop("__picked")
-    at = F.array_position("alternatives", inflected_column(F.col("remembered"), F.col("suffix")))
+    same = F.array_position("raws", F.col("remembered"))
+    at = F.array_position("alternatives", F.try_element_at("alternatives", F.when(same > 0, same.cast("int"))))
     return df.withColumn("default_no", F.when(at > 0, at.cast("int")))
 
 
@@ -79,8 +92,7 @@ def replay(docs: DataFrame, matches: DataFrame, decisions: DataFrame) -> DataFra
     made = F.when(counts, F.struct("match_ord", "start", "end", F.try_element_at("alternatives", F.col("choice_no")).alias("replacement")))
     code = F.when(F.max("stop").isNotNull(), INTERRUPTED).otherwise(DONE)
     per_doc = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(made)).alias("choices"), code.alias("exit_code"))
-    joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
-    return joined.select("doc_id", spliced(F.col("text"), F.col("choices")).alias("revised"), F.coalesce("exit_code", F.lit(DONE)).alias("exit_code"))
+    return _revised(docs, per_doc, F.coalesce("exit_code", F.lit(DONE)).alias("exit")).select("doc_id", "revised", F.col("exit").alias("exit_code"))
 
 
 class Session:
@@ -96,18 +108,15 @@ class Session:
         return self.matches[self.at] if self.at < len(self.matches) else None
 
     def default(self) -> int | None:
+        """The option that was picked last for the base, if it is offered here too."""
         m = self.current
-        made = inflected(self.memory[m["base"]], m["suffix"]) if m["base"] in self.memory else None
-        return m["alternatives"].index(made) + 1 if made in m["alternatives"] else None
+        raw = self.memory.get(m["base"])
+        return m["alternatives"].index(m["alternatives"][m["raws"].index(raw)]) + 1 if raw in m["raws"] else None
 
-    def answer(self, line: str) -> str | None:
-        """Take one line; the message for an invalid one, which changes nothing."""
+    def answer(self, number: int | None) -> str | None:
+        """Take one line's number, null for an empty line; the message for an invalid one, which changes nothing."""
         m, n = self.current, len(self.current["alternatives"])
-        line = line.strip()
-        try:
-            number = int(line) if line else self.default() or 0
-        except ValueError:
-            number = -1
+        number = self.default() or 0 if number is None else number
         if not 0 <= number <= n:
             return f"  Invalid: enter a number from 0 to {n}.\n"
         if number:
@@ -117,6 +126,14 @@ class Session:
         return None
 
 
+def typed(line: str) -> int | None:
+    """What `answer` takes, for a line typed at a terminal."""
+    try:
+        return int(line) if line.strip() else None
+    except ValueError:
+        return -1
+
+
 def replay_lines(docs: DataFrame, matches: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, revised, exit_code, invalid: raw lines (doc_id, line_no, line), as typed.
 
@@ -126,21 +143,24 @@ def replay_lines(docs: DataFrame, matches: DataFrame, lines: DataFrame) -> DataF
 
     def run(key: tuple, ms: pd.DataFrame, ls: pd.DataFrame) -> pd.DataFrame:
         rows = [{**r, "alternatives": list(r["alternatives"]), "raws": list(r["raws"])} for r in ms.sort_values("match_ord").to_dict("records")]
-        s, typed, code, invalid = Session(rows), iter(ls.sort_values("line_no")["line"]), DONE, 0
+        ls = ls.sort_values("line_no")
+        s, answers, code, invalid = Session(rows), zip(ls["entered"], ls["number"]), DONE, 0
         while s.current is not None:
-            line = next(typed, None)
-            if line is None:
+            entered, number = next(answers, (None, -1))
+            if entered is None:
                 raise EOFError(f"document {key[0]}: no line for the occurrence at {s.current['start']}")
-            if line.strip() == INTERRUPT:
+            if entered == INTERRUPT:
                 code = INTERRUPTED
                 break
-            invalid += s.answer(line) is not None
+            invalid += s.answer(int(number) if entered else None) is not None
         out = [(key[0], a, b, t, code, invalid) for a, b, t in s.choices] or [(key[0], None, None, None, code, invalid)]
         return pd.DataFrame(out, columns=["doc_id", "start", "end", "replacement", "exit_code", "invalid"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cols = ["doc_id", "match_ord", "start", "end", "base", "suffix", "alternatives", "raws"]
-    walked = matches.select(*cols).groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, start double, end double, replacement string, exit_code int, invalid int")
+    read = lines.select("doc_id", "line_no", stripped(F.coalesce("line", F.lit(""))).alias("entered"))
+    read = read.select(F.col("doc_id").alias("doc_id"), "line_no", "entered", F.coalesce(number(F.col("entered")), F.lit(-1)).alias("number"))
+    walked = matches.select(*cols).groupBy("doc_id").cogroup(read.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, start double, end double, replacement string, exit_code int, invalid int")
     codes = walked.groupBy("doc_id").agg(F.max("exit_code").alias("exit_code"), F.max("invalid").alias("invalid"))
     made = walked.where("start IS NOT NULL").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "replacement")
     out = apply_choices(docs, made, validate=False).join(codes, "doc_id", "left")

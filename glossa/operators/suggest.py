@@ -1,62 +1,81 @@
 """Occurrences of lexicon words in documents, with alternatives and sentence windows.
 
 Everything is a projection and one broadcast join with the lexicon's closure, so a
-stream of documents runs through the same plan.  The closure is a curated list (some
-six rows for each base word); past BROADCAST_ROWS the join is left to the planner.
+stream of documents runs through the same plan; texts stay behind when occurrences become
+rows.  The closure is a curated list (some six rows for each base word); past BROADCAST_ROWS
+the join is left to the planner.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.context import block_cuts, boundaries, sentence_window
-from ..functions.patterns import PIECE, PROTECTED, WORD, WORD_CHAR, any_of
-from ..functions.spans import find_all, merged, only_spans, overlaps
+from ..functions.patterns import HINTS, PROTECTED, WORD, any_of
+from ..functions.spans import MATCH, find_all, let, merged, only_spans, overlaps, parts, piece
 from ..sources.lexicon import Lexicon
 
 BROADCAST_ROWS = 100_000
 
 
-def protected_by_kind(text: Column) -> Column:
-    """array<struct<kind, start, end>> of all protected regions, kind by kind."""
-    return F.concat(*(_of_kind(text, kind, p) for kind, p in PROTECTED.items()))
+def _kind(text: Column, kind: str) -> Column:
+    """Matches of one kind of protected region; texts without its hint are not looked through."""
+    hinted = F.lit(False)
+    for hint in HINTS[kind]:
+        hinted = hinted | F.contains(text, F.lit(hint))
+    return F.when(hinted, find_all(text, PROTECTED[kind])).when(text.isNotNull(), F.array().cast(f"array<{MATCH}>"))
 
 
-def _of_kind(text: Column, kind: str, pattern: str) -> Column:
-    return F.transform(find_all(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+def protected_by_kind(text: Column) -> Column:
+    """array<struct<kind, start, end>> of all protected regions, kind by kind."""
+    named = lambda kind: F.transform(_kind(text, kind), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    return F.concat(*(named(kind) for kind in PROTECTED))
 
 
 def protected_spans(text: Column) -> Column:
     """array<struct<start, end>>: code and links, merged and in order."""
-    return merged(F.concat(*(only_spans(find_all(text, p)) for p in PROTECTED.values())))
+    return merged(F.concat(*(only_spans(_kind(text, kind)) for kind in PROTECTED)))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, surface of every word of a batch of documents.
+def tokens(docs: DataFrame, protected: bool | None = None) -> DataFrame:
+    """doc_id, start, end, surface of every word; with `protected`, of those that overlap a protected region or do not."""
 
-    Words are many, so offsets are running sums over exploded pieces rather than a fold.
-    """
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    pieces = rows.select("doc_id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("pos", "surface"))
-    upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = pieces.withColumn("end", F.sum(F.length("surface").cast("long")).over(upto))
-    words = placed.where(F.col("surface").rlike(f"^{WORD_CHAR}"))
-    return words.select("doc_id", "row", (F.col("end") - F.length("surface")).alias("start"), "end", "surface")
+    def kept(words: Column) -> Column:
+        if protected is None:
+            return words
+        inside = lambda m, spans: overlaps(m["start"], m["end"], spans)
+        return let(protected_spans(F.col("text")), lambda spans: F.filter(words, lambda m: inside(m, spans) if protected else ~inside(m, spans)))
+
+    return docs.select("doc_id", F.inline(let(find_all(F.col("text"), WORD), kept)))
 
 
-def lexicon_matches(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with `match_ord`, `start`, `end`, `surface` and `key`: unprotected occurrences of lexicon words."""
-    words = [row[0] for row in lexicon.closure()]
+def occurrences(text: Column, words: list[str]) -> Column:
+    """array<struct<start, end, surface>>: unprotected occurrences of the words."""
     plain = all(w.isascii() and w.replace("_", "a").isalnum() for w in words)
     # Past ASCII, case folding in patterns differs from lower(): look every word up then.
-    found = find_all(F.col("text"), any_of(words) if plain else WORD)
-    df = docs.withColumn("__found", found).withColumn("__protected", F.when(F.size("__found") > 0, protected_spans(F.col("text"))))
     known = (lambda k: k.rlike(r"^[\x00-\x7f]*\z")) if plain else (lambda k: k.isin(*words))
-    kept = F.filter("__found", lambda m: known(F.lower(m["surface"])) & ~overlaps(m["start"], m["end"], F.col("__protected")))
-    df = df.select("*", F.posexplode(kept).alias("match_ord", "__m")).drop("__found", "__protected")
-    at = [F.col(f"__m.{c}").alias(c) for c in ("start", "end", "surface")]
-    return df.select("*", *at, F.lower("__m.surface").alias("key")).drop("__m")
+    free = lambda found: let(protected_spans(text), lambda spans: F.filter(found, lambda m: known(F.lower(m["surface"])) & ~overlaps(m["start"], m["end"], spans)))
+    return let(find_all(text, any_of(words) if plain else WORD), lambda found: F.when(F.size(found) > 0, free(found)).otherwise(found))
+
+
+def with_windows(df: DataFrame) -> tuple[DataFrame, Column]:
+    """df (doc_id, text, found) with helper columns, and `found` with win_start, win_end and sentence.
+
+    What windows need is taken once for each document that has occurrences.  Every step names the
+    columns of the one before more than once, so the optimizer does not fold it into the next one's
+    lambdas; and what is exploded is no column by itself, as a filter on its size would be moved below all steps.
+    """
+    text = F.col("text")
+    of = F.struct(F.length(text).cast("long").alias("n"), boundaries(text).alias("cuts"), parts(text).alias("parts"))
+    df = df.select("doc_id", "text", "found", F.when(F.size("found") > 0, of).alias("of"))
+    df = df.select("doc_id", "found", "of", F.when(F.size("of.cuts") == 0, block_cuts(text)).alias("blocks"))
+    fields = lambda m: [m[c].alias(c) for c in ("start", "end", "surface")]
+    at = lambda m: sentence_window(m["start"], F.col("of.n"), F.col("of.cuts"), F.col("blocks"))
+    df = df.select("doc_id", "of", F.transform("found", lambda m: F.struct(*fields(m), at(m).alias("w"))).alias("placed"))
+    sentence = lambda w: piece(F.col("of.parts"), w["start"], w["end"] - w["start"])
+    shown = lambda m: F.struct(*fields(m), m["w"]["start"].alias("win_start"), m["w"]["end"].alias("win_end"), sentence(m["w"]).alias("sentence"))
+    return df, F.when(F.size("placed") > 0, F.transform("placed", shown))
 
 
 def suggest(docs: DataFrame, lexicon: Lexicon | None = None, context: bool = False) -> DataFrame:
@@ -66,22 +85,18 @@ def suggest(docs: DataFrame, lexicon: Lexicon | None = None, context: bool = Fal
     sentence.  Documents without occurrences, and null texts, have no rows.
     """
     lexicon = lexicon or Lexicon.default()
+    words = [row[0] for row in lexicon.closure(docs.sparkSession)]
+    found = occurrences(F.col("text"), words)
     df = docs.select("doc_id", "text")
+    out = ["doc_id", "match_ord", "start", "end", "surface", "base", "suffix", "alternatives", "raws"]
     if context:
-        # The length too is taken once for each document: within lambdas it would be for each boundary.
-        df = df.withColumn("__n", F.length("text").cast("long")).withColumn("__s", boundaries(F.col("text"))).withColumn("__b", F.when(F.size("__s") == 0, block_cuts(F.col("text"))))
-    df = lexicon_matches(df, lexicon)
+        df, found = with_windows(df.withColumn("found", found))
+        out += ["win_start", "win_end", "sentence"]
+    df = df.select("doc_id", F.posexplode(found).alias("match_ord", "m")).select("doc_id", "match_ord", "m.*").withColumn("key", F.lower("surface"))
     closure = lexicon.closure_table(docs.sparkSession)
     if 8 * len(lexicon.entries) <= BROADCAST_ROWS:
         closure = F.broadcast(closure)
-    df = df.join(closure, "key")
-    out = ["doc_id", "match_ord", "start", "end", "surface", "base", "suffix", "alternatives", "raws"]
-    if context:
-        df = df.withColumn("__w", sentence_window(F.col("start"), F.col("__n"), F.col("__s"), F.col("__b")))
-        df = df.withColumn("win_start", F.col("__w.start")).withColumn("win_end", F.col("__w.end"))
-        df = df.withColumn("sentence", F.substring(F.col("text"), F.col("win_start").cast("int") + 1, (F.col("win_end") - F.col("win_start")).cast("int")))
-        out += ["win_start", "win_end", "sentence"]
-    return df.select(*out)
+    return df.join(closure, "key").select(*out)
 
 
 def offers(matches: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from ..functions.patterns import ABBREVIATIONS
 from ..operators import review
-from .queries import BAD_LEXICONS, corpus_lexicon, prose_sql
+from ..operators.apply import OUT_OF_ORDER, OVERLAP
+from .queries import BAD_LEXICONS, FREQUENT, PARAGRAPHS, corpus_lexicon, prose_sql
 
 _SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _C, _V = "bcdfghjklmnpqrstvwxyz", "aeiou"
@@ -23,7 +24,7 @@ _PROSE = f"prose AS (SELECT doc_id, {prose_sql()} AS text FROM documents)"
 _WORDS = r"""
 pieces AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p FROM prose)),
 placed AS (SELECT doc_id, s, CAST(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM pieces),
-words AS (SELECT doc_id, e - length(s) AS st, e AS en, s FROM placed WHERE regexp_matches(s, '^[\p{L}\p{N}_]'))"""
+words AS MATERIALIZED (SELECT doc_id, e - length(s) AS st, e AS en, s FROM placed WHERE regexp_matches(s, '^[\p{L}\p{N}_]'))"""
 
 
 def _spans(kind: str, pattern: str) -> str:
@@ -34,14 +35,16 @@ def _spans(kind: str, pattern: str) -> str:
                 SELECT doc_id, string_split_regex(text, '{pattern}') AS gs, regexp_extract_all(text, '{pattern}') AS ms FROM prose)))"""
 
 
-_PROTECTED = "raw AS (" + " UNION ALL ".join(_spans(k, p) for k, p in (
+_PROTECTED = "raw AS MATERIALIZED (" + " UNION ALL ".join(_spans(k, p) for k, p in (
     ("fenced", "(?s)```.*?```"), ("indented", r"(?m)^(?: {4}|\t).+$"), ("inline", r"`[^`\n]+`"), ("url", f"https?://[^{_SPACES}]+"),
 )) + ")"
 _MERGED = """
 reach AS (SELECT doc_id, st, en, max(en) OVER (PARTITION BY doc_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM raw),
 islands AS (SELECT *, sum(CASE WHEN upto IS NULL OR st > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY st, en) AS isle FROM reach),
 prot AS (SELECT doc_id, min(st) AS st, max(en) AS en FROM islands GROUP BY doc_id, isle)"""
-_FREE = "free AS (SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.doc_id = w.doc_id AND r.st < w.en AND r.en > w.st))"
+_FREE = """
+kept_out AS (SELECT DISTINCT w.doc_id, w.st FROM words w JOIN raw r ON r.doc_id = w.doc_id AND r.st < w.en AND r.en > w.st),
+free AS MATERIALIZED (SELECT w.* FROM words w ANTI JOIN kept_out USING (doc_id, st))"""
 
 
 def _stem(k: str) -> str:
@@ -73,8 +76,8 @@ def _inflect(w: str, s: str) -> str:
 
 _FOUND = f"""
 keyed AS (SELECT doc_id, st, en, s, lower(s) AS k, {_stem("lower(s)")} AS f FROM free),
-hits AS (SELECT doc_id, st, en, s, base, '' AS suf FROM keyed JOIN bases ON k = base
-    UNION ALL SELECT doc_id, st, en, s, base, f.suffix FROM keyed JOIN bases ON f.stem = base WHERE k NOT IN (SELECT base FROM bases)),
+hits AS MATERIALIZED (SELECT doc_id, st, en, s, b.base, CASE WHEN k = b.base THEN '' ELSE f.suffix END AS suf
+    FROM keyed JOIN bases b ON b.base = CASE WHEN k IN (SELECT base FROM bases) THEN k ELSE f.stem END),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS ord FROM hits),
 opts AS (SELECT doc_id, ord, pos, raw, m, row_number() OVER (PARTITION BY doc_id, ord ORDER BY pos) AS no FROM (
     SELECT o.doc_id, o.ord, l.pos, l.raw, {_inflect("l.raw", "o.suf")} AS m FROM ordered o JOIN lex l USING (base)) WHERE m IS NOT NULL),
@@ -99,6 +102,15 @@ defs AS (SELECT m.*, o.no AS def FROM mem m LEFT JOIN opts o ON o.doc_id = m.doc
 fin AS (SELECT *, CASE WHEN line = '' THEN coalesce(def, 0) WHEN valid THEN num ELSE 0 END AS choice FROM defs)"""
 
 
+_LINES = """
+lines AS (SELECT doc_id, ord, base, suf, st, en, s, n, doc_id * 31 + ord * 7 AS k FROM sug),
+typed AS (SELECT *, CASE WHEN k % 11 = 0 THEN '' ELSE CAST(k % (n + 1) AS VARCHAR) END AS line, CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS wrong FROM lines),
+picks AS (SELECT t.*, o.raw AS picked FROM typed t LEFT JOIN opts o ON o.doc_id = t.doc_id AND o.ord = t.ord AND t.line <> '' AND o.no = k % (n + 1)),
+mem AS (SELECT *, last_value(picked IGNORE NULLS) OVER (PARTITION BY doc_id, base ORDER BY st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM picks),
+defs AS (SELECT m.*, o.no AS def FROM mem m LEFT JOIN opts o ON o.doc_id = m.doc_id AND o.ord = m.ord AND o.raw = m.kept),
+fin AS (SELECT *, CASE WHEN line = '' THEN coalesce(def, 0) ELSE k % (n + 1) END AS choice FROM defs)"""
+
+
 def _cased(s: str, r: str) -> str:
     capital = f"upper(left({r}, 1)) || substr({r}, 2)"
     first = f"left({s}, 1)"
@@ -158,4 +170,21 @@ ORACLE_SQL: dict[str, str] = {
         {_applied("SELECT f.doc_id, f.st, f.en, f.s, o.m FROM fin f JOIN stops USING (doc_id) JOIN opts o ON o.doc_id = f.doc_id AND o.ord = f.ord AND o.no = f.choice WHERE f.choice > 0 AND (stop IS NULL OR f.ord < stop)")}
         SELECT rev.doc_id, revised, CAST(CASE WHEN stop IS NULL THEN {review.DONE} ELSE {review.INTERRUPTED} END AS BIGINT) AS exit_code FROM rev LEFT JOIN stops USING (doc_id)""",
     "lexicon_violations": _violations(),
+    "replay_lines": f"""{_BASE}, {_LINES}, {_applied("SELECT f.doc_id, f.st, f.en, f.s, o.m FROM fin f JOIN opts o ON o.doc_id = f.doc_id AND o.ord = f.ord AND o.no = f.choice WHERE f.choice > 0")},
+        told AS (SELECT doc_id, sum(wrong) AS w FROM typed GROUP BY doc_id)
+        SELECT rev.doc_id, revised, CAST({review.DONE} AS BIGINT) AS exit_code, CAST(coalesce(w, 0) AS BIGINT) AS invalid FROM rev LEFT JOIN told USING (doc_id)""",
+    "prompts_marked": f"""{_BASE}, {_BOUNDS}, {_BLANKS}, {_WINDOWS}, w2 AS (SELECT *, regexp_replace(substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)), '\\n+$', '') AS sen, string_split(alts, '|') AS a, CAST(st - ws AS BIGINT) AS i, CAST(en - st AS BIGINT) AS l, ord % 3 AS d FROM wins)
+        SELECT doc_id, ord AS match_ord, left(sen, i) || chr(27) || '[1m' || substr(sen, i + 1, l) || chr(27) || '[0m' || substr(sen, i + l + 1) || chr(10) || repeat(' ', i) || repeat('^', l) || chr(10)
+            || '  0) {review.NO_CHANGE}' || CASE WHEN d = 0 THEN ' [default]' ELSE '' END || chr(10)
+            || CASE WHEN alts = '' THEN '' ELSE array_to_string(list_transform(range(1, len(a) + 1), lambda j: '  ' || j || ') ' || a[j] || CASE WHEN d = j THEN ' [default]' ELSE '' END), chr(10)) || chr(10) END AS prompt FROM w2""",
+    "choice_errors": f"""{_BASE}, made AS (SELECT doc_id, ord, st, CASE WHEN doc_id % 5 = 0 AND ord % 4 = 1 THEN en + 40 ELSE en END AS en, CASE WHEN doc_id % 7 = 0 AND ord > 2 THEN -ord ELSE ord END AS pos FROM sug),
+        pairs AS (SELECT doc_id, pos, st, en, lead(st) OVER w AS nst FROM made WINDOW w AS (PARTITION BY doc_id ORDER BY pos, st, en)),
+        bad AS (SELECT doc_id, CASE WHEN st > nst THEN '{OUT_OF_ORDER}' ELSE '{OVERLAP}' END AS error, pos, st FROM pairs WHERE st > nst OR en > nst)
+        SELECT doc_id, error FROM bad QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, st) = 1""",
+    "text_source": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(PARAGRAPHS)) + ") AS t(doc_id, text)",
+    "file_source": f"WITH {_PROSE} SELECT doc_id % 8 AS part, true AS valid, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM prose GROUP BY 1 UNION ALL SELECT 8, false, NULL",
+    "file_sink": f"WITH {_PROSE} SELECT doc_id, text FROM prose",
+    "rewritten_in_place": f"{_BASE}, {_applied('SELECT doc_id, st, en, s, m FROM sug JOIN opts USING (doc_id, ord) WHERE ord % 2 = 0 AND no = 1')} SELECT doc_id, revised FROM rev",
+    "lexicon_file": f"WITH {_lexicon_cte()} SELECT base, CAST(pos AS BIGINT) AS alt_pos, raw FROM lex",
+    "lexicon_packaged": f"WITH {_lexicon_cte()} SELECT base, CAST(pos AS BIGINT) AS alt_pos, raw FROM lex WHERE base NOT IN ({', '.join(repr(b) for b in FREQUENT)})",
 }

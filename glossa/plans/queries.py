@@ -8,7 +8,11 @@ with a lexicon that adds a few frequent words of the corpus.
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.context import block_cuts, boundaries, window_at
 from ..functions.inflect import RULES, inflected_column, stem_column
 from ..functions.patterns import WORD
-from ..functions.spans import only_spans
 from ..operators import review
-from ..operators.apply import apply_choices, transfer_case
-from ..operators.suggest import lexicon_matches, offers, protected_by_kind, protected_spans, suggest, tokens
+from ..operators.apply import apply_choices, choice_errors, transfer_case
+from ..operators.suggest import occurrences, offers, protected_by_kind, protected_spans, suggest, tokens
 from ..sources.lexicon import Lexicon, violations
+from ..sources.texts import from_files, from_texts, replace_texts, scratch_folder, write_texts
 
 #: Frequent words of the corpus, with made-up alternatives.
 FREQUENT = {"the": ["yonder", "that very"], "of": ["belonging to"], "and": ["plus", "along-with"], "for": ["toward"], "was": ["existed"], "from": ["out of"]}
@@ -44,6 +48,7 @@ def prose_sql(text: str = "text") -> str:
     return f"{text} || chr(10) || CASE doc_id % {len(PARAGRAPHS)} {cases} END"
 
 
+@lru_cache(maxsize=1)
 def corpus_lexicon() -> Lexicon:
     return Lexicon(Lexicon.default().entries | FREQUENT)
 
@@ -57,7 +62,7 @@ def _int(df: DataFrame) -> DataFrame:
 
 
 def tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(prose(spark, sf_dir)).drop("row")
+    return tokens(prose(spark, sf_dir))
 
 
 def protected_spans_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,20 +73,12 @@ def protected_spans_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose(spark, sf_dir).select("doc_id", F.inline(protected_spans(F.col("text"))))
 
 
-def _token_rows(spark: SparkSession, sf_dir: str, inside: bool) -> DataFrame:
-    """Words joined with their document's protected spans by a range, kept or dropped."""
-    docs = prose(spark, sf_dir)
-    spans = docs.select(F.col("doc_id").alias("of"), F.inline(only_spans(protected_by_kind(F.col("text"))))).toDF("of", "from", "to")
-    on = (F.col("doc_id") == F.col("of")) & (F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))
-    return tokens(docs).join(spans, on, "left_semi" if inside else "left_anti").select("doc_id", "start", "end")
-
-
 def tokens_unprotected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_rows(spark, sf_dir, inside=False)
+    return tokens(prose(spark, sf_dir), protected=False).select("doc_id", "start", "end")
 
 
 def tokens_protected_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_rows(spark, sf_dir, inside=True)
+    return tokens(prose(spark, sf_dir), protected=True).select("doc_id", "start", "end")
 
 
 def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +122,13 @@ def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows by blank lines alone, over the closing paragraphs' documents."""
-    df = prose(spark, sf_dir).withColumn("b", block_cuts(F.col("text"))).withColumn("n", F.length("text").cast("long"))
-    df = lexicon_matches(df, corpus_lexicon()).withColumn("w", window_at(F.col("start"), F.col("n"), F.col("b")))
-    return df.select("doc_id", "start", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"))
+    """Windows by blank lines alone."""
+    text = F.col("text")
+    found = occurrences(text, [row[0] for row in corpus_lexicon().closure(spark)])
+    df = prose(spark, sf_dir).select("doc_id", "text", found.alias("found"))
+    df = df.select("doc_id", "found", F.when(F.size("found") > 0, F.struct(block_cuts(text).alias("cuts"), F.length("text").cast("long").alias("n"))).alias("of"))
+    at = lambda m: F.struct(m["start"].alias("start"), window_at(m["start"], F.col("of.n"), F.col("of.cuts")).alias("w"))
+    return df.select("doc_id", F.inline(F.transform("found", at))).select("doc_id", "start", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"))
 
 
 def _decisions(matches: DataFrame) -> DataFrame:
@@ -161,11 +161,14 @@ def case_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("surface", "replacement", transfer_case(F.col("surface"), F.col("replacement")).alias("result"))
 
 
-def apply_first_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def apply_first(docs: DataFrame) -> DataFrame:
     """The first option of every second occurrence, as an explicit table of choices."""
-    docs = prose(spark, sf_dir)
     m = suggest(docs, corpus_lexicon()).where((F.col("match_ord") % 2 == 0) & (F.size("alternatives") > 0))
-    return apply_choices(docs, m.select("doc_id", "start", "end", F.element_at("alternatives", 1).alias("replacement")), validate=False)
+    return apply_choices(docs, m.select("doc_id", "start", "end", F.element_at("alternatives", 1).alias("replacement")))
+
+
+def apply_first_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_first(prose(spark, sf_dir))
 
 
 def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,14 +177,85 @@ def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _int(review.replay(docs, m, _decisions(m)))
 
 
+def _typed_lines(matches: DataFrame) -> DataFrame:
+    """Lines as typed: some matches get one that is no option first; every match is answered in the end."""
+    k = F.col("doc_id") * 31 + F.col("match_ord") * 7
+    right = F.when(k % 11 == 0, "").otherwise((k % (F.size("alternatives") + 1)).cast("string"))
+    wrong = F.element_at(F.array(*(F.lit(x) for x in ("x", " 99 ", "-1", "1 0", "1__0"))), (k % 5 + 1).cast("int"))
+    both = F.array(F.when(k % 13 == 0, wrong), F.concat(F.lit(" "), right))
+    lines = matches.select("doc_id", "match_ord", F.posexplode(both).alias("nth", "line")).where("line IS NOT NULL")
+    return lines.select("doc_id", (F.col("match_ord") * 2 + F.col("nth")).alias("line_no"), "line")
+
+
+def replay_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = prose(spark, sf_dir)
+    m = suggest(docs, corpus_lexicon())
+    return _int(review.replay_lines(docs, m, _typed_lines(m)))
+
+
+def prompts_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts in colour with an option marked as default."""
+    m = suggest(prose(spark, sf_dir), corpus_lexicon(), context=True)
+    text = review.prompt(F.col("sentence"), F.col("start") - F.col("win_start"), F.col("end") - F.col("win_start"), F.col("alternatives"), (F.col("match_ord") % 3).cast("int"), color=True)
+    return _int(m.select("doc_id", "match_ord", text.alias("prompt")))
+
+
+def choice_errors_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with choices of which some reach too far and some come in the wrong order."""
+    m = suggest(prose(spark, sf_dir), corpus_lexicon())
+    end = F.when((F.col("doc_id") % 5 == 0) & (F.col("match_ord") % 4 == 1), F.col("end") + 40).otherwise(F.col("end"))
+    order = F.when((F.col("doc_id") % 7 == 0) & (F.col("match_ord") > 2), -F.col("match_ord")).otherwise(F.col("match_ord"))
+    return choice_errors(m.select("doc_id", "start", end.alias("end"), order.alias("choice_ord"), F.lit("x").alias("replacement")))
+
+
+def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_texts(spark, list(PARAGRAPHS))
+
+
+def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight UTF-8 files and one that is not, written to a folder and read as documents."""
+    folder = scratch_folder(spark, "files")
+    part = (F.col("doc_id") % 8).alias("part")
+    prose(spark, sf_dir).select("doc_id", part, "text").repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(f"{folder}/part")
+    spark.range(1).select(F.lit(8).alias("part"), F.unhex(F.lit("636166E9")).alias("value")).select("part", F.col("value").cast("string")).write.partitionBy("part").mode("append").text(f"{folder}/part")
+    got = from_files(spark, f"{folder}/part")
+    return got.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part"), "valid", "text")
+
+
+def file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_folder(spark, 'sink')}/out"
+    write_texts(prose(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def rewritten_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of documents replaced by their revised texts."""
+    path = f"{scratch_folder(spark, 'inplace')}/docs"
+    write_texts(prose(spark, sf_dir), path)
+    replace_texts(spark, path, lambda docs: apply_first(docs))
+    return spark.read.parquet(path)
+
+
+def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon written as TOML and loaded by its path."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "lexicon.toml"
+        path.write_text("".join(f"{json.dumps(b)} = {json.dumps(alts)}\n" for b, alts in corpus_lexicon().entries.items()), encoding="utf-8")
+        return _int(Lexicon.load(path).table(spark))
+
+
+def lexicon_packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _int(Lexicon.default().table(spark))
+
+
 #: Lexicons with and without violations: (lexicon, entry_pos, base, alternatives or None).
 BAD_LEXICONS = [
-    (0, 0, "word", ["alt1"]), (0, 1, "word", ["alt2"]),
-    (1, 0, "word1", ["shared", "unique1"]), (1, 1, "word2", ["shared", "unique2"]),
-    (2, 0, "word1", ["alt1", "alt2"]), (2, 1, "word2", ["word1", "alt3"]),
-    (3, 0, "word", ["alt1", "handle"]), (3, 1, "handle", ["grip", "hold"]),
-    (4, 0, "word", ["word", "other"]), (5, 0, "word", []), (6, 0, "word", None),
-    (7, 0, "word", ["a", "a"]), (8, 0, "good", ["fine", "fair"]),
+    (0, 0, "oak", ["elm"]), (0, 1, "oak", ["ash"]),
+    (1, 0, "cat", ["lion", "lynx"]), (1, 1, "dog", ["wolf", "lynx"]),
+    (2, 0, "red", ["pink", "rose"]), (2, 1, "blue", ["navy", "red"]),
+    (3, 0, "run", ["jog", "dash"]), (3, 1, "dash", ["dart"]),
+    (4, 0, "cold", ["chilly", "cold"]), (5, 0, "warm", []), (6, 0, "hot", None),
+    (7, 0, "wet", ["damp", "moist", "damp"]), (8, 0, "good", ["fine", "fair"]),
     (9, 0, "a", ["b", "c"]), (9, 1, "d", ["c", "a"]), (9, 2, "e", []),
 ]
 
@@ -212,4 +286,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_first_choice": apply_first_choice,
     "session_replay": session_replay,
     "lexicon_violations": lexicon_violations,
+    "replay_lines": replay_lines,
+    "prompts_marked": prompts_marked,
+    "choice_errors": choice_errors_found,
+    "text_source": text_source,
+    "file_source": file_source,
+    "file_sink": file_sink,
+    "rewritten_in_place": rewritten_in_place,
+    "lexicon_file": lexicon_file,
+    "lexicon_packaged": lexicon_packaged,
 }

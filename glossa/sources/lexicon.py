@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tomllib
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from importlib import resources
 from pathlib import Path
 from typing import Any
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
-from ..functions.inflect import RULES, inflected, stem
+from ..functions.inflect import RULES, inflected_column, stem_column
 
 
 @dataclass
@@ -24,6 +24,7 @@ class Lexicon:
     """
 
     entries: dict[str, list[str]]
+    _closure: tuple | None = field(default=None, init=False, repr=False, compare=False)
 
     @classmethod
     def load(cls, path: str | Path) -> Lexicon:
@@ -44,27 +45,39 @@ class Lexicon:
         """
         return cls(validated((r["base"], r["alts"]) for r in df.select("base", "alts").orderBy("base").collect()))
 
-    def closure(self) -> list[tuple[str, str, str, list[str], list[str]]]:
+    def closure(self, spark: SparkSession) -> list[tuple[str, str, str, list[str], list[str]]]:
         """(surface, base, suffix, alternatives, raws) of every lower-case word that matches.
 
-        `stem` has finitely many words over each base; candidates are tried forward, and a
-        word that is itself a base always stands for that base.
+        Stemming has finitely many words over each base: the suffixes put on the base, on its last letter
+        doubled or on what is left without it.  These are stemmed as any word is; a word that is itself a
+        base always stands for that base.  Worked out once for each state of the entries.
         """
-        rows = []
-        for base, alts in self.entries.items():
-            tries = {base} | {base + r.ending for r in RULES}
-            if base:
-                tries |= {base + base[-1] + e for e in ("ing", "ed")} | {base[:-1] + e for e in ("ing", "ed", "ies", "ied")}
-            for word in sorted(tries):
-                got = (word, "") if word in self.entries else stem(word)
-                if got[0] == base and word == word.lower():
-                    made = [(m, a) for a in alts if (m := inflected(a, got[1])) is not None]
-                    rows.append((word, base, got[1], [m for m, _ in made], [a for _, a in made]))
-        return rows
+        state = (id(spark), repr(self.entries))
+        if self._closure is None or self._closure[0] != state:
+            got = (tuple(r) for r in self._preimage(spark).collect())
+            place = {b: i for i, b in enumerate(self.entries)}
+            rows = [r for r in got if r[0] == r[1] or r[0] not in place]
+            self._closure = (state, sorted(rows, key=lambda r: (place[r[1]], r[0])))
+        return self._closure[1]
+
+    def _preimage(self, spark: SparkSession) -> DataFrame:
+        """What `closure` has, with words that stem to one base and are another."""
+        bases = spark.createDataFrame([(b, alts) for b, alts in self.entries.items() if b], "base string, raws array<string>")
+        endings = F.array(F.lit(""), *(F.lit(r.ending) for r in RULES))
+        shorter = F.substring("base", F.lit(1), F.length("base") - 1)
+        roots = F.array(F.col("base"), F.concat("base", F.substring("base", -1, 1)), shorter)
+        words = F.array_distinct(F.flatten(F.transform(roots, lambda root: F.transform(endings, lambda e: F.concat(root, e)))))
+        tried = bases.select("base", "raws", F.explode(words).alias("surface")).withColumn("s", stem_column(F.col("surface")))
+        own = F.col("surface") == F.col("base")
+        fits = (F.col("surface") == F.lower("surface")) & (F.col("surface") != "") & (own | (F.col("s.stem") == F.col("base")))
+        tried = tried.where(fits).select("surface", "base", "raws", F.when(own, "").otherwise(F.col("s.suffix")).alias("suffix"))
+        made = F.transform("raws", lambda a: F.struct(inflected_column(a, F.col("suffix")).alias("m"), a.alias("a")))
+        tried = tried.withColumn("made", F.filter(made, lambda x: x["m"].isNotNull()))
+        return tried.select("surface", "base", "suffix", F.col("made.m").alias("alternatives"), F.col("made.a").alias("raws"))
 
     def closure_table(self, spark: SparkSession) -> DataFrame:
         """key, base, suffix, alternatives, raws; a few rows for each base."""
-        return spark.createDataFrame(self.closure(), "key string, base string, suffix string, alternatives array<string>, raws array<string>")
+        return spark.createDataFrame(self.closure(spark), "key string, base string, suffix string, alternatives array<string>, raws array<string>")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(b, i, a) for b, alts in self.entries.items() for i, a in enumerate(alts)]
