@@ -191,7 +191,7 @@ def test_documents_without_choices_survive(spark):
 SESSIONS = [
     ("We walk home.", ["1"], "We hike home.", 0), ("We walk home.", ["2"], "We march home.", 0), ("We walk home.", ["0"], "We walk home.", 0), ("We walk. You walk.", ["1", ""], "We hike. You hike.", 0),
     ("We walk home.", [""], "We walk home.", 0), ("We walk. You walk. They walk.", ["1", "0", ""], "We hike. You walk. They hike.", 0),
-    ("We cook. Cooking takes time.", ["1", ""], "We roast. Roasting takes time.", 0), ("They press it. She presses it.", ["2", ""], "They bear on it. She presses it.", 0),
+    ("We bake. Baking takes time.", ["2", ""], "We toast. Toasting takes time.", 0), ("They press it. She presses it.", ["2", ""], "They bear on it. She presses it.", 0),
     ("We walk home.", ["abc", "99", " 1 "], "We hike home.", 0), ("We walk and cook.", ["1", "^C"], "We hike and cook.", 130), ("We WALK home.", ["1"], "We HIKE home.", 0), ("Walk home.", ["1"], "Hike home.", 0), ("nothing", [], "nothing", 0),
 ]
 
@@ -235,8 +235,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_public_api(spark):
     assert glossa.__all__ == ["Lexicon", "Match", "apply_choices", "suggest"]
-    m = glossa.suggest("Cooking it", SESSION)
-    assert m == [glossa.Match((0, 7), "Cooking", "cook", "-ing", ["roasting", "boiling"])]
+    m = glossa.suggest("Baking it", SESSION)
+    assert m == [glossa.Match((0, 6), "Baking", "bake", "-ing", ["toasting"])]
 
 
 def test_files_are_strict_about_encoding(spark, tmp_path):
