@@ -10,8 +10,8 @@ from prefix sums in two levels, so no source is gathered in one task.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source
 is one source, last in order; documents with a null doc_id take part like others;
-repeated rows are separate rows; where no text has words all targets are 0; an empty
-table gives an empty result; columns other than doc_id, text and source pass through
+repeated rows are separate rows; a text of any length is counted whole, and its blocks are rows of
+their own; where no text has words all targets are 0; an empty table gives an empty result; columns other than doc_id, text and source pass through
 `mix_documents` untouched and are ignored by `mixture`.
 """
 
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, table
+from .common import WORD, column, cut_lineage, table, unused
 
 BLOCK = 256
 #: Rounds of the swap-or-not shuffle, and cells by which a draw finds its source.
@@ -149,14 +149,19 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
 def mix_documents(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     """The mix in whole documents: each row of `docs` as often as the share of its words that is taken.
 
-    A fraction is settled by a hash of doc_id, so the words of each source stay near its target.
+    A fraction is settled by a hash of doc_id, text and the row's place in its table, so the words of each
+    source stay near its target, also where ids are null or repeated.
     """
     times = mixture(docs, seed=seed, **options).groupBy("doc_id", "skey", "th").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("ratio"))
-    skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    d, t = docs.alias("d"), times.alias("t")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (skey == F.col("t.skey")) & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("t.th"))
-    copies = F.floor(F.col("t.ratio") + F.pmod(F.xxhash64(F.col("d.doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("int")
-    return d.join(t, on).select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).drop("__copy")
+    id_, skey, th, ratio, draw = (unused(docs, n) for n in ("id_", "skey_", "th_", "ratio_", "draw_"))
+    times = times.toDF(id_, skey, th, ratio)
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn(draw, F.pmod(F.xxhash64("doc_id", text, F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(skey)) & (text == F.col(th))
+    taken = rows.join(times, on).withColumn(draw, F.floor(F.col(ratio) + F.col(draw)).cast("int"))
+    columns = [column(c) for c in docs.columns]
+    return taken.where(F.col(draw) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(draw))).alias(draw)).select(*columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

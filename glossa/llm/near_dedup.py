@@ -16,8 +16,9 @@ Two sets at the threshold agree in some band but for a chance of 3e-7.
 
 Defined results: texts without words, null and empty ones have no shingles and link
 with nothing; texts of fewer than SHINGLE words are one shingle; repeated rows and
-copies are one class; a null doc_id never names a component that has another;
-an empty table gives an empty result; extra columns pass through `deduplicate`.
+copies are one class; a null doc_id never names a component that has another; a text of any
+length is read whole (one text's shingles are held at a time); an empty table gives an empty result;
+extra columns pass through `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table
+from .common import column, cut_lineage, table, unused
 from .components import components
 from .textkit import SPACED, U, Words, mix, pieces, span_hashes
 
@@ -44,6 +45,8 @@ B, RATE, TOP = 1.001, 20.0, (1 << 15) - 1
 SLACK = 18.0
 #: Members of a bucket that are compared at once; classes up to which a lookup is broadcast (24 bytes each).
 BLOCK, BROADCAST_ROWS, COLUMNS = 512, 400_000, 1024
+#: Tasks that the members of one band value are dealt over in joins.
+SALTS = 16
 #: Rounds of stars around drawn members, and the buckets of a member that each tries.
 ROUNDS, TRIES = 1, 6
 #: Rows of a small intermediate result that one task reads.
@@ -207,8 +210,14 @@ def _paired(rows: DataFrame, other: str) -> DataFrame:
     return rows.select(F.least("cid", other).alias("a"), F.greatest("cid", other).alias("b")).where("a <> b").distinct()
 
 
+def _by_key(members: DataFrame, few: DataFrame) -> DataFrame:
+    """members joined with one row for each band value; the members of one value go to SALTS tasks."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def find_near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), n_shingles, component_id and kept for each row of `docs`."""
+    """doc_id, th (text hash), n_shingles, component_id, kept and class (label of the component) for each row of `docs`."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     rows = cut_lineage(rows.mapInArrow(_sketch, f"doc_id {doc_type}, th long, n long, s1 long, s2 long, sketch array<long>"))
@@ -218,7 +227,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = classes.select("cid", F.posexplode("sketch").alias("band", "value")).select("cid", F.xxhash64("band", "value").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    members = cut_lineage(bands.join(buckets, "key"), 4 * FEW)
+    members = cut_lineage(_by_key(bands, buckets), 4 * FEW)
     edges = _links(_paired(members.select("cid", F.explode(F.array("lo", "hi")).alias("to")), "to"), classes, docs)
     labels = cut_lineage(components(edges), FEW)
 
@@ -234,7 +243,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     # Stars around members drawn for each bucket on its own join most of what is left.
     for seed in range(ROUNDS):
         named, open_ = mixed(seed)
-        tried = named.join(open_, "key").where("label <> at")
+        tried = _by_key(named, open_).where("label <> at")
         nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("key", F.lit(seed)), "key"))
         more = _links(_paired(tried.withColumn("nth", nth).where(F.col("nth") <= TRIES), "center"), classes, docs)
         if not more.take(1):
@@ -245,10 +254,10 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
     # What is open now is compared exactly: in each bucket the members outside its most frequent
     # label with all members, buckets of the same such label taken together.
     named, open_ = mixed(ROUNDS)
-    named = cut_lineage(named.join(open_.select("key"), "key"), 4 * FEW)
+    named = cut_lineage(_by_key(named, open_.select("key")), 4 * FEW)
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    left = cut_lineage(named.join(main, "key").select("main", "cid", "label").distinct(), FEW)
+    left = cut_lineage(_by_key(named, main).select("main", "cid", "label").distinct(), FEW)
     few = F.sum((F.col("label") != F.col("main")).cast("long"))
     blocks = left.groupBy("main").agg(F.ceil(few / BLOCK).alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("ys"))
     left = left.join(_texts(left.select("cid"), classes, docs), "cid").join(blocks, "main")
@@ -263,26 +272,39 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
 
     placed = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", F.coalesce("label", "cid").alias("label"), F.col("rep.id").alias("id"))
     first = placed.groupBy("label").agg(F.min("id").alias("component"))
-    placed = placed.join(first, "label").select("s1", "s2", "component")
+    placed = placed.join(first, "label").select("s1", "s2", "component", F.col("label").alias("class"))
     own = rows.drop("sketch").join(placed, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return own.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, columns as they were; documents without words all stay."""
-    found = find_near_duplicates(docs).where("kept")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # Of rows alike in doc_id and text, the copies of a kept document, one stays if they have words.
-    found = found.groupBy("doc_id", "th").agg(F.max("n_shingles").alias("n")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), (F.col("n") > 0).alias("__words"))
-    kept = docs.withColumn("__th", F.xxhash64(text)).join(found, ["__th"]).where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    nth = F.row_number().over(Window.partitionBy("__th", "__id").orderBy("__words"))
-    kept = kept.withColumn("__nth", F.when(F.col("__words"), nth).otherwise(1)).where(F.col("__nth") == 1)
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each group, columns as they were; documents without words all stay.
+
+    Of a group the row of the smallest (doc_id, text hash) stays, null ids last; of rows alike in both, one.
+    Texts of groups of more than one row are listed with the id that stays, if any; while the list
+    is short, rows pass it in one scan, and else both are shuffled by text hash.
+    """
+    found = find_near_duplicates(docs).where("n_shingles > 0").select("doc_id", "th", "class")
+    found = cut_lineage(found)
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "th")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = cut_lineage(found.select("class", "th").distinct().join(best, "class").select("th", (F.col("th") == F.col("best.th")).alias("stays"), F.col("best.id").alias("id")).distinct(), FEW)
+    th, stays, id_ = (unused(docs, n) for n in ("th_", "stays_", "id_"))
+    listed = texts.select(F.col("th").alias(th), F.col("stays").alias(stays), F.col("id").alias(id_))
+    rows = docs.withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    theirs = F.col(stays) & F.col("doc_id").eqNullSafe(F.col(id_))
+    nth = F.row_number().over(Window.partitionBy(th, "doc_id").orderBy(F.lit(0)))
+    columns = [column(c) for c in docs.columns]
+    if texts.count() <= BROADCAST_ROWS:
+        alone = rows.join(F.broadcast(listed), th, "left_anti").select(*columns)
+        one = rows.join(F.broadcast(listed.where(F.col(stays))), th).where(theirs).withColumn(stays, nth).where(F.col(stays) == 1)
+        return alone.unionByName(one.select(*columns))
+    joined = rows.join(listed, th, "left").where(F.col(stays).isNull() | theirs)
+    return joined.withColumn(id_, nth).where(F.col(stays).isNull() | (F.col(id_) == 1)).select(*columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+    return find_near_duplicates(table(spark, sf_dir, "documents")).drop("th", "class")
 
 
 _TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,6 +1,6 @@
 """Quality by a factorisation machine over hashed words, structure statistics and metadata.
 
-Inputs of a document are its words (each occurrence 1/n at its hashed bucket) and a
+Inputs of a document are the hashed buckets of its words, each with its share of the words, and a
 one-hot bin for each structure statistic and for its length.  The score is the
 logistic of bias, linear terms and all pairwise terms <v_i, v_j> x_i x_j, which the
 identity sum_f ((sum v x)^2 - sum v^2 x^2) / 2 gives in time linear in the words.
@@ -8,7 +8,8 @@ Fitted on the driver by AdaGrad over a bounded labelled sample; scoring is one p
 
 Defined results: a null or empty text is scored by its (lowest) bins alone; without
 labels of both kinds every score is the share of good labels (0 if none); repeated
-rows are scored alike; an empty table gives an empty result; extra columns are ignored.
+rows are scored alike; a text of any length is scored whole; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,10 +63,12 @@ def statistics(texts: list, w: Words) -> np.ndarray:
     ], 1)
 
 
-def inputs(texts: list) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the batch, the bucket of each, and the statistics."""
+def inputs(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's features begin (and the end of all), the distinct word buckets, each one's share of the text's words, and the statistics."""
     w = Words(texts, SPACED)
-    return w, (w.hashes >> U(64 - 13)).astype(np.int64), statistics(texts, w)
+    keys, counts = np.unique(w.doc * BUCKETS + (w.hashes >> U(64 - 13)).astype(np.int64), return_counts=True)
+    doc = keys // BUCKETS
+    return np.searchsorted(doc, np.arange(len(texts) + 1)), keys % BUCKETS, counts / w.n[doc], statistics(texts, w)
 
 
 class Machine:
@@ -78,7 +81,8 @@ class Machine:
         cols = [np.searchsorted(e, c, "right") for e, c in zip(self.edges, stats.T)]
         return np.stack(cols, 1) + BUCKETS + np.arange(N_STATS) * BINS
 
-    def fit(self, docs: list[np.ndarray], stats: np.ndarray, y: np.ndarray) -> Machine:
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.ndarray) -> Machine:
+        """docs: distinct buckets and their shares, for each document."""
         rng = np.random.Generator(np.random.PCG64(8))
         size = BUCKETS + N_STATS * BINS
         w, v = np.zeros(size), rng.normal(0, 0.05, (size, RANK))
@@ -89,9 +93,9 @@ class Machine:
             order = rng.permutation(len(y))
             for lo in range(0, len(y), BATCH):
                 part = order[lo : lo + BATCH]
-                idx = np.concatenate([np.concatenate((docs[i], bins[i])) for i in part])
-                x = np.concatenate([np.concatenate((np.full(len(docs[i]), 1 / max(1, len(docs[i]))), np.ones(N_STATS) / N_STATS**0.5)) for i in part])
-                start = np.cumsum([0] + [len(docs[i]) + N_STATS for i in part])
+                idx = np.concatenate([np.concatenate((docs[i][0], bins[i])) for i in part])
+                x = np.concatenate([np.concatenate((docs[i][1], np.ones(N_STATS) / N_STATS**0.5)) for i in part])
+                start = np.cumsum([0] + [len(docs[i][0]) + N_STATS for i in part])
                 owner = np.repeat(np.arange(len(part)), np.diff(start))
                 vx = v[idx] * x[:, None]
                 s = np.add.reduceat(vx, start[:-1])
@@ -114,15 +118,14 @@ class Machine:
     def score(self, texts: list) -> np.ndarray:
         if self.w is None:
             return np.full(len(texts), self.share)
-        words, idx, stats = inputs(texts)
-        n, some = len(texts), np.flatnonzero(words.n)
+        first, idx, x, stats = inputs(texts)
+        n, some = len(texts), np.flatnonzero(np.diff(first))
         lin, s, sq = np.zeros(n), np.zeros((n, RANK)), np.zeros((n, RANK))
         if len(some):
-            at, x = words.first[:-1][some], (1 / words.n[some])[:, None]
-            vx = self.v[idx]
-            lin[some] = np.add.reduceat(self.w[idx], at) * x[:, 0]
-            s[some] = np.add.reduceat(vx, at, dtype=np.float64) * x
-            sq[some] = np.add.reduceat(vx * vx, at, dtype=np.float64) * x**2
+            at, vx = first[:-1][some], self.v[idx] * x[:, None]
+            lin[some] = np.add.reduceat(self.w[idx] * x, at)
+            s[some] = np.add.reduceat(vx, at)
+            sq[some] = np.add.reduceat(vx * vx, at)
         b, x = self.bins(stats), 1 / N_STATS**0.5
         vb = self.v[b] * x
         s, sq, lin = s + vb.sum(1), sq + (vb**2).sum(1), lin + self.w[b].sum(1) * x
@@ -136,17 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_siz
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in pieces(texts, 1 << 19):
-                w, idx, stats = inputs(texts[lo:hi])
-                lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(idx.astype(np.int16)))
+                first, idx, x, stats = inputs(texts[lo:hi])
+                at = pa.array(first.astype(np.int32))
+                words, shares = pa.ListArray.from_arrays(at, pa.array(idx.astype(np.int16))), pa.ListArray.from_arrays(at, pa.array(x))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * N_STATS), pa.array(stats.ravel()))
-                yield pa.RecordBatch.from_arrays([lists, flat, b.column("y").slice(lo, hi - lo)], ["words", "stats", "y"])
+                yield pa.RecordBatch.from_arrays([words, shares, flat, b.column("y").slice(lo, hi - lo)], ["words", "shares", "stats", "y"])
 
-    got = sample.mapInArrow(run, "words array<short>, stats array<double>, y int").toArrow()
+    # At most BUCKETS features a row, whatever a text's length.
+    got = sample.mapInArrow(run, "words array<short>, shares array<double>, stats array<double>, y int").toArrow()
     y = np.array(got.column("y").to_pylist(), float)
     share = float(y.mean()) if len(y) else 0.0
     stats = np.array(got.column("stats").to_pylist()).reshape(-1, N_STATS)
-    words = [np.array(x.values, np.int64) if x.values is not None else np.zeros(0, np.int64) for x in got.column("words")]
-    order = sorted(range(len(y)), key=lambda i: (*stats[i], len(words[i]), y[i]))  # the same on every run
+    lists = lambda c, kind: [np.array(x.values, kind) if x.values is not None else np.zeros(0, kind) for x in got.column(c)]
+    words = list(zip(lists("words", np.int64), lists("shares", float)))
+    order = sorted(range(len(y)), key=lambda i: (*stats[i], len(words[i][0]), y[i]))  # the same on every run
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(y) else np.zeros(0) for c in stats.T]
     edges = [np.unique(np.append(e, [c.max()])[: BINS - 1]) if len(e) and c.max() > e[-1] and len(e) < BINS - 1 else e for e, c in zip(edges, stats.T)]
     model = Machine(share, edges)

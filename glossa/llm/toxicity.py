@@ -9,8 +9,8 @@ scoring is one pass over the documents.
 
 Defined results: a null or empty text gets the score of a document without any
 feature; without labels of both kinds every score is the share of toxic labels
-(0 if there are none); repeated rows are scored alike; an empty table gives an empty
-result; extra columns are ignored by `score_toxicity` and kept by `drop_toxic`.
+(0 if there are none); repeated rows are scored alike; a text of any length is scored whole; an
+empty table gives an empty result; extra columns are ignored by `score_toxicity` and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 from .labelled import fold, labelled_sample
 from .textkit import ALNUM, BYTE_VALUES, U, Words, mix, pieces, span_hashes
 
@@ -252,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_size:
     return Model(lexicon, x, np.array([r["y"] for r in got], float)[order])
 
 
-def _scored(model: Model, docs: DataFrame, keep_below: float | None) -> DataFrame:
-    """docs with a column __score; with keep_below only the rows under it, scored and dropped in one pass."""
+def _scored(model: Model, docs: DataFrame, keep_below: float | None, name: str) -> DataFrame:
+    """docs with a column `name`; with keep_below only the rows under it, scored and dropped in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,24 +262,24 @@ def _scored(model: Model, docs: DataFrame, keep_below: float | None) -> DataFram
             for lo, hi in pieces(texts, 1 << 19):
                 score = shared.value.score(texts[lo:hi])
                 part = b.slice(lo, hi - lo)
-                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "__score"])
+                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
                 yield out if keep_below is None else out.filter(pa.array(score < keep_below))
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `docs`."""
-    model = train(docs, labels)
-    s = _scored(model, docs.select("doc_id", "text"), None)
-    return s.select("doc_id", (F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(-1)) == HELD).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    s = _scored(train(docs, labels), docs.select("doc_id", "text"), None, "score")
+    return s.select("doc_id", (F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(-1)) == HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below the threshold, columns as they were."""
-    return _scored(train(docs, labels), docs, threshold).drop("__score")
+    """The rows of `docs` that score below the threshold, columns as they were, whatever their names."""
+    name = unused(docs, "score_")
+    return _scored(train(docs, labels), docs, threshold, name).drop(name)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from glossa.llm import quality, toxicity
+from glossa.llm.textkit import SPACED, Words
 from tests.llm.conftest import DOCS, make_docs
 
 LABEL = "doc_id long, quality int, toxic int, text string"
@@ -63,17 +65,62 @@ def test_without_labels(spark, labelled):
 
 
 def test_sum_of_squares_identity(labelled):
+    """The score against all pairs of distinct features, counted without the module's own inputs; words repeat."""
     rows, labels = labelled
-    texts = [t for _, t, _ in rows[:80]]
-    w, idx, stats = quality.inputs(texts)
+    texts = [f"{t} {t} tail tail tail" for _, t, _ in rows[:80]]
+    first, idx, x, stats = quality.inputs(texts)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, 7)[1:-1])) for c in stats.T]
     y = np.array([q for _, q, _, _ in labels[:80]], float)
-    m = quality.Machine(float(y.mean()), edges).fit([idx[a:b] for a, b in zip(w.first, w.first[1:])], stats, y)
-    k = 3
-    features = [(b, 1 / w.n[k]) for b in idx[w.first[k] : w.first[k + 1]]] + [(b, quality.N_STATS**-0.5) for b in m.bins(stats)[k]]
-    f = m.bias + sum(m.w[b] * x for b, x in features)
-    f += sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) * x * z for i, (a, x) in enumerate(features) for b, z in features[i + 1 :])
-    assert m.score(texts)[k] == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-5)
+    m = quality.Machine(float(y.mean()), edges).fit([(idx[a:b], x[a:b]) for a, b in zip(first, first[1:])], stats, y)
+    for k in (3, 40):
+        words = texts[k].split()
+        bucket = {t: int(Words([t], SPACED).hashes[0]) >> 64 - 13 for t in set(words)}
+        counts = Counter(bucket[t] for t in words)
+        features = [(b, c / len(words)) for b, c in counts.items()] + [(b, quality.N_STATS**-0.5) for b in m.bins(stats)[k]]
+        f = m.bias + sum(m.w[b] * z for b, z in features)
+        f += sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) * u * z for i, (a, u) in enumerate(features) for b, z in features[i + 1 :])
+        assert m.score(texts)[k] == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-5)
+
+
+def test_trees_by_hand():
+    """Scores of the boosted trees are those of walking each tree row by row, and fit what they are fitted on."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] < -0.2)).astype(float)
+    b = toxicity.Boosted().fit(x, y)
+    raw = b.raw(x)
+    for i in range(0, 600, 29):
+        f = b.bias
+        for tree, leaves in b.trees:
+            node = 0
+            for split, cut in tree:
+                j = split[node]
+                bins = sum(1 for e in b.edges[j] if e < x[i, j])
+                node = 2 * node + (bins > cut[node])
+            f += leaves[node]
+        assert raw[i] == pytest.approx(f)
+    assert ((raw > 0) == (y == 1)).mean() > 0.97
+
+
+def test_lexicon_counts_by_hand():
+    """Documents by label for every word and beginning, each document once."""
+    import pyarrow as pa
+
+    texts, y = ["bad badly bad", "good word", None, "b4d words"], [1, 0, 0, 1]
+    got = list(toxicity._count_keys(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(y, pa.int32())], ["text", "y"])])))
+    counts = {(r["key"], r["pos"], r["neg"]) for b in got for r in b.to_pylist()}
+    key = lambda t: int(np.array(Words([t], toxicity._WORD).hashes).view(np.int64)[0])
+    assert {(key("bad"), 2, 0), (key("badly"), 1, 0), (key("good"), 0, 1), (key("word"), 0, 1), (key("words"), 1, 0)} <= counts
+    start = key("word")  # 'words' begins with it, under a key of its own
+    assert sum(1 for k, *_ in counts if k == start) == 1
+
+
+def test_labels_of_absent_documents_take_no_room(spark, labelled):
+    from glossa.llm.labelled import labelled_sample
+
+    rows, _ = labelled
+    labels = spark.createDataFrame([(i, 1, 0, "x") for i in range(100_000, 100_300)] + [(i, 1, 0, "x") for i, *_ in rows[:30]], LABEL)
+    assert labelled_sample(make_docs(spark, rows), labels, "quality", 5, 9, 30).count() == 30
 
 
 def test_isotonic_is_monotone_and_fits():

@@ -44,7 +44,8 @@ def test_all_windows(spark, corpus, items, limit, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
     rows = corpus + items[1]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items[0]], ITEM)
-    got = decontaminate.find_overlaps(make_docs(spark, rows), bench).drop("th").collect()
+    monkeypatch.setattr(decontaminate, "LOOKUP_WINDOWS", limit)
+    got = decontaminate.find_overlaps(make_docs(spark, rows), bench).collect()
     want = brute(rows, items[0])
     assert sorted((tuple(r) for r in got), key=str) == want
     assert sum(r[-1] for r in want) >= 5
@@ -57,3 +58,26 @@ def test_empty_tables(spark, corpus):
     docs = make_docs(spark, corpus)
     assert {r["contaminated"] for r in decontaminate.find_overlaps(docs, none).collect()} == {False}
     assert decontaminate.find_overlaps(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_picks_are_the_least_of_each_window():
+    """Against a walk over every window; any shared window has the same pick in both texts."""
+    import random
+
+    import numpy as np
+
+    from glossa.llm.textkit import ALNUM, Words
+
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcde") for _ in range(n)) for n in (0, 5, 9, 10, 11, 40, 300)]
+    w = Words(texts, ALNUM)
+    fp, at = decontaminate.picks(w)
+    grams, where = w.grams(decontaminate.K)
+    hash_at = dict(zip(where.tolist(), grams.tolist()))
+    want = set()
+    for d in range(len(texts)):
+        for i in range(int(w.first[d]), int(w.first[d + 1]) - decontaminate.WINDOW + 1):
+            want.add(min(range(i, i + decontaminate.GRAMS), key=lambda j: (hash_at[j], -j)))
+    assert at.tolist() == sorted(want) and fp.tolist() == [hash_at[i] for i in sorted(want)]
+    own, starts, wh = decontaminate.around(w, fp, at)
+    assert {i for d in range(len(texts)) for i in range(int(w.first[d]), int(w.first[d + 1]) - 9)} == set(np.unique(starts).tolist())
