@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm.common import stage_folder, table
+from glossa.llm.common import remove_folder, stage_folder, table
 from glossa.llm.decontaminate import drop_contaminated
 from glossa.llm.mixing import mix_documents
 from glossa.llm.near_dedup import deduplicate
@@ -52,14 +52,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the results between stages stay in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage wrote goes when the next one has written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = stage_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Classifier, sketches and draws are beyond SQL; tests hold each stage against a brute-force version.
+#: Classifier, sketches and draws are beyond SQL; tests hold the stages that follow rules against plain Python on a small fixture.
 ORACLE_SQL: str | None = None
