@@ -73,3 +73,9 @@ def column(name: str) -> Column:
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A new folder for what a stage writes."""
     return f"{_shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete what a stage wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
