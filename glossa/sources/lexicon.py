@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tomllib
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from importlib import resources
 from pathlib import Path
 from typing import Any
@@ -24,7 +25,6 @@ class Lexicon:
     """
 
     entries: dict[str, list[str]]
-    _closure: tuple | None = field(default=None, init=False, repr=False, compare=False)
 
     @classmethod
     def load(cls, path: str | Path) -> Lexicon:
@@ -50,15 +50,9 @@ class Lexicon:
 
         Stemming has finitely many words over each base: the suffixes put on the base, on its last letter
         doubled or on what is left without it.  These are stemmed as any word is; a word that is itself a
-        base always stands for that base.  Worked out once for each state of the entries.
+        base always stands for that base.  Worked out once for equal entries.
         """
-        state = (id(spark), repr(self.entries))
-        if self._closure is None or self._closure[0] != state:
-            got = (tuple(r) for r in self._preimage(spark).collect())
-            place = {b: i for i, b in enumerate(self.entries)}
-            rows = [r for r in got if r[0] == r[1] or r[0] not in place]
-            self._closure = (state, sorted(rows, key=lambda r: (place[r[1]], r[0])))
-        return self._closure[1]
+        return list(_closure(spark, tuple((b, tuple(alts)) for b, alts in self.entries.items())))
 
     def _preimage(self, spark: SparkSession) -> DataFrame:
         """What `closure` has, with words that stem to one base and are another."""
@@ -84,6 +78,13 @@ class Lexicon:
         return spark.createDataFrame(rows, "base string, alt_pos int, raw string")
 
 
+@lru_cache(maxsize=8)
+def _closure(spark: SparkSession, entries: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple]:
+    place = {b: i for i, (b, _) in enumerate(entries)}
+    got = (tuple(r) for r in Lexicon({b: list(alts) for b, alts in entries})._preimage(spark).collect())
+    return sorted((r for r in got if r[0] == r[1] or r[0] not in place), key=lambda r: (place[r[1]], r[0]))
+
+
 def _parsed(data: bytes, name: str) -> dict[str, Any]:
     try:
         return tomllib.loads(data.decode("utf-8"))
