@@ -35,7 +35,7 @@ def spliced(of: Column, length: Column, choices: Column) -> Column:
     return F.concat(F.array_join(F.flatten(F.transform(choices, with_gap)), ""), piece(of, last, length - last))
 
 
-def _revised(docs: DataFrame, choices: DataFrame, *more: Column) -> DataFrame:
+def revised(docs: DataFrame, choices: DataFrame, *more: Column) -> DataFrame:
     """doc_id, revised and more columns for every document; choices: doc_id, choices (ordered array) and what `more` reads.
 
     Texts without choices are passed on as they are.
@@ -80,4 +80,4 @@ def apply_choices(docs: DataFrame, choices: DataFrame, validate: bool = True) ->
         error = _error(F.col("choices"))
         stop = F.raise_error(F.concat(error, F.lit(" (document "), F.col("doc_id").cast("string"), F.lit(")"))).cast(ordered.schema["choices"].dataType)
         ordered = ordered.select("doc_id", F.when(error.isNotNull(), stop).otherwise(F.col("choices")).alias("choices"))
-    return _revised(docs, ordered).select("doc_id", "revised")
+    return revised(docs, ordered).select("doc_id", "revised")

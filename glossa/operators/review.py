@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .apply import _revised, apply_choices
+from .apply import revised
 
 NO_CHANGE = "NO CHANGE"
 BOLD, RESET = "\x1b[1m", "\x1b[0m"
@@ -92,7 +92,7 @@ def replay(docs: DataFrame, matches: DataFrame, decisions: DataFrame) -> DataFra
     made = F.when(counts, F.struct("match_ord", "start", "end", F.try_element_at("alternatives", F.col("choice_no")).alias("replacement")))
     code = F.when(F.max("stop").isNotNull(), INTERRUPTED).otherwise(DONE)
     per_doc = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(made)).alias("choices"), code.alias("exit_code"))
-    return _revised(docs, per_doc, F.coalesce("exit_code", F.lit(DONE)).alias("exit")).select("doc_id", "revised", F.col("exit").alias("exit_code"))
+    return revised(docs, per_doc, F.coalesce("exit_code", F.lit(DONE)).alias("exit")).select("doc_id", "revised", F.col("exit").alias("exit_code"))
 
 
 class Session:
@@ -153,18 +153,17 @@ def replay_lines(docs: DataFrame, matches: DataFrame, lines: DataFrame) -> DataF
                 code = INTERRUPTED
                 break
             invalid += s.answer(int(number) if entered else None) is not None
-        out = [(key[0], a, b, t, code, invalid) for a, b, t in s.choices] or [(key[0], None, None, None, code, invalid)]
-        return pd.DataFrame(out, columns=["doc_id", "start", "end", "replacement", "exit_code", "invalid"])
+        made = [{"start": a, "end": b, "replacement": t} for a, b, t in s.choices]
+        return pd.DataFrame({"doc_id": [key[0]], "choices": [made], "code": [code], "wrong": [invalid]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cols = ["doc_id", "match_ord", "start", "end", "base", "suffix", "alternatives", "raws"]
     read = lines.select("doc_id", "line_no", stripped(F.coalesce("line", F.lit(""))).alias("entered"))
     read = read.select(F.col("doc_id").alias("doc_id"), "line_no", "entered", F.coalesce(number(F.col("entered")), F.lit(-1)).alias("number"))
-    walked = matches.select(*cols).groupBy("doc_id").cogroup(read.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, start double, end double, replacement string, exit_code int, invalid int")
-    codes = walked.groupBy("doc_id").agg(F.max("exit_code").alias("exit_code"), F.max("invalid").alias("invalid"))
-    made = walked.where("start IS NOT NULL").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "replacement")
-    out = apply_choices(docs, made, validate=False).join(codes, "doc_id", "left")
-    return out.select("doc_id", "revised", F.coalesce("exit_code", F.lit(DONE)).alias("exit_code"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
+    schema = f"doc_id {kind}, choices array<struct<start:bigint,end:bigint,replacement:string>>, code int, wrong int"
+    walked = matches.select(*cols).groupBy("doc_id").cogroup(read.groupBy("doc_id")).applyInPandas(run, schema)
+    out = revised(docs, walked, F.coalesce("code", F.lit(DONE)).alias("exit_code"), F.coalesce("wrong", F.lit(0)).alias("invalid"))
+    return out.select("doc_id", "revised", "exit_code", "invalid")
 
 
 def fetch(matches: DataFrame) -> Iterator[dict]:
