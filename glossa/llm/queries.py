@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, fingerprints, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
+from . import decontaminate, divergence, exact_dedup, fingerprints, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,11 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_sharding": sharding.op10_sharding,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op11_source_divergence": divergence.OP11_SQL,
     "op12_exact_dedup": exact_dedup.OP12_SQL,
 }
