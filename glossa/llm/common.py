@@ -79,3 +79,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete what a stage wrote."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder, with the folders above its new place made first."""
+    at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(at, new):
+        raise OSError(f"could not move {path} to {to}")

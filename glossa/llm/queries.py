@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, exact_dedup, fingerprints, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
+from . import decontaminate, divergence, exact_dedup, expiring, fingerprints, html_text, mixing, near_dedup, quality, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_expiring_dedup": expiring.op13_expiring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,0 +1,146 @@
+"""Expiring windows against a plain walk through the rows."""
+
+import hashlib
+import math
+from collections import defaultdict
+from datetime import datetime
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import glossa.llm.expiring as ex
+
+EPOCH = datetime(1970, 1, 1)
+
+
+def micros(t):
+    d = t - EPOCH
+    return (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds
+
+
+def plain_copies(clicks):
+    """(click_id, hour, line, hash) of every copy; clicks: dicts."""
+    out = []
+    show = lambda v: "" if v is None else str(v)
+    for r in clicks:
+        if r["arrived_at"] is None:
+            continue
+        for j in range((r["click_id"] or 0) % 3 + 1):
+            c = crc32(f"{show(r['click_id'])}:{j}".encode())
+            hour = micros(r["arrived_at"]) // 3_600_000_000 + 6 * j * (c % 10)
+            value = None if r["value"] is None or math.isnan(r["value"]) else math.floor(100 * r["value"] + 0.5)
+            ts = None if r["ts"] is None else micros(r["ts"])
+            text = "|".join(map(show, (r["client_id"], r["kind"], value, ts, r["props"], c % 3)))
+            out.append((r["click_id"], hour, hour + c // 10 % 200, hashlib.sha256(text.encode()).hexdigest()))
+    return out
+
+
+def plain(clicks, batches=8):
+    rows = plain_copies(clicks)
+    low, high = min(r[2] for r in rows), max(r[2] for r in rows)
+    cut = defaultdict(list)
+    for i, h, line, x in rows:
+        cut[(line - low) * batches // (high - low + 1)].append((i, h, x))
+    windows, out, latest = {}, [], None
+    for b in range(batches):
+        kept = [r for r in cut[b] if latest is None or r[1] >= latest - 96]
+        for i, h, x in sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2])):
+            w = windows.get(i)
+            if w is not None and h <= w["start"] + 24:
+                w["n"] += 1
+                if x != w["hash"]:
+                    w["c"] += 1
+                    w["crc"] += crc32(x.encode())
+                continue
+            if w is not None:
+                out.append((i, w["start"], b, w["n"], w["c"], w["crc"], w["hash"]))
+            windows[i] = {"start": h, "hash": x, "n": 0, "c": 0, "crc": 0}
+        latest = max([h for _, h, _ in cut[b]] + ([] if latest is None else [latest]))
+        for i in [i for i, w in windows.items() if b == batches - 1 or w["start"] + 24 < latest - 96]:
+            w = windows.pop(i)
+            out.append((i, w["start"], b, w["n"], w["c"], w["crc"], w["hash"]))
+    return sorted(out, key=repr)
+
+
+def test_stream_equals_a_plain_walk(spark, tmp_path):
+    clicks = spark.read.parquet("/root/testdata/sf0.001/clicks.parquet")
+    odd = clicks.limit(1).select("click_id").select(F.explode(F.sequence(F.lit(0), F.lit(119))).alias("i"))
+    at = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, i * 5, 0, 0)")
+    # One click all the time, clicks without id, arrival, value or time, and repeats alike in everything.
+    odd = odd.select(
+        F.when(F.col("i") % 4 == 0, None).when(F.col("i") % 4 == 1, 2).otherwise(900_000_000_000 + F.col("i") % 7).cast("long").alias("click_id"),
+        F.when(F.col("i") % 5 > 0, at).alias("ts"), F.when(F.col("i") % 11 > 0, at).alias("arrived_at"), F.when(F.col("i") % 3 > 0, 7).cast("long").alias("client_id"),
+        F.when(F.col("i") % 2 == 0, "view").alias("kind"), F.when(F.col("i") % 6 == 1, float("nan")).when(F.col("i") % 6 > 1, F.col("i") / 8 - 3).alias("value"), F.when(F.col("i") % 9 == 0, F.repeat(F.lit("é|"), 30_000)).alias("props"),
+    )
+    both = clicks.unionByName(odd).unionByName(odd.where("click_id = 2 OR click_id IS NULL"))
+    both = both.withColumn("hash", F.lit("x")).withColumn("bucket", F.lit(1)).withColumn("batch", F.lit(3))
+    both.write.parquet(str(tmp_path / "clicks"))
+    both = spark.read.parquet(str(tmp_path / "clicks"))
+    want = plain([r.asDict() for r in both.collect()])
+    before, ex.BUCKET_ROWS = ex.BUCKET_ROWS, 3000
+    try:
+        got = ex.expiring_windows(both)
+    finally:
+        ex.BUCKET_ROWS = before
+    assert got.columns == ["click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "hash"]
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert any(w[0] is None for w in want) and any(w[4] for w in want) and len({w[2] for w in want}) == 8
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_empty_table_and_clicks_without_arrival(spark):
+    clicks = spark.read.parquet("/root/testdata/sf0.001/clicks.parquet")
+    assert ex.expiring_windows(clicks.where("false")).collect() == []
+    assert ex.expiring_windows(clicks.limit(3).withColumn("arrived_at", F.lit(None).cast("timestamp_ntz"))).collect() == []
+
+
+def test_times_without_zone_are_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00.000001' AS a, TIMESTAMP '2024-03-10T02:30:00.000001Z' AS b")
+        assert tuple(df.select(ex.micros(df, "a"), ex.micros(df, "b")).first()) == (1710037800000001, 1710037800000001)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_batches_of_random_rows(seed):
+    """Windows of the two operators, bucket by bucket, against the walk."""
+    rnd = np.random.default_rng(seed)
+    opened, walk, got, want = np.zeros(0, ex._OPEN), {}, [], []
+    counts = defaultdict(lambda: [0, 0, 0, None])
+    for batch in range(8):
+        n = int(rnd.integers(0, 200))
+        rows = np.zeros(n, ex._ROW)
+        rows["none"], rows["hour"], rows["n"] = rnd.random(n) < 0.1, 60 * batch + rnd.integers(-80, 200, n), 1
+        rows["id"] = np.where(rows["none"], 0, rnd.integers(-3, 9, n))
+        rows["hash"] = rnd.choice([bytes([k]) + bytes(30) + b"\x01" for k in range(4)], n)
+        rows["crc"] = rnd.integers(0, 1 << 32, 256)[rows["hash"].view("u1").reshape(n, 32)[:, 0]] if n else 0
+        before = 60 * batch + 40
+        out, opened = ex.tag(opened, ex._joined([rows[: n // 2], rows[n // 2 :]]), batch, before)
+        assert (opened["deadline"] == opened["start"] + ex.OPEN).all() and (opened["deadline"] >= before).all()
+        for w in out:
+            c = counts[bool(w["none"]), int(w["id"]), int(w["start"])]
+            for k, name in enumerate(("repeats", "conflicts", "crc")):
+                c[k] += int(w[name])
+            c[3] = w["hash"] or c[3]
+            if w["closed"] >= 0:
+                got.append((bool(w["none"]), int(w["id"]), int(w["start"]), int(w["closed"]), *c))
+        for r in np.sort(rows, order=["none", "id", "hour", "hash"]):
+            k, h = (bool(r["none"]), int(r["id"])), int(r["hour"])
+            w = walk.get(k)
+            if w and h <= w[0] + 24:
+                w[1] += 1
+                if r["hash"] != w[4]:
+                    w[2] += 1
+                    w[3] += int(r["crc"])
+                continue
+            if w:
+                want.append((*k, w[0], batch, *w[1:]))
+            walk[k] = [h, 0, 0, 0, r["hash"]]
+        for k in [k for k, w in walk.items() if w[0] + 24 < before]:
+            want.append((*k, walk[k][0], batch, *walk.pop(k)[1:]))
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(opened) == len(walk)
