@@ -9,7 +9,7 @@ first operator hands it on as the closing of the windows it ends.
 
 State is kept by bucket of clicks, as many buckets as there are BUCKET_ROWS rows, so that Spark calls
 each operator for thousands of clicks at once and what is done for them is done in numpy; a bucket
-holds open windows only.  Rows alike in click, hour and hash are counted together in the tasks that read
+holds open windows only.  The state store is the session's.  Rows alike in click, hour and hash are counted together in the tasks that read
 them, before they are shuffled, and again in the bucket, at most CHUNK rows at a time.
 
 Each batch is a start of its own of one query on one checkpoint: an executor or the driver may be lost
@@ -30,7 +30,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import move_folder, stage_folder, table
 
@@ -40,24 +41,20 @@ BUCKET_ROWS, CHUNK = 50_000, 200_000
 #: The hour before which all deadlines have passed.
 EVER = 1 << 62
 
+_CHECK = "spark.sql.streaming.unsupportedOperationCheck"
+
 ROWS = "click_id long, hour long, hash binary, crc long, bucket int, before long"
 TAGGED = "bucket int, none boolean, click_id long, start_hour long, hash binary, n_repeats long, n_conflicts long, conflict_crc long, closed_batch long"
 _ROW = np.dtype([("none", "?"), ("id", "i8"), ("hour", "i8"), ("hash", "S32"), ("crc", "i8"), ("n", "i8")])
 _OPEN = np.dtype([("none", "?"), ("id", "i8"), ("start", "i8"), ("deadline", "i8"), ("hash", "S32")])
 _COUNT = np.dtype([("none", "?"), ("id", "i8"), ("start", "i8"), ("hash", "S32"), ("repeats", "i8"), ("conflicts", "i8"), ("crc", "i8"), ("closed", "i8")])
-_STREAM = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-}
-
 
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a timestamp; one without a zone is taken as UTC."""
     if df.schema[name].dataType.simpleString() == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
+        t = F.col(name)
+        seconds = F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+        return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
     return F.unix_micros(name)
 
 
@@ -158,77 +155,61 @@ def _frame(bucket: int, w: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(columns | {"n_repeats": w["repeats"], "n_conflicts": w["conflicts"], "conflict_crc": w["crc"], "closed_batch": w["closed"]})
 
 
-class _Bucket(StatefulProcessor):
+def _held(state: GroupState, kind: np.dtype) -> np.ndarray:
     """State of a bucket: one array of fixed records."""
-
-    kind: np.dtype
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("records", "records binary")
-
-    def held(self) -> np.ndarray:
-        got = self.state.get()
-        return np.frombuffer(bytes(got[0]), self.kind) if got else np.zeros(0, self.kind)
-
-    def hold(self, records: np.ndarray) -> None:
-        if len(records):
-            self.state.update((records.tobytes(),))
-        else:
-            self.state.clear()
-
-    def close(self) -> None:
-        pass
-
-
-class Opener(_Bucket):
-    """Keeps openers and deadlines; gives rows their window."""
-
-    kind = _OPEN
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        parts, pending, batch, before = [], 0, 0, 0
-        for pdf in rows:
-            batch = max(batch, int(pdf["batch"].max()))
-            control = pdf["before"].notna()
-            before = max(before, *pdf["before"][control].astype("int64").tolist(), 0)
-            parts.append(_of(pdf[~control]))
-            pending += len(parts[-1])
-            if pending > CHUNK:
-                parts, pending = [_joined(parts)], 0
-        out, still = tag(self.held(), _joined(parts), batch, before)
-        self.hold(still)
-        yield _frame(key[0], out)
-
-
-class Counter(_Bucket):
-    """Keeps the counters of open windows; gives those that a closing event ends."""
-
-    kind = _COUNT
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        parts = [self.held()]
-        for pdf in rows:
-            part = np.zeros(len(pdf), _COUNT)
-            for to, name in (("none", "none"), ("id", "click_id"), ("start", "start_hour"), ("repeats", "n_repeats"), ("conflicts", "n_conflicts"), ("crc", "conflict_crc"), ("closed", "closed_batch")):
-                part[to] = pdf[name]
-            part["hash"] = pdf["hash"].tolist()
-            parts.append(part)
-        w = np.concatenate(parts)
-        w = w[np.lexsort((w["start"], w["id"], w["none"]))]
-        new = np.ones(len(w), bool)
-        new[1:] = (w["id"][1:] != w["id"][:-1]) | (w["none"][1:] != w["none"][:-1]) | (w["start"][1:] != w["start"][:-1])
-        at = np.flatnonzero(new)
-        if len(at):
-            sums = w[at]
-            for name in ("repeats", "conflicts", "crc"):
-                sums[name] = np.add.reduceat(w[name], at)
-            sums["closed"] = np.maximum.reduceat(w["closed"], at)
-            told = np.flatnonzero(w["hash"] != b"")  # an opener's hash comes once
-            sums["hash"][np.searchsorted(at, told, "right") - 1] = w["hash"][told]
-            w = sums
-        ended = w["closed"] >= 0
-        self.hold(w[~ended])
-        yield _frame(key[0], w[ended])
+    return np.frombuffer(bytes(state.get[0]), kind) if state.exists else np.zeros(0, kind)
+
+
+def _hold(state: GroupState, records: np.ndarray) -> None:
+    if len(records):
+        state.update((records.tobytes(),))
+    elif state.exists:
+        state.remove()
+
+
+def opener(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """First operator: keeps openers and deadlines; gives rows their window."""
+    parts, pending, batch, before = [np.zeros(0, _ROW)], 0, 0, -EVER
+    for pdf in frames:
+        batch = max(batch, int(pdf["batch"].max()))
+        control = pdf["before"].notna()
+        before = max(before, *pdf["before"][control].astype("int64").tolist(), -EVER)
+        parts.append(_of(pdf[~control]))
+        pending += len(parts[-1])
+        if pending > CHUNK:
+            parts, pending = [_joined(parts)], 0
+    out, still = tag(_held(state, _OPEN), _joined(parts), batch, before)
+    _hold(state, still)
+    yield _frame(key[0], out)
+
+
+def counter(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Second operator: keeps the counters of open windows; gives those that a closing event ends."""
+    parts = [_held(state, _COUNT)]
+    for pdf in frames:
+        part = np.zeros(len(pdf), _COUNT)
+        for to, name in (("none", "none"), ("id", "click_id"), ("start", "start_hour"), ("repeats", "n_repeats"), ("conflicts", "n_conflicts"), ("crc", "conflict_crc"), ("closed", "closed_batch")):
+            part[to] = pdf[name]
+        part["hash"] = pdf["hash"].tolist()
+        parts.append(part)
+    w = np.concatenate(parts)
+    w = w[np.lexsort((w["start"], w["id"], w["none"]))]
+    new = np.zeros(len(w), bool)
+    new[:1] = True
+    for name in ("none", "id", "start"):
+        new[1:] |= w[name][1:] != w[name][:-1]
+    at = np.flatnonzero(new)
+    if len(at):
+        sums = w[at]
+        for name in ("repeats", "conflicts", "crc"):
+            sums[name] = np.add.reduceat(w[name], at)
+        sums["closed"] = np.maximum.reduceat(w["closed"], at)
+        told = np.flatnonzero(w["hash"] != b"")  # an opener's hash comes once
+        sums["hash"][np.searchsorted(at, told, "right") - 1] = w["hash"][told]
+        w = sums
+    ended = w["closed"] >= 0
+    _hold(state, w[~ended])
+    yield _frame(key[0], w[ended])
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +228,23 @@ def window_counts(rows: DataFrame, buckets: int) -> DataFrame:
         F.coalesce("hash", F.lit(b"")).alias("hash"), F.coalesce("crc", F.lit(0)).alias("crc"), "before", F.lit(1).cast("long").alias("n"),
     )
     keyed = keyed.mapInArrow(_together, keyed.schema)
-    tagged = keyed.groupBy("bucket").transformWithStateInPandas(Opener(), TAGGED, "append", "none")
-    return tagged.groupBy("bucket").transformWithStateInPandas(Counter(), TAGGED, "append", "none")
+    tagged = keyed.groupBy("bucket").applyInPandasWithState(opener, TAGGED, "records binary", "append", GroupStateTimeout.NoTimeout)
+    tagged = tagged.withColumn("bucket", F.pmod(F.xxhash64("none", "click_id"), F.lit(buckets)).cast("int"))
+    return tagged.groupBy("bucket").applyInPandasWithState(counter, TAGGED, "records binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def _started(spark: SparkSession, sink: DataStreamWriter) -> StreamingQuery:
+    """Start a query with two operators on pandas groups with state.
+
+    Spark's check lets two such operators follow each other in its JVM API but not in its pandas one.  What it
+    guards, the order of watermarks and timeouts, does not come up here: neither operator has any.
+    """
+    before = spark.conf.get(_CHECK, "true")
+    spark.conf.set(_CHECK, "false")
+    try:
+        return sink.start()
+    finally:
+        spark.conf.set(_CHECK, before)
 
 
 def expiring_windows(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -267,25 +263,19 @@ def expiring_windows(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     rows.write.partitionBy("batch").parquet(f"{folder}/cut")
     tops = dict(spark.read.parquet(f"{folder}/cut").groupBy("batch").agg(F.max("hour")).collect())  # a row for each batch
     buckets = max(1, -(-n // BUCKET_ROWS))
-    confs = {k: spark.conf.get(k, None) for k in _STREAM}
-    try:
-        for k, v in _STREAM.items():
-            spark.conf.set(k, v)
-        latest = None
-        for b in range(batches):
-            if b in tops:
-                move_folder(spark, f"{folder}/cut/batch={b}", f"{folder}/in/batch={b}")
-            before = latest - LATE if latest is not None else -EVER
-            latest = max(x for x in (latest, tops.get(b)) if x is not None)
-            control = spark.range(buckets).select(*(F.lit(None).cast(t).alias(c) for c, t in (("click_id", "long"), ("hour", "long"), ("hash", "binary"), ("crc", "long"))), F.col("id").cast("int").alias("bucket"), F.lit(latest - LATE if b < batches - 1 else EVER).alias("before"))
-            control.coalesce(1).write.mode("append").parquet(f"{folder}/in/batch={b}")
-            stream = spark.readStream.schema(f"{ROWS}, batch int").parquet(f"{folder}/in")
-            on_time = stream.where((F.col("hour") >= before) | F.col("before").isNotNull())
-            sink = window_counts(on_time, buckets).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
-            sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in confs.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    latest = None
+    for b in range(batches):
+        if b in tops:
+            move_folder(spark, f"{folder}/cut/batch={b}", f"{folder}/in/batch={b}")
+        before = latest - LATE if latest is not None else -EVER
+        latest = max(x for x in (latest, tops.get(b)) if x is not None)
+        none = (F.lit(None).cast(t).alias(c) for c, t in (("click_id", "long"), ("hour", "long"), ("hash", "binary"), ("crc", "long")))
+        control = spark.range(buckets).select(*none, F.col("id").cast("int").alias("bucket"), F.lit(latest - LATE if b < batches - 1 else EVER).alias("before"))
+        control.coalesce(1).write.mode("append").parquet(f"{folder}/in/batch={b}")
+        stream = spark.readStream.schema(f"{ROWS}, batch int").parquet(f"{folder}/in")
+        on_time = stream.where((F.col("hour") >= before) | F.col("before").isNotNull())
+        sink = window_counts(on_time, buckets).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
+        _started(spark, sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)).awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select(F.when(~F.col("none"), F.col("click_id")).alias("click_id"), "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("hash")).alias("hash"))
 

@@ -87,7 +87,6 @@ def test_stream_equals_a_plain_walk(spark, tmp_path):
     assert got.columns == ["click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "hash"]
     assert sorted(map(tuple, got.collect()), key=repr) == want
     assert any(w[0] is None for w in want) and any(w[4] for w in want) and len({w[2] for w in want}) == 8
-    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
 def test_empty_table_and_clicks_without_arrival(spark):
