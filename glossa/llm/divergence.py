@@ -4,8 +4,8 @@ Terms are runs of ASCII letters and of all beyond ASCII, with only A to Z lower-
 task the texts of a batch are one buffer of UTF-8 bytes: a numpy lookup table tells letters from
 the rest and so finds where terms begin and end, xxhash groups the slices, and the bytes of each are
 compared with those of its group's first, so that slices of one hash but other bytes are
-told apart.  What leaves a task is one row for each term and (language, source) with its occurrences
-and documents, at most KEPT rows at a time, and Spark adds them up.
+told apart.  What leaves numpy is one row of each slab for each term and (language, source) with its
+occurrences and documents; Spark adds them up, first within each task.
 
 Terms in enough documents of a language are kept.  The kept counts are dealt to blocks of
 terms (CELLS counts each, so a language has as many blocks as it needs) and to chunks of SOURCES
@@ -37,58 +37,53 @@ from .textkit import LOWER
 #: Bytes of terms: letters and everything beyond ASCII.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-#: Bytes of a slab, and counts that a task holds before it lets them go.
-SLAB, KEPT = 1 << 22, 400_000
+#: Bytes of a slab.
+SLAB = 1 << 21
 #: Documents in which a term must occur, the scale of shares, what is added to each count, terms of each group.
 LEAST, SCALE, ADDED, TOP = 30, 1_000_000_000, 5, 50
 #: Counts of a block, sources of a chunk, and languages whose totals are broadcast.
 CELLS, SOURCES, LANGUAGES = 50_000, 256, 10_000
 
 COUNTED = "lang string, source string, term binary, n long, docs long"
+_NAMES = ["lang", "source", "term", "n", "docs"]
 
 
 class TermCounts:
-    """Occurrences and documents of each (group, term) of the texts so far."""
-
-    def __init__(self) -> None:
-        self.counts: dict[tuple[tuple[str, str], bytes], list[int]] = {}
-        self.groups: set[tuple[str, str]] = set()
-
-    def add(self, data: np.ndarray, first: np.ndarray, groups: list[tuple[str, str]]) -> None:
-        """Texts of one buffer: text i of group i lies from first[i] to first[i + 1]."""
-        self.groups.update(groups)
-        number = {g: i for i, g in enumerate(dict.fromkeys(groups))}
-        of = np.fromiter((number[g] for g in groups), np.int64, len(groups))
-        names, at, doc = list(number), 0, 0
+    """Occurrences and documents of each (group, term), slab by slab."""
+
+    def of(self, data: np.ndarray, first: np.ndarray, groups: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        """COUNTED rows of the texts of one buffer: text i of group i lies from first[i] to first[i + 1]."""
+        names = list(dict.fromkeys(groups))
+        number = {g: i for i, g in enumerate(names)}
+        group = np.fromiter((number[g] for g in groups), np.int64, len(groups))
+        langs, sources = (pa.array([g[k] for g in names], pa.string()) for k in (0, 1))
+        none = np.zeros(len(names), np.int64)
+        yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(names), pa.binary()), pa.array(none), pa.array(none)], _NAMES)
+        at, doc = 0, -1
         open_doc: set[bytes] = set()  # terms of the text that the last slab ended in
         while at < len(data):
             end = self._cut(data, first, at)
             starts, ends = self._slices(data, first, at, end)
             docs = np.searchsorted(first, starts, "right") - 1
-            if len(docs) and docs[0] != doc:
-                open_doc.clear()
-            terms, ids = self._grouped(data, starts, ends)
-            pairs, times = np.unique(docs * max(1, len(terms)) + ids, return_counts=True)
-            in_doc, term = np.divmod(pairs, max(1, len(terms)))
+            lead, ids = self._grouped(data, starts, ends)
+            width = max(1, len(lead))
+            pairs, times = np.unique(docs * width + ids, return_counts=True)
+            in_doc, term = np.divmod(pairs, width)
             new = np.ones(len(pairs), np.int64)
-            last = docs[-1] if len(docs) else doc
             for i in np.flatnonzero(in_doc == doc) if open_doc else ():
-                new[i] = terms[term[i]] not in open_doc
+                new[i] = data[starts[lead[term[i]]] : ends[lead[term[i]]]].tobytes() not in open_doc
+            last = int(np.searchsorted(first, end - 1, "right")) - 1
             if last != doc:
                 open_doc.clear()
-            if end < len(data) and first[last + 1] > end:
-                open_doc.update(terms[t] for t in term[in_doc == last])
-            doc = last
-            cell = of[in_doc] * max(1, len(terms)) + term
-            keys, place = np.unique(cell, return_inverse=True)
-            sums = np.zeros((len(keys), 2), np.int64)
-            np.add.at(sums, place, np.stack([times, new], 1))
-            for key, (n, d) in zip(keys.tolist(), sums.tolist(), strict=True):
-                g, t = divmod(key, len(terms))
-                cell_ = self.counts.setdefault((names[g], terms[t]), [0, 0])
-                cell_[0] += n
-                cell_[1] += d
-            at = end
+            if first[last + 1] > end:
+                open_doc.update(data[starts[lead[t]] : ends[lead[t]]].tobytes() for t in term[in_doc == last])
+            doc, at = last, end
+            keys, place = np.unique(group[in_doc] * width + term, return_inverse=True)
+            which, term = np.divmod(keys, width)
+            size = np.zeros((2, len(keys)), np.int64)
+            np.add.at(size[0], place, times)
+            np.add.at(size[1], place, new)
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(which)), sources.take(pa.array(which)), _sliced(data, starts[lead[term]], ends[lead[term]]), pa.array(size[0]), pa.array(size[1])], _NAMES)
 
     @staticmethod
     def _cut(data: np.ndarray, first: np.ndarray, at: int) -> int:
@@ -120,50 +115,43 @@ class TermCounts:
         return np.flatnonzero(starts) + at, ends + at
 
     @staticmethod
-    def _grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """The distinct slices, and for each slice its number among them."""
+    def _grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each distinct slice, and for each slice its number among those."""
         if not len(starts):
-            return [], np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         base = int(starts[0])
         raw = data[base : int(ends[-1])].tobytes()
         digest = xxhash.xxh3_64_intdigest
-        bounds = zip((starts - base).tolist(), (ends - base).tolist(), strict=True)
-        hashes = np.fromiter((digest(raw[a:b]) for a, b in bounds), np.uint64, len(starts))
+        hashes = np.fromiter((digest(raw[a:b]) for a, b in zip((starts - base).tolist(), (ends - base).tolist(), strict=True)), np.uint64, len(starts))
         _, lead, ids = np.unique(hashes, return_index=True, return_inverse=True)
-        slice_of = lambda i: raw[starts[i] - base : ends[i] - base]
-        terms = [slice_of(i) for i in lead.tolist()]
         # Every slice against the first one of its hash, byte by byte.
         size, own = ends - starts, lead[ids]
         same = size == size[own]
-        sizes = np.where(same, size, 0)
-        run = np.cumsum(sizes) - sizes
-        step = np.arange(int(sizes.sum())) - np.repeat(run, sizes)
-        unlike = data[np.repeat(starts, sizes) + step] != data[np.repeat(starts[own], sizes) + step]
+        at, run = _positions(starts, np.where(same, size, 0))
+        unlike = data[at] != data[at + np.repeat(starts[own] - starts, run)]
         if unlike.any():
-            same[np.repeat(np.arange(len(starts)), sizes)[unlike]] = False
+            same[np.repeat(np.arange(len(starts)), run)[unlike]] = False
         extra: dict[bytes, int] = {}
-        for i in np.flatnonzero(~same):
-            term = slice_of(i)
+        more: list[int] = []
+        for i in np.flatnonzero(~same).tolist():
+            term = raw[starts[i] - base : ends[i] - base]
             if term not in extra:
-                extra[term] = len(terms)
-                terms.append(term)
+                extra[term] = len(lead) + len(more)
+                more.append(i)
             ids[i] = extra[term]
-        return terms, ids.astype(np.int64)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """What has been counted, and a row without term for each group; then it is forgotten."""
-        keys = list(self.counts)
-        sums = list(self.counts.values())
-        none = sorted(self.groups)
-        columns = [
-            pa.array([g[0] for g, _ in keys] + [g[0] for g in none], pa.string()),
-            pa.array([g[1] for g, _ in keys] + [g[1] for g in none], pa.string()),
-            pa.array([t for _, t in keys] + [None] * len(none), pa.binary()),
-            pa.array([s[0] for s in sums] + [0] * len(none), pa.int64()),
-            pa.array([s[1] for s in sums] + [0] * len(none), pa.int64()),
-        ]
-        self.__init__()
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        return np.append(lead, more).astype(np.int64), ids.astype(np.int64)
+
+
+def _positions(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all bytes of the slices in turn, and the sizes."""
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - upto + sizes, sizes), sizes
+
+
+def _sliced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    at, sizes = _positions(starts, ends - starts)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +164,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = text.buffers()[2]
         data = np.frombuffer(whole, np.uint8)[first[0] : first[-1]] if whole is not None else np.zeros(0, np.uint8)
         groups = list(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True))
-        counts.add(LOWER[data], first - first[0], groups)
-        if len(counts.counts) > KEPT:
-            yield from counts.rows()
-    yield from counts.rows()
+        yield from counts.of(LOWER[data], first - first[0], groups)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
