@@ -117,7 +117,7 @@ def test_batches_of_random_rows(seed):
         rows["none"], rows["hour"], rows["n"] = rnd.random(n) < 0.1, 60 * batch + rnd.integers(-80, 200, n), 1
         rows["id"] = np.where(rows["none"], 0, rnd.integers(-3, 9, n))
         rows["hash"] = rnd.choice([bytes([k]) + bytes(30) + b"\x01" for k in range(4)], n)
-        rows["crc"] = rnd.integers(0, 1 << 32, 256)[rows["hash"].view("u1").reshape(n, 32)[:, 0]] if n else 0
+        rows["crc"] = rnd.integers(0, 1 << 32, 256)[np.ascontiguousarray(rows["hash"]).view("u1").reshape(n, 32)[:, 0]] if n else 0
         before = 60 * batch + 40
         out, opened = ex.tag(opened, ex._joined([rows[: n // 2], rows[n // 2 :]]), batch, before)
         assert (opened["deadline"] == opened["start"] + ex.OPEN).all() and (opened["deadline"] >= before).all()
