@@ -2,8 +2,9 @@
 
 Every document gets a cell (language, source and size, each quantised to 16 steps; equal
 texts share the least of their cells); cells are visited in the order of a three-dimensional
-Hilbert curve, and the run of documents is cut into shards of near equal bytes, so that each
-shard's files have narrow ranges in all three dimensions.  The run is sorted once, by
+Hilbert curve, and the run of documents is cut into shards of near equal bytes.  Steps follow the
+order of names and sizes and hold near equal bytes (a frequent name has a step of its own), so a shard
+is a compact region of the cube and the smallest and largest language, source and size of its files tell it from others.  The run is sorted once, by
 ranges that also cut within a cell, a text and its copies, so no key decides how much one task
 has; sums along it take two levels, ranges and rows within a range.
 
@@ -35,6 +36,8 @@ CELLS = 1 << (BITS * DIMS)
 HEAVY = 512
 #: Groups over 1/WIDE of all rows, at most WIDE of them, are broadcast (some 50 bytes each).
 WIDE = 1 << 16
+#: Names that are counted one by one for the steps.
+NAMES = 100_000
 #: Rows of a range, and pieces of a shard's size that a group larger than a shard is cut into.
 RANGE_ROWS, PIECES = 50_000, 64
 
@@ -71,11 +74,45 @@ def curve_of(cell: Column) -> Column:
     return F.element_at(F.split(F.lit(order), ",").cast("array<int>"), cell + 1)
 
 
-def _cell(lang: Column, source: Column, size: Column) -> Column:
-    top = (1 << BITS) - 1
-    step = lambda c: F.pmod(F.crc32(F.coalesce(c, F.lit("\0"))), F.lit(1 << BITS))
-    log = F.least(F.lit(top), F.floor(F.log2(size.cast("double")) * 0.8))
-    return ((step(lang) * (1 << BITS) + step(source)) * (1 << BITS) + log).cast("int")
+def _steps(names: DataFrame) -> list[tuple]:
+    """(value, step) for the first value of each step, for (v, c) rows of values and their bytes.
+
+    A value's step is the share of bytes below it, in sixteenths.  Values are counted whole; where they are more
+    than NAMES, by as many of their leading characters as leave few enough.
+    """
+    text = dict(names.dtypes)["v"] == "string"
+    some = names
+    for length in (16, 12, 8, 7, 6, 5, 4, 3, 2, 1) if text else ():
+        if some.limit(NAMES + 1).count() <= NAMES:
+            break
+        some = names.groupBy(F.substring("v", 1, length).alias("v")).agg(F.sum("c").alias("c"))
+    rows = some.where("v IS NOT NULL").collect()  # at most NAMES, or as many as there are characters
+    total, before, steps = names.agg(F.sum("c")).first()[0], 0, []
+    before = (total or 0) - sum(r["c"] for r in rows)  # nulls are below all
+    for r in sorted(rows, key=lambda r: r["v"].encode() if text else r["v"]):
+        step = (before << BITS) // total
+        if step > (steps[-1][1] if steps else 0):
+            steps.append((r["v"], step))
+        before += r["c"]
+    return steps
+
+
+def _step(c: Column, steps: list[tuple]) -> Column:
+    if not steps:
+        return F.lit(0)
+    at = F.size(F.filter(F.array(*(F.lit(v) for v, _ in steps)), lambda x: x <= c))
+    of = F.array(F.lit(0), *(F.lit(n) for _, n in steps))
+    return F.when(c.isNull(), F.lit(0)).otherwise(F.element_at(of, at + 1))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Adds `cell`, the packed steps of lang, source and the size's logarithm (248 values)."""
+    rows = rows.withColumn("log", F.floor(F.log2(F.col("size").cast("double")) * 8).cast("int"))
+    steps = [_step(F.col(c), _steps(rows.groupBy(F.col(c).alias("v")).agg(F.sum("size").alias("c")))) for c in ("lang", "source", "log")]
+    cell = F.lit(0)
+    for step in steps:
+        cell = cell * (1 << BITS) + step
+    return rows.withColumn("cell", cell.cast("int")).drop("log", "lang", "source")
 
 
 _GROUP = ("th", "text_crc32", "size")
@@ -138,8 +175,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
         F.xxhash64(text).alias("th"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-    ).select("doc_id", "size", "text_crc32", "th", _cell(F.col("lang"), F.col("source"), F.col("size")).alias("cell"))
-    rows = cut_lineage(rows).withColumn("rid", F.monotonically_increasing_id())
+    )
+    rows = _cells(cut_lineage(rows)).withColumn("rid", F.monotonically_increasing_id())
     n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = max(1, n_bytes / n_shards)
 

@@ -77,3 +77,51 @@ def test_curve_column_and_empty(spark):
     mask = (1 << sharding.BITS) - 1
     assert all(r["h"] == sharding.hilbert_index(tuple(r["id"] >> sharding.BITS * (2 - d) & mask for d in range(3)), sharding.BITS) for r in got)
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_steps_follow_names_and_bytes(spark):
+    rows = [("b", 10), (None, 5), ("a", 3), ("é", 40), ("z", 2), ("c", 0)]
+    want, before = [], 5
+    for v, c in sorted(rows[:1] + rows[2:], key=lambda r: r[0].encode()):
+        step = before * 16 // 60
+        if step > (want[-1][1] if want else 0):
+            want.append((v, step))
+        before += c
+    df = spark.createDataFrame(rows, "v string, c long")
+    steps = sharding._steps(df)
+    assert steps == want
+    got = dict(df.select("v", sharding._step(F.col("v"), steps).alias("s")).collect())
+    assert got == {v: max([n for w, n in want if v is not None and w.encode() <= v.encode()], default=0) for v, _ in rows}
+
+
+def test_many_names_are_cut_by_their_beginnings(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "NAMES", 30)
+    df = spark.range(4000).select(F.format_string("site%04d.example", "id").alias("v"), F.lit(1).cast("long").alias("c"))
+    steps = sharding._steps(df)
+    assert 0 < len(steps) <= 15 and all(len(v) == 5 for v, _ in steps) and [n for _, n in steps] == sorted({n for _, n in steps})
+    assert sharding._steps(df.where("false")) == []
+
+
+def test_slots_follow_the_curve_and_files_have_narrow_ranges(spark):
+    """Cuts and slots along the curve; of files of each shard far fewer than of dealt ones may hold a source, language or size."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.shard_documents(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").orderBy("shard", "slot").collect()
+    light = [r for r in got if r["curve"] is not None]
+    for s in range(8):
+        own = [r["curve"] for r in light if r["shard"] == s]
+        assert own == sorted(own)
+    # Groups that are placed on their own apart, the runs of shards follow each other.
+    texts = defaultdict(int)
+    for r in got:
+        texts[r["text_crc32"]] += 1
+    single = [r for r in got if texts[r["text_crc32"]] == 1]
+    assert all(a["shard"] <= b["shard"] for a, b in zip(single, single[1:]) if a["curve"] < b["curve"])
+
+    def held(rows):
+        files = defaultdict(list)
+        for i, r in enumerate(rows):
+            files[i // 20].append(r)
+        return [sum(min(x[c] for x in f) <= v <= max(x[c] for x in f) for f in files.values() for v in {r[c] for r in rows}) for c in ("lang", "source", "size")]
+
+    dealt = sorted(got, key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
+    assert all(a < 0.7 * b for a, b in zip(held(got), held(dealt), strict=True)), (held(got), held(dealt))
