@@ -5,11 +5,14 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader c
 (by element, role, class or id) leaves an empty line.  Text lengths are summed over
 sliding windows of BLOCK lines; text surges where a sum passes the threshold and dives
 where it falls to zero, and the lines between are kept, with the unlinked short lines
-that adjoin a surge from above.  An article or main element is a hint: windows do not
-run over its edges, its fullest place surges even below the threshold, and its linked
-lines stay where they stand between others.  In a part that is left out it is none: not among
-reader comments, and not where that part is closed further on; where it is not closed
-(or is a form, which may stand around a whole page), the article or main ends it.
+that adjoin a surge from above.  Where no sum of a page passes it, its fullest place surges.
+
+An article or main element is a certain prior for its own lines, each element by itself: what stands in it
+and is not marked is kept, linked or not, and windows do not run over its edges; on the lines outside it the
+windows decide as on a page without one, but for the fullest place.  Inside it a header is the article's
+own, and an id only marks reader comments; an id never marks a heading.  In a part that is left
+out an element is no prior: not among reader comments, and not where that part is closed further on; where it
+is not closed (or is a form, which may stand around a whole page), the article or main ends it.
 
 A class or id marks a part only if all its words are such marks or plain words of layout:
 'cookie-banner' and 'sidebar-left' do, 'social-science' and 'with-sidebar' do not.
@@ -26,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +46,7 @@ _BLOCKS = set("address article aside blockquote body center dd details dialog di
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe svg math object".split())
 _DROPPED = set("head nav header footer aside form menu dialog button select option datalist fieldset label noscript canvas audio video".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Words of class names and ids that mark what is not the article, and reader comments.
 _HINTS = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
@@ -68,15 +73,18 @@ def _marks(value: str) -> int:
     return found
 
 
-def _unwanted(name: str, attrs: str) -> int:
+def _unwanted(name: str, attrs: str, inside: bool) -> int:
     """As `_marks`, for an element; an article or main is only left out as a reader comment."""
-    found = int(name in _DROPPED)
+    found = int(name in _DROPPED and not (inside and name == "header"))
     if not attrs or name in ("html", "body"):
         return found
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id"):
+        if key == "class":
             found = max(found, _marks(value))
+        elif key == "id" and name not in _HEADINGS:
+            mark = _marks(value)
+            found = max(found, mark if mark == 2 or not inside else 0)
         elif key == "role" and value.lower() in _ROLES:
             found = max(found, 1)
     return found if name not in ("article", "main") or found == 2 else 0
@@ -176,7 +184,7 @@ class _Lines:
             self.text(" ")
         if name in _VOID:
             return
-        drop = _unwanted(name, attrs)
+        drop = _unwanted(name, attrs, self.inside > 0)
         if name in _BLOCKS or drop or self.drops:
             self.push(name, drop, at)
 
@@ -225,46 +233,46 @@ class _Lines:
                 self.start(name, m["attrs"], lt)
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main text, joined by blank lines."""
-    if not page:
-        return ""
-    lines: list[tuple[str, int, bool]] = []
-    last = None
-    read = _Lines(page).lines
-    if not any(t for t, _, _ in read):
-        read = _Lines(page, closing=False).lines  # all of it stood in a part to be left out
-    for line in read:
-        if line[0]:
-            if last not in (None, line[2]):
-                lines += [("", 0, False)] * BLOCK  # an edge of the element
-            last = line[2]
-        lines.append(line)
-    size = [len(t) if linked < LINKED * len(t) else 0 for t, linked, _ in lines]
-    if not any(size):
-        size = [len(t) if inside else 0 for t, _, inside in lines]  # an element of links alone
-    if not any(size):
-        return ""
-    n = len(size)
-    sums = [sum(size[i : i + BLOCK]) for i in range(n)]
-    within = [any(inside for _, _, inside in lines[i : i + BLOCK]) for i in range(n)]
-    # A short page, or a short element: its fullest place.
-    full = [max((s for s, w in zip(sums, within, strict=True) if w == side), default=0) for side in (False, True)]
-    surge = [SURGE if full[True] else min(SURGE, full[False] - 1), min(SURGE, full[True] - 1)]
-    kept: list[str] = []
+def window_sums(sizes: list[int]) -> list[int]:
+    """Sum of each line and the BLOCK - 1 after it."""
+    upto = [0, *accumulate(sizes)]
+    return [upto[min(i + BLOCK, len(sizes))] - upto[i] for i in range(len(sizes))]
+
+
+def between_surge_and_dive(sizes: list[int], surge: int) -> list[bool]:
+    """Which lines of a run are kept: from where a window's sum passes `surge` to where it is zero, and those with text right above."""
+    sums, kept = window_sums(sizes), [False] * len(sizes)
     i = done = 0
-    while i < n:
-        if sums[i] > max(0, surge[within[i]]):  # surge; the dive is where a whole window is empty
+    while i < len(sizes):
+        if sums[i] > surge:
             j = i
-            while j > done and size[j - 1]:
+            while j > done and sizes[j - 1]:
                 j -= 1
-            while j < n and sums[j] > 0:
-                if size[j] or lines[j][2] and lines[j][0]:
-                    kept.append(lines[j][0])
+            while j < len(sizes) and sums[j] > 0:
+                kept[j] = sizes[j] > 0
                 j += 1
             i = done = j
         i += 1
-    return "\n\n".join(kept)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main text, joined by blank lines."""
+    if not page:
+        return ""
+    lines = _Lines(page).lines
+    if not any(t for t, _, _ in lines):
+        lines = _Lines(page, closing=False).lines  # all of it stood in a part to be left out
+    runs = [(inside, [(t, linked) for t, linked, _ in run]) for inside, run in groupby(lines, lambda x: x[2])]
+    sizes = [[0 if inside or linked >= LINKED * len(t) else len(t) for t, linked in run] for inside, run in runs]
+    surge = SURGE
+    if not any(inside for inside, _ in runs):
+        surge = max(0, min(SURGE, max((x for own in sizes for x in window_sums(own)), default=0) - 1))
+    out: list[str] = []
+    for (inside, run), own in zip(runs, sizes, strict=True):
+        keep = [inside] * len(run) if inside else between_surge_and_dive(own, surge)
+        out += [t for (t, _), k in zip(run, keep, strict=True) if k and t]
+    return "\n\n".join(out)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

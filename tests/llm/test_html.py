@@ -1,9 +1,12 @@
 import random
+import re
 import time
 from html import escape
 
+import pyarrow.parquet as pq
 import pytest
 
+from glossa.llm import html_text
 from glossa.llm.html_text import extract_text, main_text
 
 ARTICLE = "<article><h1>Head &amp; line</h1><p>One\n two<br>three<p>Short.</p><div class='ad-box'>Buy</div><p>Last <span class=ad>x</span>word &copy</article>"
@@ -36,12 +39,55 @@ def test_query(spark):
     (f"<div><p>{LONG}</p></div><aside><article>teaser</article></aside>", LONG), (f"<main><p>{LONG}</p></main><aside><article>teaser</article></aside>", LONG),
     (f"<nav><article>teaser</article></nav><main><p>{LONG}</p></main>", LONG), (f"<nav>Menu <article><p>{LONG}</p></article><nav>x</nav>", LONG),
     (f"<form><article><p>{LONG}</p></article></form>", LONG), (f"<div><p>{LONG}</p></div><article><p>Short note</p></article>", f"{LONG}\n\nShort note"),
-    (f"<h1>T</h1><p>a</p><p>b</p><p>c</p><p>{LONG}</p>", f"T\n\na\n\nb\n\nc\n\n{LONG}"), (f"<main><p>{LONG}</p>" + "<p><a href=x>link</a></p>" * 4 + "</main>", LONG),
+    (f"<h1>T</h1><p>a</p><p>b</p><p>c</p><p>{LONG}</p>", f"T\n\na\n\nb\n\nc\n\n{LONG}"), (f"<div><p>{LONG}</p>" + "<p><a href=x>link</a></p>" * 4 + "</div>", LONG),
+    (f"<p>{LONG}</p>" + "<p><a href=x>menu</a></p>" * 3 + "<p>tail</p>", LONG), (f"<p>{LONG}</p>" + "<p><a href=x>menu</a></p>" * 2 + "<p>tail</p>", f"{LONG}\n\ntail"),
 ])
 def test_sums_choose_the_range(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>One short.</p></article><p>x</p><article><p>Another one.</p></article>", "One short.\n\nAnother one."),
+    (f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a href=x>{x}</a>" for x in "abcd") + f"</ul><p>{LONG}</p></article>", f"{LONG}\n\na\n\nb\n\nc\n\nd\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><p><a href=x>{LONG}</a></p></article>", f"{LONG}\n\n{LONG}"), (f"<article><header><h1>Title</h1></header><p>{LONG}</p></article>", f"Title\n\n{LONG}"),
+    (f"<main><h2 id=related>Related work</h2><p>{LONG}</p></main>", f"Related work\n\n{LONG}"), (f"<main><h2 id=comments>Comments on this</h2><p>{LONG}</p></main>", f"Comments on this\n\n{LONG}"),
+    (f"<main><section id=search><h2>Search</h2><p>{LONG}</p></section></main>", f"Search\n\n{LONG}"), (f"<header><h1>Site</h1></header><main><p>{LONG}</p><div class=related>more</div><footer>f</footer></main>", LONG),
+    (f"<main><p>{LONG}</p><div id=comments><p>{LONG}</p></div></main>", LONG), (f"<div id=search><p>{LONG} q</p></div><main><p>{LONG}</p></main>", LONG),
+])
+def test_an_article_keeps_what_is_not_marked(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5])
+def test_windows_against_a_plain_version(monkeypatch, block):
+    monkeypatch.setattr(html_text, "BLOCK", block)
+    rnd = random.Random(block)
+    for _ in range(400):
+        sizes = [rnd.choice((0, 0, 3, 20, 60)) for _ in range(rnd.randint(0, 25))]
+        surge = rnd.choice((0, 10, 50, 80))
+        sums = [sum(sizes[i : i + block]) for i in range(len(sizes))]
+        assert html_text.window_sums(sizes) == sums
+        want = [False] * len(sizes)
+        for i in range(len(sizes)):  # runs of windows that are not empty, each from its first surge on
+            if sums[i] > surge:
+                lo = i
+                while lo and sizes[lo - 1]:
+                    lo -= 1
+                hi = i
+                while hi < len(sizes) and sums[hi]:
+                    hi += 1
+                for k in range(lo, hi):
+                    want[k] = sizes[k] > 0
+        assert html_text.between_surge_and_dive(sizes, surge) == want
+
+
+def test_windows_alone_find_the_article_of_given_pages():
+    """With the element's name taken away the windows give the same text on all pages."""
+    pages = [r["html"] or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    bare = [re.sub(r"(</?)article\b", r"\1div", p) for p in pages]
+    assert [main_text(p) for p in pages] == [main_text(p) for p in bare] and all(map(main_text, pages))
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (f"<article><p hidden>{LONG}</p><p class='social-science'>a</p><p id=related-work>b</p></article>", f"{LONG}\n\na\n\nb"),
     (f"<div class='content with-sidebar'><p>{LONG}</p></div>", LONG), (f"<div class='cookie-banner'>{LONG}</div><div id=sidebar-left><p>{LONG}</p></div><p>{LONG} x</p>", f"{LONG} x"),
