@@ -57,23 +57,36 @@ def number(entered: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*\z"), F.when(plain.startswith("-"), -size).otherwise(size))
 
 
+def read_lines(df: DataFrame) -> DataFrame:
+    """Adds `entered`, `number` and `valid` of the `line` that answers each match."""
+    df = df.withColumn("entered", stripped(F.coalesce("line", F.lit("")))).withColumn("number", number(F.col("entered")))
+    return df.withColumn("valid", (F.col("entered") == "") | F.coalesce(F.col("number").between(0, F.size("alternatives")), F.lit(False)))
+
+
 def parsed(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     """matches with `line`, `entered`, `number` and `valid`, one decision for each match."""
-    df = matches.join(decisions.select("doc_id", "match_ord", "line"), ["doc_id", "match_ord"], "left").withColumn("entered", stripped(F.coalesce("line", F.lit(""))))
-    df = df.withColumn("number", number(F.col("entered")))
-    return df.withColumn("valid", (F.col("entered") == "") | F.coalesce(F.col("number").between(0, F.size("alternatives")), F.lit(False)))
+    return read_lines(matches.join(decisions.select("doc_id", "match_ord", "line"), ["doc_id", "match_ord"], "left"))
 
 
-def remembered(parsed_matches: DataFrame) -> DataFrame:
-    """Adds `remembered` (raw alternative picked last for the base in the document) and `default_no`."""
-    picked = F.when(F.col("valid") & (F.col("number") > 0), F.try_element_at("raws", F.col("number")))
-    before = Window.partitionBy("doc_id", "base").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    df = parsed_matches.withColumn("__picked", picked).withColumn("remembered", F.last("__picked", ignorenulls=True).over(before)).drop("__picked")
+def picked() -> Column:
+    """The raw alternative that a match's own line picks; null where it picks none."""
+    return F.when(F.col("valid") & (F.col("number") > 0), F.try_element_at("raws", F.col("number")))
+
+
+def with_default(df: DataFrame) -> DataFrame:
+    """Adds `default_no`: the option of the `remembered` raw alternative, if it is offered here too."""
     same = F.array_position("raws", F.col("remembered"))
     at = F.array_position("alternatives", F.try_element_at("alternatives", F.when(same > 0, same.cast("int"))))
     return df.withColumn("default_no", F.when(at > 0, at.cast("int")))
 
 
+def remembered(parsed_matches: DataFrame) -> DataFrame:
+    """Adds `remembered` (raw alternative picked last for the base in the document) and `default_no`."""
+    before = Window.partitionBy("doc_id", "base").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    df = parsed_matches.withColumn("__picked", picked())
+    return with_default(df.withColumn("remembered", F.last("__picked", ignorenulls=True).over(before)).drop("__picked"))
+
+
 def chosen(decided: DataFrame) -> DataFrame:
     """Adds `choice_no`: the option that the decision comes to; 0 for an invalid one."""
     by_enter = F.coalesce("default_no", F.lit(0))

@@ -35,7 +35,7 @@ def _spans(kind: str, pattern: str) -> str:
                 SELECT doc_id, string_split_regex(text, '{pattern}') AS gs, regexp_extract_all(text, '{pattern}') AS ms FROM prose)))"""
 
 
-_PROTECTED = "raw AS MATERIALIZED (" + " UNION ALL ".join(_spans(k, p) for k, p in (
+PROTECTED = "raw AS MATERIALIZED (" + " UNION ALL ".join(_spans(k, p) for k, p in (
     ("fenced", "(?s)```.*?```"), ("indented", r"(?m)^(?: {4}|\t).+$"), ("inline", r"`[^`\n]+`"), ("url", f"https?://[^{_SPACES}]+"),
 )) + ")"
 _MERGED = """
@@ -83,8 +83,8 @@ opts AS (SELECT doc_id, ord, pos, raw, m, row_number() OVER (PARTITION BY doc_id
     SELECT o.doc_id, o.ord, l.pos, l.raw, {_inflect("l.raw", "o.suf")} AS m FROM ordered o JOIN lex l USING (base)) WHERE m IS NOT NULL),
 menus AS (SELECT doc_id, ord, string_agg(m, '|' ORDER BY no) AS alts, max(no) AS n FROM opts GROUP BY doc_id, ord),
 sug AS (SELECT o.*, coalesce(alts, '') AS alts, coalesce(n, 0) AS n FROM ordered o LEFT JOIN menus USING (doc_id, ord))"""
-_BASE = f"WITH {_PROSE}, {_WORDS}, {_PROTECTED}, {_FREE}, {_lexicon_cte()}, {_FOUND}"
-_BOUNDS = f"""bounds AS (SELECT doc_id, en - 1 AS b FROM ({_spans("end", f"[.!?][{_SPACES}]+[A-Z]")}) x JOIN prose USING (doc_id)
+BASE = f"WITH {_PROSE}, {_WORDS}, {PROTECTED}, {_FREE}, {_lexicon_cte()}, {_FOUND}"
+BOUNDS = f"""bounds AS (SELECT doc_id, en - 1 AS b FROM ({_spans("end", f"[.!?][{_SPACES}]+[A-Z]")}) x JOIN prose USING (doc_id)
     WHERE NOT (substr(text, CAST(st + 1 AS BIGINT), 1) = '.' AND lower(regexp_extract(left(text, st), '([\\p{{L}}.]*)$', 1)) IN ({", ".join(f"'{a}'" for a in ABBREVIATIONS)})))"""
 _BLANKS = f"blanks AS (SELECT doc_id, en AS b FROM ({_spans('blank', '\\n[ \\t]*\\n')}))"
 _WINDOWS = """
@@ -142,49 +142,49 @@ def _violations() -> str:
 
 
 _MATRIX = "(VALUES ('-ies'), ('-ied'), ('-ing'), ('-ed'), ('-es'), ('-s'), ('-ly'), (''), ('-xyz')) AS x(suffix)"
-_HEAD = f"WITH {_PROSE}, {_WORDS}"
+HEAD = f"WITH {_PROSE}, {_WORDS}"
 _PROMPT = """array_to_string([regexp_replace(sen, '\\n+$', ''), repeat(' ', CAST(st - ws AS BIGINT)) || repeat('^', CAST(en - st AS BIGINT)), '  0) NO CHANGE'], chr(10)) || chr(10)
     || CASE WHEN alts = '' THEN '' ELSE array_to_string(list_transform(range(1, len(a) + 1), lambda i: '  ' || i || ') ' || a[i]), chr(10)) || chr(10) END"""
 
 ORACLE_SQL: dict[str, str] = {
-    "tokenize_offsets": f'{_HEAD} SELECT doc_id, st AS start, en AS "end", s AS surface FROM words',
-    "protected_spans_raw": f'WITH {_PROSE}, {_PROTECTED} SELECT doc_id, kind, st AS start, en AS "end" FROM raw',
-    "protected_spans_merged": f'WITH {_PROSE}, {_PROTECTED}, {_MERGED} SELECT doc_id, st AS start, en AS "end" FROM prot',
-    "tokens_unprotected": f'{_HEAD}, {_PROTECTED}, {_FREE} SELECT doc_id, st AS start, en AS "end" FROM free',
-    "tokens_protected_semi": f'{_HEAD}, {_PROTECTED}, {_MERGED} SELECT doc_id, w.st AS start, w.en AS "end" FROM words w SEMI JOIN prot p ON p.doc_id = w.doc_id AND p.st < w.en AND p.en > w.st',
-    "stem_vocabulary": f"{_HEAD}, v AS (SELECT DISTINCT lower(s) AS key FROM words), f AS (SELECT key, {_stem('key')} AS x FROM v) SELECT key, x.stem AS stem, x.suffix AS suffix FROM f",
-    "lexicon_lookup": f"{_BASE} SELECT doc_id, st AS start, base, suf AS suffix FROM hits",
+    "tokenize_offsets": f'{HEAD} SELECT doc_id, st AS start, en AS "end", s AS surface FROM words',
+    "protected_spans_raw": f'WITH {_PROSE}, {PROTECTED} SELECT doc_id, kind, st AS start, en AS "end" FROM raw',
+    "protected_spans_merged": f'WITH {_PROSE}, {PROTECTED}, {_MERGED} SELECT doc_id, st AS start, en AS "end" FROM prot',
+    "tokens_unprotected": f'{HEAD}, {PROTECTED}, {_FREE} SELECT doc_id, st AS start, en AS "end" FROM free',
+    "tokens_protected_semi": f'{HEAD}, {PROTECTED}, {_MERGED} SELECT doc_id, w.st AS start, w.en AS "end" FROM words w SEMI JOIN prot p ON p.doc_id = w.doc_id AND p.st < w.en AND p.en > w.st',
+    "stem_vocabulary": f"{HEAD}, v AS (SELECT DISTINCT lower(s) AS key FROM words), f AS (SELECT key, {_stem('key')} AS x FROM v) SELECT key, x.stem AS stem, x.suffix AS suffix FROM f",
+    "lexicon_lookup": f"{BASE} SELECT doc_id, st AS start, base, suf AS suffix FROM hits",
     "reinflect_matrix": f"WITH {_lexicon_cte()} SELECT raw AS alternative, suffix, {_inflect('raw', 'suffix')} AS inflected FROM lex, {_MATRIX}",
-    "suggest_exact": f"""{_BASE} SELECT doc_id, st AS start, en AS "end", s AS surface, base, suf AS suffix, alts AS alternatives FROM sug WHERE suf = ''""",
-    "suggest": f'{_BASE} SELECT doc_id, ord AS match_ord, st AS start, en AS "end", s AS surface, base, suf AS suffix, alts AS alternatives FROM sug',
-    "suggest_offers": f"{_BASE} SELECT doc_id, ord AS match_ord, no AS option_no, m AS alternative FROM opts",
-    "sentence_boundaries": f"WITH {_PROSE}, {_BOUNDS} SELECT doc_id, CAST(b AS BIGINT) AS boundary FROM bounds",
-    "sentence_windows": f"{_BASE}, {_BOUNDS}, {_BLANKS}, {_WINDOWS} SELECT doc_id, st AS start, CAST(ws AS BIGINT) AS win_start, CAST(we AS BIGINT) AS win_end, substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)) AS sentence FROM wins",
-    "block_windows": f"{_BASE}, {_BLANKS} SELECT s.doc_id, s.st AS start, CAST(coalesce(max(CASE WHEN b <= s.st THEN b END), 0) AS BIGINT) AS win_start, CAST(coalesce(min(CASE WHEN b > s.st THEN b END), any_value(length(text))) AS BIGINT) AS win_end FROM sug s JOIN prose USING (doc_id) LEFT JOIN blanks USING (doc_id) GROUP BY s.doc_id, s.st",
-    "prompts": f"{_BASE}, {_BOUNDS}, {_BLANKS}, {_WINDOWS}, w2 AS (SELECT *, substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)) AS sen, string_split(alts, '|') AS a FROM wins) SELECT doc_id, ord AS match_ord, {_PROMPT} AS prompt FROM w2",
-    "decisions_parsed": f"{_BASE}, {_DECIDED} SELECT doc_id, ord AS match_ord, CAST(choice AS BIGINT) AS choice_no, valid FROM fin",
-    "remembered_defaults": f"{_BASE}, {_DECIDED} SELECT doc_id, ord AS match_ord, CAST(def AS BIGINT) AS default_no FROM fin",
-    "case_transfer": f"{_BASE}, pairs AS (SELECT DISTINCT s, m FROM opts JOIN sug USING (doc_id, ord)) SELECT s AS surface, m AS replacement, {_cased('s', 'm')} AS result FROM pairs",
-    "apply_first_choice": f"{_BASE}, {_applied('SELECT doc_id, st, en, s, m FROM sug JOIN opts USING (doc_id, ord) WHERE ord % 2 = 0 AND no = 1')} SELECT doc_id, revised FROM rev",
-    "session_replay": f"""{_BASE}, {_DECIDED}, stops AS (SELECT doc_id, min(CASE WHEN line = '{review.INTERRUPT}' THEN ord END) AS stop FROM fin GROUP BY doc_id),
+    "suggest_exact": f"""{BASE} SELECT doc_id, st AS start, en AS "end", s AS surface, base, suf AS suffix, alts AS alternatives FROM sug WHERE suf = ''""",
+    "suggest": f'{BASE} SELECT doc_id, ord AS match_ord, st AS start, en AS "end", s AS surface, base, suf AS suffix, alts AS alternatives FROM sug',
+    "suggest_offers": f"{BASE} SELECT doc_id, ord AS match_ord, no AS option_no, m AS alternative FROM opts",
+    "sentence_boundaries": f"WITH {_PROSE}, {BOUNDS} SELECT doc_id, CAST(b AS BIGINT) AS boundary FROM bounds",
+    "sentence_windows": f"{BASE}, {BOUNDS}, {_BLANKS}, {_WINDOWS} SELECT doc_id, st AS start, CAST(ws AS BIGINT) AS win_start, CAST(we AS BIGINT) AS win_end, substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)) AS sentence FROM wins",
+    "block_windows": f"{BASE}, {_BLANKS} SELECT s.doc_id, s.st AS start, CAST(coalesce(max(CASE WHEN b <= s.st THEN b END), 0) AS BIGINT) AS win_start, CAST(coalesce(min(CASE WHEN b > s.st THEN b END), any_value(length(text))) AS BIGINT) AS win_end FROM sug s JOIN prose USING (doc_id) LEFT JOIN blanks USING (doc_id) GROUP BY s.doc_id, s.st",
+    "prompts": f"{BASE}, {BOUNDS}, {_BLANKS}, {_WINDOWS}, w2 AS (SELECT *, substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)) AS sen, string_split(alts, '|') AS a FROM wins) SELECT doc_id, ord AS match_ord, {_PROMPT} AS prompt FROM w2",
+    "decisions_parsed": f"{BASE}, {_DECIDED} SELECT doc_id, ord AS match_ord, CAST(choice AS BIGINT) AS choice_no, valid FROM fin",
+    "remembered_defaults": f"{BASE}, {_DECIDED} SELECT doc_id, ord AS match_ord, CAST(def AS BIGINT) AS default_no FROM fin",
+    "case_transfer": f"{BASE}, pairs AS (SELECT DISTINCT s, m FROM opts JOIN sug USING (doc_id, ord)) SELECT s AS surface, m AS replacement, {_cased('s', 'm')} AS result FROM pairs",
+    "apply_first_choice": f"{BASE}, {_applied('SELECT doc_id, st, en, s, m FROM sug JOIN opts USING (doc_id, ord) WHERE ord % 2 = 0 AND no = 1')} SELECT doc_id, revised FROM rev",
+    "session_replay": f"""{BASE}, {_DECIDED}, stops AS (SELECT doc_id, min(CASE WHEN line = '{review.INTERRUPT}' THEN ord END) AS stop FROM fin GROUP BY doc_id),
         {_applied("SELECT f.doc_id, f.st, f.en, f.s, o.m FROM fin f JOIN stops USING (doc_id) JOIN opts o ON o.doc_id = f.doc_id AND o.ord = f.ord AND o.no = f.choice WHERE f.choice > 0 AND (stop IS NULL OR f.ord < stop)")}
         SELECT rev.doc_id, revised, CAST(CASE WHEN stop IS NULL THEN {review.DONE} ELSE {review.INTERRUPTED} END AS BIGINT) AS exit_code FROM rev LEFT JOIN stops USING (doc_id)""",
     "lexicon_violations": _violations(),
-    "replay_lines": f"""{_BASE}, {_LINES}, {_applied("SELECT f.doc_id, f.st, f.en, f.s, o.m FROM fin f JOIN opts o ON o.doc_id = f.doc_id AND o.ord = f.ord AND o.no = f.choice WHERE f.choice > 0")},
+    "replay_lines": f"""{BASE}, {_LINES}, {_applied("SELECT f.doc_id, f.st, f.en, f.s, o.m FROM fin f JOIN opts o ON o.doc_id = f.doc_id AND o.ord = f.ord AND o.no = f.choice WHERE f.choice > 0")},
         told AS (SELECT doc_id, sum(wrong) AS w FROM typed GROUP BY doc_id)
         SELECT rev.doc_id, revised, CAST({review.DONE} AS BIGINT) AS exit_code, CAST(coalesce(w, 0) AS BIGINT) AS invalid FROM rev LEFT JOIN told USING (doc_id)""",
-    "prompts_marked": f"""{_BASE}, {_BOUNDS}, {_BLANKS}, {_WINDOWS}, w2 AS (SELECT *, regexp_replace(substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)), '\\n+$', '') AS sen, string_split(alts, '|') AS a, CAST(st - ws AS BIGINT) AS i, CAST(en - st AS BIGINT) AS l, ord % 3 AS d FROM wins)
+    "prompts_marked": f"""{BASE}, {BOUNDS}, {_BLANKS}, {_WINDOWS}, w2 AS (SELECT *, regexp_replace(substr(text, CAST(ws + 1 AS BIGINT), CAST(we - ws AS BIGINT)), '\\n+$', '') AS sen, string_split(alts, '|') AS a, CAST(st - ws AS BIGINT) AS i, CAST(en - st AS BIGINT) AS l, ord % 3 AS d FROM wins)
         SELECT doc_id, ord AS match_ord, left(sen, i) || chr(27) || '[1m' || substr(sen, i + 1, l) || chr(27) || '[0m' || substr(sen, i + l + 1) || chr(10) || repeat(' ', i) || repeat('^', l) || chr(10)
             || '  0) {review.NO_CHANGE}' || CASE WHEN d = 0 THEN ' [default]' ELSE '' END || chr(10)
             || CASE WHEN alts = '' THEN '' ELSE array_to_string(list_transform(range(1, len(a) + 1), lambda j: '  ' || j || ') ' || a[j] || CASE WHEN d = j THEN ' [default]' ELSE '' END), chr(10)) || chr(10) END AS prompt FROM w2""",
-    "choice_errors": f"""{_BASE}, made AS (SELECT doc_id, ord, st, CASE WHEN doc_id % 5 = 0 AND ord % 4 = 1 THEN en + 40 ELSE en END AS en, CASE WHEN doc_id % 7 = 0 AND ord > 2 THEN -ord ELSE ord END AS pos FROM sug),
+    "choice_errors": f"""{BASE}, made AS (SELECT doc_id, ord, st, CASE WHEN doc_id % 5 = 0 AND ord % 4 = 1 THEN en + 40 ELSE en END AS en, CASE WHEN doc_id % 7 = 0 AND ord > 2 THEN -ord ELSE ord END AS pos FROM sug),
         pairs AS (SELECT doc_id, pos, st, en, lead(st) OVER w AS nst FROM made WINDOW w AS (PARTITION BY doc_id ORDER BY pos, st, en)),
         bad AS (SELECT doc_id, CASE WHEN st > nst THEN '{OUT_OF_ORDER}' ELSE '{OVERLAP}' END AS error, pos, st FROM pairs WHERE st > nst OR en > nst)
         SELECT doc_id, error FROM bad QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, st) = 1""",
     "text_source": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(PARAGRAPHS)) + ") AS t(doc_id, text)",
     "file_source": f"WITH {_PROSE} SELECT doc_id % 8 AS part, true AS valid, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM prose GROUP BY 1 UNION ALL SELECT 8, false, NULL",
     "file_sink": f"WITH {_PROSE} SELECT doc_id, text FROM prose",
-    "rewritten_in_place": f"{_BASE}, {_applied('SELECT doc_id, st, en, s, m FROM sug JOIN opts USING (doc_id, ord) WHERE ord % 2 = 0 AND no = 1')} SELECT doc_id, revised FROM rev",
+    "rewritten_in_place": f"{BASE}, {_applied('SELECT doc_id, st, en, s, m FROM sug JOIN opts USING (doc_id, ord) WHERE ord % 2 = 0 AND no = 1')} SELECT doc_id, revised FROM rev",
     "lexicon_file": f"WITH {_lexicon_cte()} SELECT base, CAST(pos AS BIGINT) AS alt_pos, raw FROM lex",
     "lexicon_packaged": f"WITH {_lexicon_cte()} SELECT base, CAST(pos AS BIGINT) AS alt_pos, raw FROM lex WHERE base NOT IN ({', '.join(repr(b) for b in FREQUENT)})",
 }

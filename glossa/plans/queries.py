@@ -14,7 +14,7 @@ from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.context import block_cuts, boundaries, window_at
@@ -131,11 +131,15 @@ def block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.inline(F.transform("found", at))).select("doc_id", "start", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"))
 
 
-def _decisions(matches: DataFrame) -> DataFrame:
-    """A fixed table of answers, some empty, some invalid, one interrupt in 97 documents."""
+def answer_line() -> Column:
+    """Fixed answers, some empty, some invalid, one interrupt in 97 documents."""
     k = F.col("doc_id") * 31 + F.col("match_ord") * 7
     line = F.when(k % 11 == 0, "").when(k % 13 == 0, " x ").when(k % 17 == 0, "99").when((F.col("doc_id") % 97 == 0) & (F.col("match_ord") == 5), review.INTERRUPT)
-    return matches.select("doc_id", "match_ord", line.otherwise((k % 4).cast("string")).alias("line"))
+    return line.otherwise((k % 4).cast("string"))
+
+
+def _decisions(matches: DataFrame) -> DataFrame:
+    return matches.select("doc_id", "match_ord", answer_line().alias("line"))
 
 
 def decisions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

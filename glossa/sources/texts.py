@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_folder  # noqa: F401  a folder for what these functions write
+
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     """doc_id (from 0), text."""
@@ -26,16 +27,6 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.when(ok, F.regexp_replace(text, "\r\n?", "\n")).alias("text"), ok.alias("valid"))
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share; a temporary one on a single machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="glossa")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def replace_texts(spark: SparkSession, path: str, revise: Callable[[DataFrame], DataFrame]) -> None:
     """Put revise(docs) in the place of a folder of Parquet documents: written beside it first, then renamed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
