@@ -19,8 +19,8 @@ from .queries import answer_line, corpus_lexicon, prose
 
 #: Microseconds of a minute, and of how long a change is in hand.
 MINUTE, IN_HAND = 60_000_000, 3_600_000_000
-#: Seconds that a decision may take, and where the streams are moved to in the end.
-WAIT, END = 3600, 4_000_000_000
+#: Seconds that a decision may take, and since 1970 of the first thing shown (a watermark starts at 0, and what is not after it is late).
+WAIT, START = 3600, 1_000_000_000
 PARTS = 3
 
 
@@ -84,7 +84,7 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = lambda c: F.timestamp_seconds(c)
     k = F.col("doc_id") * 31 + F.col("match_ord") * 7
     took = F.when(k % 11 == 0, 2 * WAIT).when(k % 5 == 0, -5).otherwise(k % WAIT)
-    rows = suggest(prose(spark, sf_dir), corpus_lexicon()).select("doc_id", "match_ord", (F.col("doc_id") * 60 + F.col("match_ord")).alias("shown"), k.alias("k"), took.alias("took"))
+    rows = suggest(prose(spark, sf_dir), corpus_lexicon()).select("doc_id", "match_ord", (F.col("doc_id") * 60 + F.col("match_ord") + START).alias("shown"), k.alias("k"), took.alias("took"))
     rows = checkpointed(rows)
     top = (rows.agg(F.max("doc_id")).first()[0] or 0) + 1
     parts = []
@@ -92,7 +92,7 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = rows.where(F.floor(F.col("doc_id") * PARTS / top) == i)
         told = own.where("k % 7 <> 0").select("doc_id", "match_ord", (F.col("k") % 4).cast("string").alias("line"), seconds(F.col("shown") + F.col("took")).alias("decided_at"))
         parts.append({"matches": own.select("doc_id", "match_ord", seconds(F.col("shown")).alias("shown_at")), "decisions": told})
-    end = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("match_ord"), F.lit(None).cast("string").alias("line"), seconds(F.lit(END)).alias("at"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("match_ord"), F.lit(None).cast("string").alias("line"), seconds(F.lit(START + 60 * top + 100 * WAIT)).alias("at"))  # moves both streams past every wait
     parts.append({"matches": end.select("doc_id", "match_ord", F.col("at").alias("shown_at")), "decisions": end.select("doc_id", "match_ord", "line", F.col("at").alias("decided_at"))})
     out = _run(spark, lambda matches, decisions: decided_stream(matches, decisions, f"{WAIT} seconds", "3 hours"), parts).where("doc_id >= 0")
     return out.select("doc_id", F.col("match_ord").cast("long").alias("match_ord"), F.unix_seconds("shown_at").alias("shown"), F.unix_seconds("decided_at").alias("decided"), "line")
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT sale_id, client_id, best.c.i AS change_id, best.c.s AS seq FROM s LEFT JOIN best USING (n)""",
     "asof_sentences": f"{oracle.BASE}, {oracle.BOUNDS} SELECT s.doc_id, s.st AS start, CAST(max(CASE WHEN b <= s.st THEN b END) AS BIGINT) AS boundary FROM sug s LEFT JOIN bounds USING (doc_id) GROUP BY s.doc_id, s.st",
     "stream_defaults": oracle.ORACLE_SQL["remembered_defaults"],
-    "stream_decisions": f"""{oracle.BASE}, shown AS (SELECT doc_id, ord, doc_id * 60 + ord AS shown, doc_id * 31 + ord * 7 AS k FROM sug),
+    "stream_decisions": f"""{oracle.BASE}, shown AS (SELECT doc_id, ord, doc_id * 60 + ord + {START} AS shown, doc_id * 31 + ord * 7 AS k FROM sug),
         told AS (SELECT doc_id, ord, shown + CASE WHEN k % 11 = 0 THEN {2 * WAIT} WHEN k % 5 = 0 THEN -5 ELSE k % {WAIT} END AS decided, CAST(k % 4 AS VARCHAR) AS line FROM shown WHERE k % 7 <> 0)
         SELECT s.doc_id, s.ord AS match_ord, s.shown, t.decided, t.line FROM shown s LEFT JOIN told t ON t.doc_id = s.doc_id AND t.ord = s.ord AND t.decided BETWEEN s.shown AND s.shown + {WAIT}""",
 }
