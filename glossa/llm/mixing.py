@@ -27,8 +27,10 @@ from .common import WORD, column, cut_lineage, table, unused
 BLOCK = 256
 #: Rounds of the swap-or-not shuffle, and cells by which a draw finds its source.
 ROUNDS, CELLS = 24, 4096
-#: Slots that one task maps, about.
-SLOTS_A_TASK = 20_000
+#: Slots that one task maps, about, and copies of a row that leave a task together.
+SLOTS_A_TASK, PIECE = 20_000, 1000
+#: Repeated rows, some 50 bytes each without text, that are broadcast.
+FEW = 100_000
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -149,19 +151,37 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: floa
 def mix_documents(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     """The mix in whole documents: each row of `docs` as often as the share of its words that is taken.
 
-    A fraction is settled by a hash of doc_id, text and the row's place in its table, so the words of each
-    source stay near its target, also where ids are null or repeated.
+    Rows alike in every column are counted together: of n of them as many come out as n times the share, a
+    fraction settled by a hash of the row, so the words of each source stay near its target, also where ids are null
+    or repeated, and the result does not depend on how the rows are partitioned.  Each of the n comes out equally often; what is
+    left over comes from one of them, dealt to tasks PIECE rows at a time.
     """
     times = mixture(docs, seed=seed, **options).groupBy("doc_id", "skey", "th").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("ratio"))
-    id_, skey, th, ratio, draw = (unused(docs, n) for n in ("id_", "skey_", "th_", "ratio_", "draw_"))
-    times = times.toDF(id_, skey, th, ratio)
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn(draw, F.pmod(F.xxhash64("doc_id", text, F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
-    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(skey)) & (text == F.col(th))
-    taken = rows.join(times, on).withColumn(draw, F.floor(F.col(ratio) + F.col(draw)).cast("int"))
+    id_, skey, th, ratio, row, n, each, over = (unused(docs, c) for c in ("id_", "skey_", "th_", "ratio_", "row_", "n_", "each_", "over_"))
     columns = [column(c) for c in docs.columns]
-    return taken.where(F.col(draw) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(draw))).alias(draw)).select(*columns)
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    key = {id_: F.col("doc_id"), skey: source, th: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+    hashed = [F.to_json(column(c)) if kind.startswith("map") else column(c) for c, kind in docs.dtypes]
+    full = F.xxhash64(*hashed, *(c.isNull() for c in columns))
+    # A row for each distinct row of docs: narrow, without texts.
+    rows = docs.select(*(c.alias(k) for k, c in key.items()), full.alias(row)).groupBy(id_, skey, th, row).agg(F.count(F.lit(1)).alias(n))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("skey") == F.col(skey)) & (F.col("th") == F.col(th))
+    rows = rows.join(times.withColumnRenamed("doc_id", "of_id").withColumnRenamed("ratio", ratio).select(F.col("of_id").alias("doc_id"), "skey", "th", ratio), same)
+    draw = F.pmod(F.xxhash64(id_, th, row, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("total", F.floor(F.col(n) * F.col(ratio) + draw)).withColumn(each, F.floor(F.col("total") / F.col(n)).cast("int"))
+    rows = cut_lineage(rows.where("total > 0").select(id_, skey, th, row, each, (F.col("total") - F.col(each) * F.col(n)).alias(over)))
+
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (key[skey] == F.col(skey)) & (key[th] == F.col(th)) & (full == F.col(row))
+    whole = docs.join(rows.where(F.col(each) > 0), on).select(*columns, F.explode(F.sequence(F.lit(1), F.col(each))).alias(each)).select(*columns)
+    left = rows.where(F.col(over) > 0)  # of rows that are repeated
+    n_left = left.count()
+    if not n_left:
+        return whole
+    left = F.broadcast(left) if n_left <= FEW else left
+    ones = docs.join(left, on).groupBy(id_, skey, th, row, over).agg(F.first(F.struct(*(c.alias(x) for c, x in zip(columns, docs.columns, strict=True)))).alias(each))
+    pieces = ones.select(row, each, over, F.explode(F.sequence(F.lit(0), F.floor((F.col(over) - 1) / PIECE))).alias(n))
+    pieces = pieces.repartition(row, n).select(each, F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.col(over) - F.col(n) * PIECE))).alias(n))
+    return whole.unionByName(pieces.select(f"{each}.*"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

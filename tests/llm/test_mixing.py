@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +61,23 @@ def test_empty_and_documents(spark, corpus):
     assert mixed.columns == docs.columns
     counts = {(r["doc_id"], r["source"]): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()}
     assert counts and max(counts.values()) <= 9  # three times, for a row that is there three times
+
+
+def test_documents_do_not_depend_on_partitions(spark, corpus, monkeypatch):
+    """The same rows from the same rows in other partitions, also of repeated ones, ids that are null and columns of other kinds; repeated rows near their share."""
+    import glossa.llm.mixing as mixing
+
+    rows = corpus + [(None, "a text without an id", "s1")] * 50 + [(8000, "a text and id of many rows", "s3")] * 77 + [(None, None, "s1")] * 5
+    docs = make_docs(spark, rows).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    shown = lambda df: Counter(map(str, df.collect()))
+    want = shown(mix_documents(docs))
+    assert shown(mix_documents(docs.repartition(7))) == want
+    monkeypatch.setattr(mixing, "PIECE", 3)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert shown(mix_documents(docs.repartition(5, "n_chars"))) == want
+    share = {(r["doc_id"], r["th"]): (r["n"], r["of"]) for r in mixture(docs).groupBy("doc_id", "th").agg(F.sum("taken").alias("n"), F.sum("size").alias("of")).collect()}
+    got = mix_documents(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).groupBy("doc_id", "th").count().collect()
+    count = {(r["doc_id"], r["th"]): r["count"] for r in got}
+    there = Counter((r["doc_id"], r["th"]) for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect())
+    for k, (n, of) in share.items():
+        assert abs(count.get(k, 0) - there[k] * n / max(1, of)) < 3, k
