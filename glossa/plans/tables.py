@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.context import boundaries
+from ..functions.patterns import WORD
 from ..functions.times import micros
 from ..operators.asof import asof_join
+from ..operators.frequent import top_items
 from ..operators.intervals import interval_join
 from ..operators.suggest import protected_by_kind, suggest, tokens
 from ..scratch import checkpointed, scratch_folder
@@ -57,6 +59,13 @@ def asof_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(found, bounds, ["doc_id"], "start", "boundary").select("left.doc_id", "left.start", "right.boundary")
 
 
+def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent words of each language and source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select("lang", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    return top_items(words, ["lang", "source"], "word", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 def _run(spark: SparkSession, stream_of: Callable[..., DataFrame], parts: list[dict[str, DataFrame]]) -> DataFrame:
     """What a query gives for the parts, each fed in a start of its own on one checkpoint in a new folder."""
     folder = scratch_folder(spark, "stream")
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sales_in_changes": sales_in_changes,
     "asof_changes": asof_changes,
     "asof_sentences": asof_sentences,
+    "top_words": top_words,
     "stream_defaults": stream_defaults,
     "stream_decisions": stream_decisions,
 }
@@ -116,6 +126,9 @@ ORACLE_SQL: dict[str, str] = {
         best AS (SELECT n, arg_max({'i': change_id, 's': seq}, {'t': valid_at, 's': seq, 'i': change_id}) AS c FROM s JOIN client_changes c ON c.client_id = s.client_id AND c.valid_at <= s.sold_at GROUP BY n)
         SELECT sale_id, client_id, best.c.i AS change_id, best.c.s AS seq FROM s LEFT JOIN best USING (n)""",
     "asof_sentences": f"{oracle.BASE}, {oracle.BOUNDS} SELECT s.doc_id, s.st AS start, CAST(max(CASE WHEN b <= s.st THEN b END) AS BIGINT) AS boundary FROM sug s LEFT JOIN bounds USING (doc_id) GROUP BY s.doc_id, s.st",
+    "top_words": r"""WITH w AS (SELECT lang, source, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents),
+        c AS (SELECT lang, source, word, count(*) AS n FROM w GROUP BY ALL)
+        SELECT lang, source, word, n, row_number() OVER (PARTITION BY lang, source ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 10""",
     "stream_defaults": oracle.ORACLE_SQL["remembered_defaults"],
     "stream_decisions": f"""{oracle.BASE}, shown AS (SELECT doc_id, ord, doc_id * 60 + ord + {START} AS shown, doc_id * 31 + ord * 7 AS k FROM sug),
         told AS (SELECT doc_id, ord, shown + CASE WHEN k % 11 = 0 THEN {2 * WAIT} WHEN k % 5 = 0 THEN -5 ELSE k % {WAIT} END AS decided, CAST(k % 4 AS VARCHAR) AS line FROM shown WHERE k % 7 <> 0)
