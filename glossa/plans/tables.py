@@ -13,6 +13,7 @@ from ..functions.times import micros
 from ..operators.asof import asof_join
 from ..operators.frequent import top_items
 from ..operators.intervals import interval_join
+from ..operators.levels import level_counts
 from ..operators.suggest import protected_by_kind, suggest, tokens
 from ..scratch import checkpointed, scratch_folder
 from ..streaming.review import decided_stream, keyed_state, remembered_stream
@@ -66,6 +67,13 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_items(words, ["lang", "source"], "word", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+def suggest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and documents that have them, by language, source, base and suffix, with all totals."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    found = suggest(prose(spark, sf_dir), corpus_lexicon()).select("doc_id", "base", "suffix")
+    return level_counts(found.join(docs, "doc_id"), ["lang", "source", "base", "suffix"], "doc_id").withColumnRenamed("ids", "docs")
+
+
 def _run(spark: SparkSession, stream_of: Callable[..., DataFrame], parts: list[dict[str, DataFrame]]) -> DataFrame:
     """What a query gives for the parts, each fed in a start of its own on one checkpoint in a new folder."""
     folder = scratch_folder(spark, "stream")
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asof_changes": asof_changes,
     "asof_sentences": asof_sentences,
     "top_words": top_words,
+    "suggest_levels": suggest_levels,
     "stream_defaults": stream_defaults,
     "stream_decisions": stream_decisions,
 }
@@ -129,6 +138,8 @@ ORACLE_SQL: dict[str, str] = {
     "top_words": r"""WITH w AS (SELECT lang, source, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents),
         c AS (SELECT lang, source, word, count(*) AS n FROM w GROUP BY ALL)
         SELECT lang, source, word, n, row_number() OVER (PARTITION BY lang, source ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 10""",
+    "suggest_levels": f"""{oracle.BASE}, o AS (SELECT d.lang, d.source, base, suf AS suffix, doc_id FROM sug JOIN documents d USING (doc_id))
+        SELECT lang, source, base, suffix, CAST(grouping(lang, source, base, suffix) AS BIGINT) AS level, count(*) AS n, count(DISTINCT doc_id) AS docs FROM o GROUP BY CUBE (lang, source, base, suffix)""",
     "stream_defaults": oracle.ORACLE_SQL["remembered_defaults"],
     "stream_decisions": f"""{oracle.BASE}, shown AS (SELECT doc_id, ord, doc_id * 60 + ord + {START} AS shown, doc_id * 31 + ord * 7 AS k FROM sug),
         told AS (SELECT doc_id, ord, shown + CASE WHEN k % 11 = 0 THEN {2 * WAIT} WHEN k % 5 = 0 THEN -5 ELSE k % {WAIT} END AS decided, CAST(k % 4 AS VARCHAR) AS line FROM shown WHERE k % 7 <> 0)
