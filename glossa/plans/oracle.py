@@ -6,10 +6,13 @@ sums lengths over windows, stems forward by CASE and joins twice; DuckDB runs it
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from ..functions.patterns import ABBREVIATIONS
 from ..operators import review
 from ..operators.apply import OUT_OF_ORDER, OVERLAP
-from .queries import BAD_LEXICONS, FREQUENT, PARAGRAPHS, corpus_lexicon, prose_sql
+from .queries import PARAGRAPHS, corpus_lexicon, prose_sql
 
 _SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _C, _V = "bcdfghjklmnpqrstvwxyz", "aeiou"
@@ -126,10 +129,10 @@ def _applied(made: str) -> str:
 
 
 def _violations() -> str:
-    lit = lambda xs: "NULL" if xs is None else "CAST([" + ", ".join(f"'{x}'" for x in xs) + "] AS VARCHAR[])"
-    rows = ", ".join(f"({n}, {p}, '{b}', {lit(a)})" for n, p, b, a in BAD_LEXICONS)
-    return f"""WITH e(lexicon, p, base, alts) AS (VALUES {rows}),
-    w AS (SELECT lexicon, p, base, unnest(alts) AS word, generate_subscripts(alts, 1) AS i FROM e),
+    return f"""WITH {_PROSE}, l AS (SELECT doc_id AS lexicon, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS a FROM prose),
+    t AS (SELECT lexicon, a, unnest(range(0, len(a) // 3)) AS p FROM l),
+    e AS MATERIALIZED (SELECT lexicon, p, a[3 * p + 1] AS base, CASE WHEN p % 50 = 49 THEN NULL WHEN p % 70 = 69 THEN [] ELSE [a[3 * p + 2], a[3 * p + 3]] END AS alts FROM t),
+    w AS MATERIALIZED (SELECT lexicon, p, base, unnest(alts) AS word, generate_subscripts(alts, 1) AS i FROM e),
     bad AS (
         SELECT e.lexicon, e.p, 0 AS ph, 0 AS i, 1 AS c, e.base AS entry, 'duplicate_base' AS rule, e.base AS word FROM e WHERE EXISTS (SELECT 1 FROM e o WHERE o.lexicon = e.lexicon AND o.base = e.base AND o.p < e.p)
         UNION ALL SELECT e.lexicon, e.p, 0, 0, 2, e.base, 'base_is_alternative', e.base FROM e WHERE EXISTS (SELECT 1 FROM w WHERE w.lexicon = e.lexicon AND w.word = e.base AND w.p < e.p)
@@ -146,6 +149,17 @@ HEAD = f"WITH {_PROSE}, {_WORDS}"
 _PROMPT = """array_to_string([regexp_replace(sen, '\\n+$', ''), repeat(' ', CAST(st - ws AS BIGINT)) || repeat('^', CAST(en - st AS BIGINT)), '  0) NO CHANGE'], chr(10)) || chr(10)
     || CASE WHEN alts = '' THEN '' ELSE array_to_string(list_transform(range(1, len(a) + 1), lambda i: '  ' || i || ') ' || a[i]), chr(10)) || chr(10) END"""
 
+
+
+def _packaged_rows() -> str:
+    """The packaged lexicon read line by line, without what is under test: word = [words]."""
+    out = []
+    for line in (Path(__file__).parents[1] / "data" / "lexicon.toml").read_text(encoding="utf-8").splitlines():
+        base, _, alts = line.partition("=")
+        out += [(base.strip().strip('"'), i, a) for i, a in enumerate(re.findall('"([^"]*)"', alts))]
+    return ", ".join(f"('{b}', {i}, '{a.replace(chr(39), chr(39) * 2)}')" for b, i, a in out)
+
+
 ORACLE_SQL: dict[str, str] = {
     "tokenize_offsets": f'{HEAD} SELECT doc_id, st AS start, en AS "end", s AS surface FROM words',
     "protected_spans_raw": f'WITH {_PROSE}, {PROTECTED} SELECT doc_id, kind, st AS start, en AS "end" FROM raw',
@@ -154,7 +168,7 @@ ORACLE_SQL: dict[str, str] = {
     "tokens_protected_semi": f'{HEAD}, {PROTECTED}, {_MERGED} SELECT doc_id, w.st AS start, w.en AS "end" FROM words w SEMI JOIN prot p ON p.doc_id = w.doc_id AND p.st < w.en AND p.en > w.st',
     "stem_vocabulary": f"{HEAD}, v AS (SELECT DISTINCT lower(s) AS key FROM words), f AS (SELECT key, {_stem('key')} AS x FROM v) SELECT key, x.stem AS stem, x.suffix AS suffix FROM f",
     "lexicon_lookup": f"{BASE} SELECT doc_id, st AS start, base, suf AS suffix FROM hits",
-    "reinflect_matrix": f"WITH {_lexicon_cte()} SELECT raw AS alternative, suffix, {_inflect('raw', 'suffix')} AS inflected FROM lex, {_MATRIX}",
+    "reinflect_matrix": f"{HEAD}, v AS (SELECT DISTINCT lower(s) AS raw FROM words) SELECT raw AS alternative, suffix, {_inflect('raw', 'suffix')} AS inflected FROM v, {_MATRIX}",
     "suggest_exact": f"""{BASE} SELECT doc_id, st AS start, en AS "end", s AS surface, base, suf AS suffix, alts AS alternatives FROM sug WHERE suf = ''""",
     "suggest": f'{BASE} SELECT doc_id, ord AS match_ord, st AS start, en AS "end", s AS surface, base, suf AS suffix, alts AS alternatives FROM sug',
     "suggest_offers": f"{BASE} SELECT doc_id, ord AS match_ord, no AS option_no, m AS alternative FROM opts",
@@ -181,10 +195,13 @@ ORACLE_SQL: dict[str, str] = {
         pairs AS (SELECT doc_id, pos, st, en, lead(st) OVER w AS nst FROM made WINDOW w AS (PARTITION BY doc_id ORDER BY pos, st, en)),
         bad AS (SELECT doc_id, CASE WHEN st > nst THEN '{OUT_OF_ORDER}' ELSE '{OVERLAP}' END AS error, pos, st FROM pairs WHERE st > nst OR en > nst)
         SELECT doc_id, error FROM bad QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, st) = 1""",
-    "text_source": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p.replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(PARAGRAPHS)) + ") AS t(doc_id, text)",
+    "text_source": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, text FROM benchmark",
     "file_source": f"WITH {_PROSE} SELECT doc_id % 8 AS part, true AS valid, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM prose GROUP BY 1 UNION ALL SELECT 8, false, NULL",
     "file_sink": f"WITH {_PROSE} SELECT doc_id, text FROM prose",
     "rewritten_in_place": f"{BASE}, {_applied('SELECT doc_id, st, en, s, m FROM sug JOIN opts USING (doc_id, ord) WHERE ord % 2 = 0 AND no = 1')} SELECT doc_id, revised FROM rev",
-    "lexicon_file": f"WITH {_lexicon_cte()} SELECT base, CAST(pos AS BIGINT) AS alt_pos, raw FROM lex",
-    "lexicon_packaged": f"WITH {_lexicon_cte()} SELECT base, CAST(pos AS BIGINT) AS alt_pos, raw FROM lex WHERE base NOT IN ({', '.join(repr(b) for b in FREQUENT)})",
+    "lexicon_file": """WITH i AS (SELECT DISTINCT item_id, kind, brand FROM items WHERE item_id IS NOT NULL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(kind, 'None'), coalesce(brand, 'None')) - 1 AS pos FROM i)
+        SELECT 'item' || item_id AS base, pos AS alt_pos, coalesce(kind, 'None') || ' no. ' || item_id || ' "' || coalesce(brand, 'None') || '" ' || pos AS raw FROM n""",
+    "lexicon_packaged": f"""{HEAD}, lex(base, pos, raw) AS (VALUES {_packaged_rows()}), c AS (SELECT lower(s) AS base, count(*) AS n FROM words GROUP BY 1)
+        SELECT lex.base, CAST(pos AS BIGINT) AS alt_pos, raw, coalesce(n, 0) AS times FROM lex LEFT JOIN c USING (base)""",
 }

@@ -23,8 +23,9 @@ from ..functions.patterns import WORD
 from ..operators import review
 from ..operators.apply import apply_choices, choice_errors, transfer_case
 from ..operators.suggest import occurrences, offers, protected_by_kind, protected_spans, suggest, tokens
+from ..scratch import scratch_folder
 from ..sources.lexicon import Lexicon, violations
-from ..sources.texts import from_files, from_texts, replace_texts, scratch_folder, write_texts
+from ..sources.texts import from_files, from_texts, replace_texts, write_texts
 
 #: Frequent words of the corpus, with made-up alternatives.
 FREQUENT = {"the": ["yonder", "that very"], "of": ["belonging to"], "and": ["plus", "along-with"], "for": ["toward"], "was": ["existed"], "from": ["out of"]}
@@ -81,9 +82,12 @@ def tokens_protected_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(prose(spark, sf_dir), protected=True).select("doc_id", "start", "end")
 
 
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+
+
 def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = prose(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
-    keys = words.select(F.lower("w").alias("key")).distinct()
+    keys = _words(spark, sf_dir).select(F.lower("w").alias("key")).distinct()
     return keys.select("key", stem_column(F.col("key")).alias("s")).select("key", "s.stem", "s.suffix")
 
 
@@ -93,7 +97,7 @@ def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reinflect_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.explode(F.array(*(F.lit(r.label) for r in RULES), F.lit(""), F.lit("-xyz"))).alias("suffix")
-    words = corpus_lexicon().table(spark).select(F.col("raw").alias("alternative"), labels)
+    words = _words(spark, sf_dir).select(F.lower("w").alias("alternative")).distinct().select("alternative", labels)
     return words.select("alternative", "suffix", inflected_column(F.col("alternative"), F.col("suffix")).alias("inflected"))
 
 
@@ -213,7 +217,9 @@ def choice_errors_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_texts(spark, list(PARAGRAPHS))
+    """The benchmark's texts given as arguments are."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()
+    return from_texts(spark, [r["text"] for r in sorted(items, key=lambda r: r["item_id"])])
 
 
 def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,31 +247,30 @@ def rewritten_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lexicon written as TOML and loaded by its path."""
+    """A lexicon of the shop's items, written as TOML and loaded by its path."""
+    items = spark.read.parquet(f"{sf_dir}/items.parquet").select("item_id", "kind", "brand").where("item_id IS NOT NULL").distinct().collect()
+    kinds: dict[str, list[str]] = {}
+    for r in sorted(items, key=lambda r: (r["item_id"], str(r["kind"]), str(r["brand"]))):
+        kinds.setdefault(f"item{r['item_id']}", []).append(f"{r['kind']} no. {r['item_id']} \"{r['brand']}\" {len(kinds.get(f'item{r["item_id"]}', []))}")
     with tempfile.TemporaryDirectory() as folder:
         path = Path(folder) / "lexicon.toml"
-        path.write_text("".join(f"{json.dumps(b)} = {json.dumps(alts)}\n" for b, alts in corpus_lexicon().entries.items()), encoding="utf-8")
+        path.write_text("".join(f"{json.dumps(b)} = {json.dumps(alts)}\n" for b, alts in kinds.items()), encoding="utf-8")
         return _int(Lexicon.load(path).table(spark))
 
 
 def lexicon_packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _int(Lexicon.default().table(spark))
-
-
-#: Lexicons with and without violations: (lexicon, entry_pos, base, alternatives or None).
-BAD_LEXICONS = [
-    (0, 0, "oak", ["elm"]), (0, 1, "oak", ["ash"]),
-    (1, 0, "cat", ["lion", "lynx"]), (1, 1, "dog", ["wolf", "lynx"]),
-    (2, 0, "red", ["pink", "rose"]), (2, 1, "blue", ["navy", "red"]),
-    (3, 0, "run", ["jog", "dash"]), (3, 1, "dash", ["dart"]),
-    (4, 0, "cold", ["chilly", "cold"]), (5, 0, "warm", []), (6, 0, "hot", None),
-    (7, 0, "wet", ["damp", "moist", "damp"]), (8, 0, "good", ["fine", "fair"]),
-    (9, 0, "a", ["b", "c"]), (9, 1, "d", ["c", "a"]), (9, 2, "e", []),
-]
+    """The packaged lexicon with the number of times that each base word stands in the documents as it is."""
+    counts = _words(spark, sf_dir).groupBy(F.lower("w").alias("base")).agg(F.count(F.lit(1)).alias("times"))
+    return _int(Lexicon.default().table(spark).join(counts, "base", "left").select("base", "alt_pos", "raw", F.coalesce("times", F.lit(0)).alias("times")))
 
 
 def lexicon_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations(spark.createDataFrame(BAD_LEXICONS, "lexicon bigint, entry_pos bigint, base string, alts array<string>"))
+    """Every document read as a lexicon: of each three words the first a base, the others its alternatives, some of them no list or empty."""
+    words = prose(spark, sf_dir).select(F.col("doc_id").alias("lexicon"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+    at = F.sequence(F.lit(0), F.greatest(F.floor(F.size("w") / 3) - 1, F.lit(0)).cast("int"))
+    entries = words.where("size(w) >= 3").select("lexicon", "w", F.explode(at).alias("p"))
+    alts = F.when(F.col("p") % 50 == 49, None).when(F.col("p") % 70 == 69, F.array().cast("array<string>")).otherwise(F.slice("w", 3 * F.col("p") + 2, F.lit(2)))
+    return violations(entries.select("lexicon", F.col("p").cast("long").alias("entry_pos"), F.get("w", 3 * F.col("p")).alias("base"), alts.alias("alts")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

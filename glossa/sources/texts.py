@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_folder  # noqa: F401  a folder for what these functions write
-
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     """doc_id (from 0), text."""
