@@ -35,6 +35,8 @@ WINDOW, K = 10, 6
 #: K-grams of a window.
 GRAMS = WINDOW - K + 1
 BITS = 24
+#: Characters that are looked through at a time.
+PIECE = 1 << 20
 #: Rows of benchmark windows up to which joins broadcast them (about 40 bytes each); beyond, they are shuffled with SALTS.
 BROADCAST_WINDOWS, SALTS = 200_000, 16
 #: Window hashes up to which `drop_contaminated` looks them up in the pass over the documents (8 bytes each).
@@ -70,7 +72,7 @@ def around(words: Words, fp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, ids = b.column("text").to_pylist(), b.column("item").to_pylist()
-        for lo, hi in pieces(texts):
+        for lo, hi in pieces(texts, PIECE):
             w = Words(texts[lo:hi], ALNUM)
             fp, at, wh = around(w, *picks(w))
             n = np.full(len(at), WINDOW)
@@ -108,7 +110,7 @@ def _doc_windows(bitmap: bytes, lengths: list[int]):
         known = lambda h: bits[(h >> U(64 - BITS)).astype(np.int64)]
         for b in batches:
             texts = b.column("text").to_pylist()
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE):
                 w = Words(texts[lo:hi], ALNUM)
                 fp, wh, n, at = _candidates(w, known, lengths)
                 doc = w.doc[at] if len(at) else at
@@ -203,7 +205,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = lambda h: bits[(h >> U(64 - BITS)).astype(np.int64)]
         for b in batches:
             texts = b.column(text).to_pylist()
-            for lo, hi in pieces(texts):
+            for lo, hi in pieces(texts, PIECE):
                 w = Words(texts[lo:hi], ALNUM)
                 _, wh, n, at = _candidates(w, known, lengths)
                 wh = wh.view(_SMALL)
