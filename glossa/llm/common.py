@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import checkpointed, scratch_folder
+
 #: White space of the word contracts, as a regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,8 +22,7 @@ def cut_lineage(df: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     not write a file for each of many.  The files go with the DataFrame where
     spark.cleaner.referenceTracking.cleanCheckpoints is true.
     """
-    _shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = checkpointed(df)
     return out.coalesce(tasks_for(out, rows_a_task)) if rows_a_task else out
 
 
@@ -46,17 +43,6 @@ def prefix_sums(buckets: DataFrame, value: str, order: list, out: str, within: l
     return buckets.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a single machine and an error on a cluster."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
-    return sc.getCheckpointDir()
-
-
 def unused(docs: DataFrame, name: str) -> str:
     """A column name that starts with `name` and that `docs` does not have, in any case."""
     taken = {c.lower() for c in docs.columns}
@@ -72,7 +58,7 @@ def column(name: str) -> Column:
 
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A new folder for what a stage writes."""
-    return f"{_shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, f"stage-{name}")
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
