@@ -28,13 +28,14 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).limit(5).count() == 5
 
 
-@pytest.mark.parametrize("name", ["suggest", "protected_spans_merged", "session_replay", "lexicon_violations", "prompts"])
+@pytest.mark.parametrize("name", ["suggest", "protected_spans_merged", "session_replay", "lexicon_violations", "prompts", "protected_pairs", "sales_in_changes", "asof_changes", "asof_sentences", "top_words", "suggest_levels", "stream_decisions", "lexicon_file"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for path in sorted(Path(folder).glob("*.parquet")):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     rel = con.sql(__spark_entry__.oracle_sql()[name])
     got = __spark_entry__.queries()[name](spark, folder)
     assert sorted(rel.columns) == sorted(got.columns)
