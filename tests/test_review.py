@@ -244,3 +244,11 @@ def test_files_are_strict_about_encoding(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"caf\xe9")
     got = {r["path"][-5:]: (r["text"], r["valid"]) for r in from_files(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("é\nb\nc", True), "b.txt": (None, False)}
+
+
+def test_line_ends_of_files_are_folded_without_patterns(spark, tmp_path):
+    """A pattern copies a file's text several times, which a large one has no memory for."""
+    (tmp_path / "a.txt").write_bytes(b"\r\r\n\n\ra\r\r")
+    got = from_files(spark, str(tmp_path))
+    assert "regexp" not in got._jdf.queryExecution().toString()
+    assert got.first()["text"] == "\n\n\n\na\n\n"
