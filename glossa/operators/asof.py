@@ -46,7 +46,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     for c in (*keys, "t"):
         known = known & F.col(c).isNotNull()
     alone = a.where(~known).select("left", F.lit(None).cast(b.schema["right"].dataType).alias("right"))
-    both = a.where(known).unionByName(b.where(known), allowMissingColumns=True)
+    # Counted, sampled for the ranges and dealt to them: worked out once.
+    both = checkpointed(a.where(known).unionByName(b.where(known), allowMissingColumns=True))
     order = ["t", "side", "tie"]
     ranges = max(spark.sparkContext.defaultParallelism, math.ceil(both.count() / RANGE_ROWS))
     # What is drawn from the ranges below must be cut alike: written once.

@@ -75,3 +75,15 @@ def test_a_hot_key_is_no_one_task(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert max(counts) < 0.3 * 30_000
+
+
+def test_sides_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def at(x):
+        seen.add(1)
+        return x
+
+    left = spark.range(50).select(F.lit(1).alias("k"), F.udf(at, "long")("id").alias("t"))
+    assert asof_join(left, spark.range(5).select(F.lit(1).alias("k"), F.col("id").alias("t")), ["k"], "t", "t").count() == 50
+    assert seen.value <= 150  # the rows of known times, and those without, each by a filter
