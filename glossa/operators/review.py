@@ -63,8 +63,10 @@ def read_lines(df: DataFrame) -> DataFrame:
     return df.withColumn("valid", (F.col("entered") == "") | F.coalesce(F.col("number").between(0, F.size("alternatives")), F.lit(False)))
 
 
-def parsed(matches: DataFrame, decisions: DataFrame) -> DataFrame:
-    """matches with `line`, `entered`, `number` and `valid`, one decision for each match."""
+def parsed(matches: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """matches with `line`, `entered`, `number` and `valid`, one decision for each match; without decisions, matches have their `line`."""
+    if decisions is None:
+        return read_lines(matches)
     return read_lines(matches.join(decisions.select("doc_id", "match_ord", "line"), ["doc_id", "match_ord"], "left"))
 
 
@@ -93,8 +95,8 @@ def chosen(decided: DataFrame) -> DataFrame:
     return decided.withColumn("choice_no", F.when(F.col("entered") == "", by_enter).when(F.col("valid"), F.col("number")).otherwise(0))
 
 
-def replay(docs: DataFrame, matches: DataFrame, decisions: DataFrame) -> DataFrame:
-    """doc_id, revised, exit_code: one decision for each match, by (doc_id, match_ord).
+def replay(docs: DataFrame, matches: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """doc_id, revised, exit_code: one decision for each match, by (doc_id, match_ord) or in the matches' own `line`.
 
     A decision of '^C' ends its document's session there: what was chosen before it is applied.
     """

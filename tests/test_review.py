@@ -252,3 +252,11 @@ def test_line_ends_of_files_are_folded_without_patterns(spark, tmp_path):
     got = from_files(spark, str(tmp_path))
     assert "regexp" not in got._jdf.queryExecution().toString()
     assert got.first()["text"] == "\n\n\n\na\n\n"
+
+
+@pytest.mark.parametrize(("name", "scans"), [("lexicon_violations", 1), ("decisions_parsed", 1), ("remembered_defaults", 1), ("case_transfer", 1), ("session_replay", 2)])
+def test_documents_are_looked_through_once(spark, name, scans):
+    from glossa.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == scans
