@@ -16,6 +16,9 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SHOWN = "doc_id bigint, match_ord int, start bigint, base string, alternatives array<string>, raws array<string>, entered string, number int, valid boolean"
 
+#: Buckets of documents that state is kept by; a checkpoint's stay as they are.
+BUCKETS = 2048
+
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
@@ -29,33 +32,43 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 class Remembered(StatefulProcessor):
-    """The raw alternative picked last for one base in one document, and when."""
+    """For each base in each document of a bucket, the raw alternative picked last, and when.
+
+    The bucket's records are one value, read and written once for what a micro-batch has of it.
+    """
 
     def __init__(self, keep_ms: int | None) -> None:
-        self.keep_ms = keep_ms
+        self.keep_ms, self.schema = keep_ms, "held array<struct<doc:string,base:string,raw:string,at:bigint>>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "raw string, at bigint")
+        self.handle, self.records = handle, handle.getValueState("last", self.schema)
+
+    def _get(self) -> dict[tuple, tuple[str, int]]:
+        had = self.records.get()
+        return {(doc, base): (raw, at) for doc, base, raw, at in had[0]} if had else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._get()
         df = pd.concat(list(rows)).sort_values("start")
-        had = self.last.get()
-        raw = pd.concat([pd.Series([had[0] if had else None], dtype=object), df["picked"].astype(object)], ignore_index=True)
-        at = pd.concat([pd.Series([had[1] if had else 0]), df["at"]], ignore_index=True).where(raw.notna()).ffill()
-        raw = raw.ffill()
-        held, since = raw.iloc[:-1].to_numpy(), at.iloc[:-1].to_numpy()
-        gone = df["at"].to_numpy() - since > self.keep_ms if self.keep_ms is not None else pd.isna(held)
-        df["remembered"] = [None if out or pd.isna(r) else r for r, out in zip(held, gone, strict=True)]
-        if pd.notna(raw.iloc[-1]) and df["picked"].notna().any():
-            self.last.update((raw.iloc[-1], int(at.iloc[-1])))
+        out, latest = [], None
+        for *of, picked, at in zip(df["doc"], df["base"], df["picked"], df["at"], strict=True):
+            of, at = tuple(of), int(at)
+            raw, since = held.get(of, (None, 0))
+            out.append(None if self.keep_ms is not None and at - since > self.keep_ms else raw)
+            if not pd.isna(picked):
+                held[of], latest = (picked, at), at if latest is None else max(at, latest)
+        if latest is not None:
+            self._put(held)
             if self.keep_ms is not None:
-                self.handle.registerTimer(int(at.iloc[-1]) + self.keep_ms)
-        yield df.drop(columns=["picked", "at"])
+                self.handle.registerTimer(latest + self.keep_ms)
+        yield df.assign(remembered=pd.Series(out, index=df.index, dtype=object)).drop(columns=["bucket", "doc", "picked", "at"])
+
+    def _put(self, held: dict[tuple, tuple[str, int]]) -> None:
+        self.records.update(([(*of, *last) for of, last in held.items()],)) if held else self.records.clear()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        had = self.last.get()
-        if had and had[1] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self._put({of: last for of, last in self._get().items() if last[1] + self.keep_ms > now})
         return iter(())
 
     def close(self) -> None:
@@ -66,11 +79,12 @@ def remembered_stream(answered: DataFrame, keep_ms: int | None = None, lateness:
     """Matches with `remembered`, `default_no` and `choice_no`, as their answers arrive.
 
     answered: a stream of matches (doc_id, match_ord, start, base, alternatives, raws), each with the `line` that
-    answers it and, with keep_ms, the time `answered_at`.  State is one word for each base of each document.  With
+    answers it and, with keep_ms, the time `answered_at`.  State is one word for each base of each document, in one
+    value for each bucket of documents: a call of Python for each base of each document would take most of the time.  With
     keep_ms a word is remembered for so long after its answer, its state goes when the stream has moved past
     that by `lateness`, and what arrives later than the lateness is dropped; without, it is kept for good.  The
     matches of a document and base must arrive in order of micro-batches; within one they are put in
-    order, in one task's memory: a group is one base in one document.
+    order, in one task's memory: a group is what a micro-batch has of one of BUCKETS buckets.
     """
     if keep_ms is not None:
         answered = answered.withWatermark("answered_at", lateness)
@@ -79,7 +93,9 @@ def remembered_stream(answered: DataFrame, keep_ms: int | None = None, lateness:
     shown = shown.select(*(c.split()[0] for c in _SHOWN.split(", ")), "picked", "at", *([] if keep_ms is None else ["answered_at"]))
     out = f"{_SHOWN}, remembered string" + ("" if keep_ms is None else ", answered_at timestamp")
     mode = "none" if keep_ms is None else "EventTime"
-    kept = shown.groupBy("doc_id", "base").transformWithStateInPandas(Remembered(keep_ms), out, "append", mode)
+    ident = shown.schema["doc_id"].dataType.simpleString()
+    bucketed = shown.withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("bucket", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).otherwise(-1))  # no other is with null ids
+    kept = bucketed.groupBy("bucket").transformWithStateInPandas(Remembered(keep_ms), out.replace("bigint", ident, 1), "append", mode)
     return chosen(with_default(kept))
 
 

@@ -47,6 +47,18 @@ def test_many_batches_and_restarts_give_the_batch_replay(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
+def test_calls_of_python_are_for_buckets_not_for_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("glossa.streaming.review.BUCKETS", 2)
+    rows = answered(spark, 39)
+    want = columns(review.chosen(review.remembered(review.read_lines(rows))))
+    parts = [{"rows": rows.where("match_ord < 6")}, {"rows": rows.where("match_ord >= 6")}]
+    with keyed_state(spark):
+        assert sum(1 for _ in fed(spark, lambda rows: remembered_stream(rows), parts, str(tmp_path))) == 2
+    assert columns(spark.read.parquet(str(tmp_path / "out"))) == want
+    with_key = [n for n in remembered_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows")))._jdf.queryExecution().logical().toString().splitlines() if "TransformWithState" in n]
+    assert with_key and all("bucket" in n for n in with_key)
+
+
 def test_what_is_remembered_expires(spark, tmp_path):
     """Kept for an hour after the answer; state goes with the watermark."""
     one = answered(spark, 1).limit(1).drop("line", "match_ord", "start")
