@@ -28,10 +28,10 @@ PARTS = 3
 
 
 def protected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word with every region of code or link that it overlaps, as tables."""
+    """Every word with every region of code or link that it overlaps, as tables; words that overlap none have no pair and stay out of the join."""
     docs = prose(spark, sf_dir)
     regions = docs.select("doc_id", F.inline(protected_by_kind(F.col("text"))))
-    pairs = interval_join(tokens(docs), regions, ["doc_id"], width=16)
+    pairs = interval_join(tokens(docs, protected=True), regions, ["doc_id"], width=16)
     return pairs.select("left.doc_id", "left.start", "left.end", "right.kind", F.col("right.start").alias("from"), F.col("right.end").alias("to"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import suggest as module
 from glossa.operators.suggest import protected_spans, tokens
+from glossa.plans import tables
 
 TEXTS = [None, "", " ", "a", "ab `cd ef` gh", "\x01a\x01 b\x01", "É 𝒳y `𝒳` z", "see https://x.y/a_b c", "```a\nb``` `c", "`a` " * 300, "no code, at all", "    all of it\n\tindented"]
 
@@ -33,3 +34,10 @@ def test_no_lambda_adds_up_words(spark, protected):
     """A running sum in lambdas took most of the time of every query of words."""
     plan = tokens(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), protected)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_only_words_in_regions_are_joined(spark, monkeypatch):
+    seen, join = [], tables.interval_join
+    monkeypatch.setattr(tables, "interval_join", lambda left, right, *a, **k: seen.append(left) or join(left, right, *a, **k))
+    pairs = tables.protected_pairs(spark, "/root/testdata/sf0.001").select("doc_id", "start").distinct().count()
+    assert seen[0].count() == pairs > 0
