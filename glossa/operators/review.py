@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ BOLD, RESET = "\x1b[1m", "\x1b[0m"
 #: A decision line that stands for an interrupt.
 INTERRUPT = "^C"
 DONE, INTERRUPTED = 0, 130
+#: Documents that a replay by lines takes out of an Arrow batch at once.
+DOCUMENTS = 256
 #: Decimal digits of all scripts, and the ASCII digit of each.
 _DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None)
 _PLAIN = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
@@ -149,34 +151,57 @@ def typed(line: str) -> int | None:
         return -1
 
 
-def replay_lines(docs: DataFrame, matches: DataFrame, lines: DataFrame) -> DataFrame:
+def _walk(ident: object, matches: list[dict], lines: list[dict]) -> tuple[list[dict], int, int]:
+    """Choices, exit code and number of invalid lines of one document, in order."""
+    s, answers, code, invalid = Session(matches), iter(lines), DONE, 0
+    while s.current is not None:
+        line = next(answers, None)
+        if line is None:
+            raise EOFError(f"document {ident}: no line for the occurrence at {s.current['start']}")
+        if line["entered"] == INTERRUPT:
+            code = INTERRUPTED
+            break
+        invalid += s.answer(line["number"] if line["entered"] else None) is not None
+    return [{"start": a, "end": b, "replacement": t} for a, b, t in s.choices], code, invalid
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
+    for b in batches:
+        for i in range(0, len(b), DOCUMENTS):
+            part = b.slice(i, DOCUMENTS)
+            ids = part.column("doc_id")
+            out = [_walk(*row) for row in zip(ids.to_pylist(), part.column("ms").to_pylist(), part.column("ls").to_pylist(), strict=True)]
+            choices, codes, wrong = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(choices, made), pa.array(codes, pa.int32()), pa.array(wrong, pa.int32())], ["doc_id", "choices", "code", "wrong"])
+
+
+def _typed(line: Column) -> list[Column]:
+    """What is read of a raw line: `entered` and `number`."""
+    entered = stripped(F.coalesce(line, F.lit("")))
+    return [entered.alias("entered"), F.coalesce(number(entered), F.lit(-1)).alias("number")]
+
+
+def replay_lines(docs: DataFrame, matches: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """doc_id, revised, exit_code, invalid: raw lines (doc_id, line_no, line), as typed.
 
+    Without `lines`, the matches have their own: `typed`, an array of (line_no, line), of which none is null.
     Which line answers which match depends on the lines before it, so each document is
-    walked through in order, in one Arrow group; running out of lines is an error.
+    walked through in order, many documents in an Arrow batch; running out of lines is an error.
     """
-
-    def run(key: tuple, ms: pd.DataFrame, ls: pd.DataFrame) -> pd.DataFrame:
-        rows = [{**r, "alternatives": list(r["alternatives"]), "raws": list(r["raws"])} for r in ms.sort_values("match_ord").to_dict("records")]
-        ls = ls.sort_values("line_no")
-        s, answers, code, invalid = Session(rows), zip(ls["entered"], ls["number"]), DONE, 0
-        while s.current is not None:
-            entered, number = next(answers, (None, -1))
-            if entered is None:
-                raise EOFError(f"document {key[0]}: no line for the occurrence at {s.current['start']}")
-            if entered == INTERRUPT:
-                code = INTERRUPTED
-                break
-            invalid += s.answer(int(number) if entered else None) is not None
-        made = [{"start": a, "end": b, "replacement": t} for a, b, t in s.choices]
-        return pd.DataFrame({"doc_id": [key[0]], "choices": [made], "code": [code], "wrong": [invalid]})
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cols = ["doc_id", "match_ord", "start", "end", "base", "suffix", "alternatives", "raws"]
-    read = lines.select("doc_id", "line_no", stripped(F.coalesce("line", F.lit(""))).alias("entered"))
-    read = read.select(F.col("doc_id").alias("doc_id"), "line_no", "entered", F.coalesce(number(F.col("entered")), F.lit(-1)).alias("number"))
+    one = F.struct("match_ord", "start", "end", "base", "alternatives", "raws")
+    told = F.struct("line_no", "entered", "number")
+    if lines is None:
+        read = F.transform("typed", lambda t: F.struct(t["line_no"].alias("line_no"), *_typed(t["line"])))
+        grouped = matches.select("doc_id", one.alias("m"), read.alias("l")).groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("ms"), F.array_sort(F.flatten(F.collect_list("l"))).alias("ls"))
+    else:
+        read = lines.select("doc_id", "line_no", *_typed(F.col("line"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(told)).alias("ls"))
+        own = matches.select("doc_id", one.alias("m")).groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+        none = F.array().cast(read.schema["ls"].dataType)
+        grouped = own.join(read, own["doc_id"].eqNullSafe(read["doc_id"]), "left").select(own["doc_id"], "ms", F.coalesce("ls", none).alias("ls"))
     schema = f"doc_id {kind}, choices array<struct<start:bigint,end:bigint,replacement:string>>, code int, wrong int"
-    walked = matches.select(*cols).groupBy("doc_id").cogroup(read.groupBy("doc_id")).applyInPandas(run, schema)
+    walked = grouped.mapInArrow(_walked, schema)
     out = revised(docs, walked, F.coalesce("code", F.lit(DONE)).alias("exit_code"), F.coalesce("wrong", F.lit(0)).alias("invalid"))
     return out.select("doc_id", "revised", "exit_code", "invalid")
 
