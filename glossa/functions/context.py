@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import BLANK_LINE, BOUNDARY
-from .spans import count_while, find_all
+from .spans import count_while, find_all, let
 
 
 def boundaries(text: Column) -> Column:
@@ -22,10 +22,13 @@ def block_cuts(text: Column) -> Column:
 def window_at(offset: Column, length: Column, cuts: Column) -> Column:
     """struct<start, end> of the part between cuts that holds the offset; beyond the end, the last part."""
     at = F.least(offset, F.greatest(length - 1, F.lit(0)))
-    before = count_while(cuts, lambda c: c <= at)
-    start = F.coalesce(F.get(cuts, before - 1), F.lit(0).cast("long"))
-    end = F.coalesce(F.get(cuts, before), length)
-    return F.struct(start.alias("start"), end.alias("end"))
+
+    def between(before: Column) -> Column:
+        start = F.coalesce(F.get(cuts, before - 1), F.lit(0).cast("long"))
+        end = F.coalesce(F.get(cuts, before), length)
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    return let(count_while(cuts, lambda c: c <= at), between)
 
 
 def sentence_window(offset: Column, length: Column, sentences: Column, blocks: Column) -> Column:

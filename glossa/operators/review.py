@@ -29,7 +29,7 @@ def prompt(sentence: Column, start: Column, end: Column, alternatives: Column, d
 
     start and end are offsets within the sentence; default is an option number or null.
     """
-    line = F.regexp_replace(sentence, r"\n+\z", "")
+    line = F.rtrim(sentence, F.lit("\n"))
     if color:
         part = lambda a, n: F.substring(line, a.cast("int") + 1, n.cast("int"))
         line = F.concat(part(F.lit(0), start), F.lit(BOLD), part(start, end - start), F.lit(RESET), part(end, F.greatest(F.length(line) - end, F.lit(0))))
