@@ -102,15 +102,18 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") * 31 + F.col("match_ord") * 7
     took = F.when(k % 11 == 0, 2 * WAIT).when(k % 5 == 0, -5).otherwise(k % WAIT)
     rows = suggest(prose(spark, sf_dir), corpus_lexicon()).select("doc_id", "match_ord", (F.col("doc_id") * 60 + F.col("match_ord") + START).alias("shown"), k.alias("k"), took.alias("took"))
-    rows = checkpointed(rows)
-    top = (rows.agg(F.max("doc_id")).first()[0] or 0) + 1
+    top = (spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).first()[0] or 0) + 1
+    rows, dealt = rows.withColumn("part", F.floor(F.col("doc_id") * PARTS / top)), scratch_folder(spark, "dealt")
+    rows.write.partitionBy("part").parquet(dealt)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("match_ord"), F.lit(None).cast("string").alias("line"), seconds(F.lit(START + 60 * top + 100 * WAIT)).alias("at"))  # moves both streams past every wait
     parts = []
     for i in range(PARTS):
-        own = rows.where(F.floor(F.col("doc_id") * PARTS / top) == i)
+        own = spark.read.schema(rows.schema).parquet(dealt).where(F.col("part") == i)
         told = own.where("k % 7 <> 0").select("doc_id", "match_ord", (F.col("k") % 4).cast("string").alias("line"), seconds(F.col("shown") + F.col("took")).alias("decided_at"))
-        parts.append({"matches": own.select("doc_id", "match_ord", seconds(F.col("shown")).alias("shown_at")), "decisions": told})
-    end = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("match_ord"), F.lit(None).cast("string").alias("line"), seconds(F.lit(START + 60 * top + 100 * WAIT)).alias("at"))  # moves both streams past every wait
-    parts.append({"matches": end.select("doc_id", "match_ord", F.col("at").alias("shown_at")), "decisions": end.select("doc_id", "match_ord", "line", F.col("at").alias("decided_at"))})
+        own = own.select("doc_id", "match_ord", seconds(F.col("shown")).alias("shown_at"))
+        if i == PARTS - 1:
+            own, told = own.unionByName(end.select("doc_id", "match_ord", F.col("at").alias("shown_at"))), told.unionByName(end.select("doc_id", "match_ord", "line", F.col("at").alias("decided_at")))
+        parts.append({"matches": own, "decisions": told})
     out = _run(spark, lambda matches, decisions: decided_stream(matches, decisions, f"{WAIT} seconds", "3 hours"), parts).where("doc_id >= 0")
     return out.select("doc_id", F.col("match_ord").cast("long").alias("match_ord"), F.unix_seconds("shown_at").alias("shown"), F.unix_seconds("decided_at").alias("decided"), "line")
 

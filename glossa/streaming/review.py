@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.times import micros
 from ..operators.review import chosen, picked, read_lines, with_default
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -18,6 +21,8 @@ _SHOWN = "doc_id bigint, match_ord int, start bigint, base string, alternatives
 
 #: Buckets of documents that state is kept by; a checkpoint's stay as they are.
 BUCKETS = 2048
+#: Buckets of matches that wait for decisions; a checkpoint's stay as they are.
+WAITING = 256
 
 
 @contextmanager
@@ -99,17 +104,63 @@ def remembered_stream(answered: DataFrame, keep_ms: int | None = None, lateness:
     return chosen(with_default(kept))
 
 
+def _held(state: GroupState) -> list[pd.DataFrame]:
+    if not state.exists:
+        return []
+    return [pa.ipc.open_stream(state.get[0]).read_pandas()]
+
+
+def _hold(state: GroupState, rows: pd.DataFrame) -> None:
+    if not len(rows):
+        return state.remove()
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+    state.setTimeoutTimestamp(-int(-rows["until"].min() // 1000))
+
+
+def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Decisions of a bucket's matches, each pair once, and the matches whose wait is over without one; the others are held."""
+    new = [df.drop(columns=["bucket", "seen"]) for df in frames if len(df)]  # one without rows when the time is over
+    held = _held(state)
+    rows = pd.concat([*(df.assign(fresh=False) for df in held), *(df.assign(fresh=True, met=False) for df in new)], ignore_index=True)
+    over = rows["until"] <= state.getCurrentWatermarkMs() * 1000
+    shown, told = rows[rows["shown"]].reset_index(names="row"), rows[~rows["shown"]]
+    pairs = shown.merge(told, on=["doc", "ord"], suffixes=("", "_told"))
+    pairs = pairs[(pairs["fresh"] | pairs["fresh_told"]) & pairs["at_told"].between(pairs["at"], pairs["until"])]
+    rows.loc[pairs["row"], "met"] = True
+    missed = rows[over & rows["shown"] & ~rows["met"]]
+    _hold(state, rows[~over].drop(columns="fresh"))
+    if len(pairs):
+        yield pd.DataFrame({"doc": pairs["doc"], "ord": pairs["ord"], "at": pairs["at"], "told_at": pairs["at_told"].astype("Int64"), "line": pairs["line_told"]})
+    if len(missed):
+        yield pd.DataFrame({"doc": missed["doc"], "ord": missed["ord"], "at": missed["at"], "told_at": pd.array([None] * len(missed), "Int64"), "line": pd.Series(None, missed.index, dtype=object)})
+
+
+def _timed(df: DataFrame, at: str, shown: bool, until: Column, line: Column) -> DataFrame:
+    ids = [F.col(c).cast("string").alias(n) for c, n in (("doc_id", "doc"), ("match_ord", "ord"))]
+    bucket = F.pmod(F.xxhash64("doc", "ord"), F.lit(WAITING)).alias("bucket")
+    own = df.where(F.col(at).isNotNull()).select(F.col(at).alias("seen"), *ids, F.lit(shown).alias("shown"), micros(df, at).alias("at"), until.alias("until"), line.alias("line"))
+    return own.select(bucket, "*")
+
+
 def decided_stream(matches: DataFrame, decisions: DataFrame, wait: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """doc_id, match_ord, shown_at, decided_at, line: each match with its decision, or with none once the wait is over.
 
     matches: doc_id, match_ord, shown_at; decisions: doc_id, match_ord, line, decided_at; both streams of event time.
     A decision counts if it is made at or after the match is shown and within `wait`.  A match without one comes out
     with a null line (no change) when the streams have moved past its wait by `lateness`; what arrives later than
-    that is dropped.  Both sides' state goes with the watermark, so it holds what was shown or decided within
-    wait and lateness.
+    that is dropped, and so is what has no time.  State goes with the watermark, so it holds what was shown or decided
+    within wait and lateness: one value for each of WAITING buckets of matches, in one store for each partition, as a join of
+    streams has four of them, which each micro-batch has to write, and several entries for each row.  A bucket's
+    rows and what a micro-batch has of it lie in one task's memory.
     """
-    m = matches.select("doc_id", "match_ord", "shown_at").withWatermark("shown_at", lateness).alias("m")
-    d = decisions.select("doc_id", "match_ord", "line", "decided_at").withWatermark("decided_at", lateness).alias("d")
-    same = (F.col("m.doc_id") == F.col("d.doc_id")) & (F.col("m.match_ord") == F.col("d.match_ord"))
-    timely = (F.col("decided_at") >= F.col("shown_at")) & (F.col("decided_at") <= F.col("shown_at") + F.expr(f"INTERVAL {wait}"))
-    return m.join(d, same & timely, "leftOuter").select("m.doc_id", "m.match_ord", "shown_at", "decided_at", "line")
+    m, d = matches.withWatermark("shown_at", lateness), decisions.withWatermark("decided_at", lateness)
+    m = m.withColumn("__until", F.col("shown_at") + F.expr(f"INTERVAL {wait}"))
+    shown = _timed(m, "shown_at", True, micros(m, "__until"), F.lit(None).cast("string"))
+    told = _timed(d.where("doc_id IS NOT NULL AND match_ord IS NOT NULL"), "decided_at", False, micros(d, "decided_at"), F.col("line"))
+    made = shown.unionByName(told).groupBy("bucket").applyInPandasWithState(_decide, "doc string, ord string, at bigint, told_at bigint, line string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    kind = lambda df, c: df.schema[c].dataType
+    time = lambda c, df, of: F.timestamp_micros(c).cast(kind(df, of)).alias(of)
+    return made.select(F.col("doc").cast(kind(matches, "doc_id")).alias("doc_id"), F.col("ord").cast(kind(matches, "match_ord")).alias("match_ord"), time("at", matches, "shown_at"), time("told_at", decisions, "decided_at"), "line")

@@ -95,3 +95,19 @@ def test_late_and_missing_decisions(spark, tmp_path):
     got = sorted((r["doc_id"], r["line"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, "1"), (2, None), (3, None), (4, None), (5, "3"), (6, "2"), (7, None), (8, None)]
     assert state[-1] <= 3  # what was shown or decided last
+
+
+def test_state_of_decisions_is_a_value_for_each_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("glossa.streaming.review.WAITING", 2)
+    big = 2**60 + 1
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    show = lambda rows: spark.createDataFrame([(d, 0, at(m)) for d, m in rows], "doc_id long, match_ord int, shown_at timestamp")
+    tell = lambda rows: spark.createDataFrame([(d, 0, line, at(m)) for d, line, m in rows], "doc_id long, match_ord int, line string, decided_at timestamp")
+    parts = [
+        {"m": show([(None, 3), *((big + i, i) for i in range(30))]), "d": tell([(None, "0", 4), (big, "2", 6), *((big + i, "1", i + 5) for i in range(0, 30, 2))])},
+        {"m": show([(-1, 5000)]), "d": tell([(-2, "1", 5000)])},
+    ]
+    state = [q.lastProgress["stateOperators"][0]["numRowsTotal"] for _, q in fed(spark, lambda m, d: decided_stream(m, d), parts, str(tmp_path))]
+    got = sorted(((r["doc_id"], r["line"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted([(None, None), (big, "2"), *((big + i, None if i % 2 else "1") for i in range(30))], key=str)
+    assert max(state) <= 2
