@@ -29,7 +29,8 @@ def spliced(of: Column, length: Column, choices: Column) -> Column:
 
     def with_gap(c: Column, i: Column) -> Column:
         at = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(choices, i - 1)["end"])
-        return F.array(piece(of, at, c["start"] - at), transfer_case(piece(of, c["start"], c["end"] - c["start"]), c["replacement"]))
+        surface = piece(of, c["start"], c["end"] - c["start"])
+        return F.array(let(at, lambda a: piece(of, a, c["start"] - a)), let(surface, lambda x: transfer_case(x, c["replacement"])))
 
     last = F.get(choices, F.size(choices) - 1)["end"]
     return F.concat(F.array_join(F.flatten(F.transform(choices, with_gap)), ""), piece(of, last, length - last))
