@@ -70,8 +70,8 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and documents that have them, by language, source, base and suffix, with all totals."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
-    found = suggest(prose(spark, sf_dir), corpus_lexicon()).select("doc_id", "base", "suffix")
-    return level_counts(found.join(docs, "doc_id"), ["lang", "source", "base", "suffix"], "doc_id").withColumnRenamed("ids", "docs")
+    found = suggest(prose(spark, sf_dir), corpus_lexicon()).groupBy("doc_id", "base", "suffix").agg(F.count(F.lit(1)).alias("times"))
+    return level_counts(found.join(docs, "doc_id"), ["lang", "source", "base", "suffix"], "doc_id", weight="times").withColumnRenamed("ids", "docs")
 
 
 def _run(spark: SparkSession, stream_of: Callable[..., DataFrame], parts: list[dict[str, DataFrame]]) -> DataFrame:
